@@ -11,11 +11,12 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-CACHE_PIECES = 400_000  # pre-tokens that a worker keeps
+CACHE_PIECES = 600_000  # pre-tokens that a worker keeps
 #: Unicode's white space.
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -138,6 +139,20 @@ def word_pieces(text: str) -> list[str]:
     return [text[x:y] for x, y in zip(at[keep].tolist(), ends[keep].tolist())]
 
 
+class Pieces(dict):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers, worked out when first asked for."""
+
+    def __init__(self, merge):
+        self.merge, self.letters = merge, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts; each distinct pre-token is encoded once while it is cached.
 
@@ -151,7 +166,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = {"byte": byte_level_pieces, "word": word_pieces}[kind]
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces(self.tokenizer.model.tokenize)
 
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """(is special token, string) in the text's order."""
@@ -171,36 +186,18 @@ class Encoder:
             parts = cut
         return parts
 
-    def learn(self, pieces) -> None:
-        missing = [p for p in set(pieces) if p not in self.cache]
-        if not missing:
-            return
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-            missing = list(set(pieces))
-        letters, merge = byte_letters(), self.tokenizer.model.tokenize
-        for p in missing:
-            word = p.encode().decode("latin-1").translate(letters)
-            self.cache[p] = np.array([t.id for t in merge(word)], "<u4").tobytes()
-
     def count(self, piece: str) -> int:
         """How many pieces a pre-token has; nothing is kept."""
         return len(self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(byte_letters())))
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        coded = self.cache.__getitem__
+        if "<|" not in text:
+            return b"".join(map(coded, self.split(text)))
         out = []
-        for special, part in self.segments(text) if "<|" in text else [(False, text)]:
-            if special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            pieces = self.split(part)
-            try:
-                coded = [*map(self.cache.__getitem__, pieces)]
-            except KeyError:
-                self.learn(pieces)
-                coded = [*map(self.cache.__getitem__, pieces)]
-            out += coded
+        for special, part in self.segments(text):
+            out += [array("I", [self.special[part]]).tobytes()] if special else map(coded, self.split(part))
         return b"".join(out)
 
 

@@ -1,9 +1,9 @@
 """Token-id files of Simple-8b blocks.
 
 write_tokens() encodes documents in ascending doc_id order (rows of equal doc_id by the hash of
-their text) and writes rows (shard, segment, n_ids, n_docs, docs, blocks, words) with Spark's
+their text) and writes rows (shard, before, n_ids, n_docs, docs, blocks, words) with Spark's
 Parquet writer, which any shared store takes.  A row is a segment of whole documents of about
-SEGMENT ids: `docs` has (doc_id, valid, n_ids) as three little-endian int64 each, `blocks` the
+SEGMENT ids, `before` the ids before it in its shard: `docs` has (doc_id, valid, n_ids) as three little-endian int64 each, `blocks` the
 (first word, values) of each block as two uint32, `words` the 64-bit words.  A shard is a range of
 doc_ids.  read_tokens() decodes the files to (doc_id, start, n_tokens, ids).
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import simple8b
@@ -26,7 +26,7 @@ from barflow.llm.common import crc, parts_for, shared_folder, texts
 from barflow.llm.pretoken import encoder
 
 SEGMENT = 1 << 19
-SCHEMA = "shard int, segment int, n_ids long, n_docs int, docs binary, blocks binary, words binary"
+SCHEMA = "shard int, before long, n_ids long, n_docs int, docs binary, blocks binary, words binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word",
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc, shard, segment = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        enc, shard, before = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
         docs, coded, total = [], [], 0
 
         def flush():
@@ -43,8 +43,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word",
             lengths = np.array([d[2] for d in docs], np.int64)
             sizes = simple8b.blocks_of(lengths)
             words, starts = simple8b.encode(ids, sizes)
-            row = [[shard], [segment], [int(lengths.sum())], [len(docs)], [np.array(docs, "<i8").tobytes()], [np.stack([starts, sizes], 1).astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "segment", "n_ids", "n_docs", "docs", "blocks", "words"])
+            row = [[shard], [before], [int(lengths.sum())], [len(docs)], [np.array(docs, "<i8").tobytes()], [np.stack([starts, sizes], 1).astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "before", "n_ids", "n_docs", "docs", "blocks", "words"])
 
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word",
                 total += len(ids) // 4
                 if total >= SEGMENT:
                     yield flush()
-                    docs, coded, total, segment = [], [], 0, segment + 1
+                    docs, coded, total, before = [], [], 0, before + total
         if docs:
             yield flush()
 
@@ -66,10 +66,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     files = spark.read.schema(SCHEMA).parquet(path)
     # shards are as many as the writer's partitions: their totals are small, whatever the corpus
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    before = dict(zip((r["shard"] for r in totals), np.cumsum([0, *(r["n"] for r in totals)]).tolist()))
-    index = files.select("shard", "segment", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids"))
-    placed = files.drop("n_ids").join(index.select("shard", "segment", "inside"), ["shard", "segment"])
-
+    shards = dict(zip((r["shard"] for r in totals), np.cumsum([0, *(r["n"] for r in totals)]).tolist()))
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for row in b.to_pylist():
@@ -77,7 +74,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                 blocks = np.frombuffer(row["blocks"], "<u4").reshape(-1, 2).astype(np.int64)
                 ids = simple8b.decode(np.frombuffer(row["words"], "<u8"), blocks[:, 1], blocks[:, 0]).astype("<u4")
                 ends = np.cumsum(docs[:, 2])
-                start = ends - docs[:, 2] + before[row["shard"]] + row["inside"]
+                start = ends - docs[:, 2] + shards[row["shard"]] + row["before"]
                 cut = zip((ends - docs[:, 2]).tolist(), ends.tolist())
                 if digest:
                     last = pa.array([crc(ids[x:y].tobytes()) for x, y in cut], pa.int64())
@@ -85,7 +82,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                     last = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(docs[:, 0], mask=docs[:, 1] == 0), pa.array(start), pa.array(docs[:, 2]), last], ["doc_id", "start", "n_tokens", "last"])
 
-    out = placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<int>'}")
+    out = files.mapInArrow(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<int>'}")
     return out.withColumnRenamed("last", "ids_crc32" if digest else "ids")
 
 
