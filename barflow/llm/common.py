@@ -45,25 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame, floor: int = 0) -> int:
-    """Catalyst's size estimate of what df reads; it follows the files' sizes."""
-    return max(floor, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-
-
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
     """How many parts of about bytes_each of df's files there are; at least the session's shuffle partitions."""
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = sum_of_files(df)
-    return max(least, shuffles, -(-size // bytes_each))
+    return max(least, shuffles, -(-stored_bytes(df) // bytes_each))
 
 
-def sum_of_files(df: DataFrame) -> int:
-    """Bytes of the files that df reads (a listing only), or 64 MB for frames without files."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(plan.apply(i).stats().sizeInBytes())) for i in range(plan.size()))
-    except Exception:
-        return 64 << 20
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, from their listing; half the bytes of the texts where there are no files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < 1 << 58:
+        return size
+    strings = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "string"]
+    return int(df.select(sum(map(lambda x: F.coalesce(x, F.lit(0)), strings), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0) // 2
 
 
 def each_batch(df: DataFrame, make, schema: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barflow.llm import token_counts, token_store
+from barflow.llm import decontaminate, line_dedup, packing, quality, simhash, token_counts, token_store, toxicity, vector_search
 from barflow.llm.common import read
 
 
@@ -17,5 +18,63 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store)}
-ORACLES: dict[str, str] = {}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, threshold=3)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", 0, 2048)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination)}
+
+_OP8 = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), spread AS (
+  SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM lines WHERE length(line) >= 20
+  GROUP BY line HAVING count(DISTINCT source) >= 10
+)
+SELECT l.doc_id, count(*) AS n_lines,
+  count(*) FILTER (WHERE s.line IS NOT NULL AND s.first <> struct_pack(d := l.doc_id, p := l.pos)) AS n_removed,
+  md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE s.line IS NULL OR s.first = struct_pack(d := l.doc_id, p := l.pos)), '')) AS kept_md5
+FROM lines l LEFT JOIN spread s ON l.line = s.line
+GROUP BY l.doc_id
+"""
+
+_OP9 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op8_line_dedup": _OP8, "op9_vector_search": _OP9}

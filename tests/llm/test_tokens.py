@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from barflow.llm import simple8b
-# from barflow.llm.packing import pack_documents, packed_pieces
-from barflow.llm.pretoken import Encoder
+from barflow.llm.packing import pack_documents, packed_pieces
+from barflow.llm.pretoken import encoder
 from barflow.llm.token_counts import count_tokens
 from barflow.llm.token_store import read_tokens, stored_tokens, write_tokens
 
@@ -27,7 +27,7 @@ def library(name):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" \n\t'streamlvd1a!Σé"))), max_size=40))
 def test_ids_are_the_librarys(name, kind, text):
-    assert np.frombuffer(Encoder(public_tokenizers.path(name), kind).ids(text), "<u4").tolist() == library(name)(text)
+    assert np.frombuffer(encoder(public_tokenizers.path(name), kind).ids(text), "<u4").tolist() == library(name)(text)
 
 
 @settings(max_examples=200, deadline=None)
