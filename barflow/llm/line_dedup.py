@@ -27,9 +27,10 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 def spread_lines(rows: DataFrame, min_sites: int, min_chars: int) -> DataFrame:
     """(h, g, first): the lines on at least min_sites sites and where they come first."""
-    lines = _lines(rows, min_chars)
-    several = lines.groupBy("h", "g").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min(F.struct("id", "pos")).alias("first")).where("a < b").select("h", "g", "first")
-    known = lines.join(several.select("h", "g"), ["h", "g"], "left_semi")
+    # one row for each line and site: a line that is everywhere is combined before it is dealt out
+    lines = _lines(rows, min_chars).groupBy("h", "g", "site").agg(F.min(F.struct("id", "pos")).alias("first"))
+    several = lines.groupBy("h", "g").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("first").alias("first")).where("a < b").select("h", "g", "first")
+    known = lines.join(several.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site")
     sketched = known.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).withColumn("n", F.hll_sketch_estimate("sketch")).drop("sketch")
     sketched = sketched.where(F.col("n") >= (1 - NEAR) * min_sites)
     near = sketched.where(F.col("n") <= (1 + NEAR) * min_sites)
