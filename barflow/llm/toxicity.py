@@ -25,6 +25,7 @@ from barflow.llm.text_features import expand, sigmoid, text_stats, word_features
 CHAIN = ("quality", "toxic")
 MAX_LABELLED = 12_000  # labelled rows in the fit, about; a hash of the doc_id picks them
 WORDS = 300  # word features of a link
+LEAST_TEXTS = 4  # that have a word feature, for it to count
 PARTS = 3  # of the sample, for out-of-fold predictions
 RIDGE = 1.0
 
@@ -41,7 +42,7 @@ def _columns(words: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
 
 def _choose(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features whose share differs most between the classes, against chance."""
-    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+    flat = np.concatenate(words) if words else np.zeros(0, np.int32)
     size = np.array([len(w) for w in words])
     names, inverse = np.unique(flat, return_inverse=True)
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -49,7 +50,7 @@ def _choose(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     all_ = np.bincount(inverse, minlength=len(names))
     share = all_ / len(y)
     z = (one / n1 - (all_ - one) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    z[all_ < 4] = 0
+    z[all_ < LEAST_TEXTS] = 0
     return np.sort(names[np.argsort(-np.abs(z), kind="stable")[:WORDS]])
 
 
@@ -99,12 +100,23 @@ def fit_chain(x: np.ndarray, words: list[np.ndarray], labels: np.ndarray) -> dic
     return {"mean": mean, "std": std, "links": links}
 
 
+def common_words(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The texts' word features without those that fewer than LEAST_TEXTS texts have (most are such)."""
+    if not words:
+        return words
+    names, counts = np.unique(np.concatenate(words), return_counts=True)
+    names = names[counts >= LEAST_TEXTS]
+    if not len(names):
+        return [w[:0] for w in words]
+    return [w[names[np.minimum(np.searchsorted(names, w), len(names) - 1)] == w] for w in words]
+
+
 def _features(docs: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         t = b.column("text").to_pylist()
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_stats(x).tolist() for x in t], pa.list_(pa.float64())), pa.array([sorted(word_features(x)) for x in t], pa.list_(pa.int64()))], ["doc_id", "x", "words"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_stats(x).tolist() for x in t], pa.list_(pa.float64())), pa.array([np.array(sorted(word_features(x)), np.uint32).view(np.int32) for x in t], pa.list_(pa.int32()))], ["doc_id", "x", "words"])
 
-    return each_batch(docs.select("doc_id", "text"), run, "doc_id long, x array<double>, words array<long>")
+    return each_batch(docs.select("doc_id", "text"), run, "doc_id long, x array<double>, words array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN) -> dict:
@@ -115,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN) ->
     sample = _features(docs.where(at < cut)).join(known.where(at < cut), "doc_id").orderBy("doc_id", F.xxhash64("x")).toArrow()
     x, words = (np.split(c.flatten().to_numpy(), np.cumsum(pc.list_value_length(c).to_numpy()[:-1])) if len(c) else [] for c in (sample.column(k).combine_chunks() for k in ("x", "words")))
     x = np.array(x).reshape(sample.num_rows, -1)
+    words = common_words(words)
     y = np.stack([sample.column(f"y{k}").to_numpy().astype(float) for k in range(len(chain))], 1)
     return fit_chain(x, words, y)
 
@@ -131,8 +144,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] =
         if t:
             x = np.array([text_stats(v) for v in t])
             used = [link["chosen"] for link in m["links"] if "chosen" in link]
-            mine = set(np.concatenate(used).tolist()) if used else set()
-            words = [np.array(sorted(mine & word_features(v)), np.int64) for v in t]
+            mine = set(np.concatenate(used).view(np.uint32).tolist()) if used else set()
+            words = [np.array(sorted(mine & word_features(v)), np.uint32).view(np.int32) for v in t]
             stats = expand(x, m["mean"], m["std"]) if len(m["mean"]) == x.shape[1] else x
             for link in m["links"]:
                 before = np.concatenate((before, _predict(link, stats, words, before)[:, None]), axis=1)
