@@ -24,6 +24,25 @@ def blocks_of(lengths: np.ndarray) -> np.ndarray:
     return sizes
 
 
+#: The widths that words can hold, ascending; PAD zeros after a block let its last word be filled up.
+WIDTHS = sorted(b for _, b in PACKED)
+PAD = 60
+
+
+def _most(x: np.ndarray) -> dict[int, np.ndarray]:
+    """Maximum of each `count` values from every place on, for every count of PACKED."""
+    out = {1: x}
+
+    def join(count: int, a: int, b: int) -> None:
+        # what follows the end counts as zero
+        out[count] = out[a].copy()
+        np.maximum(out[count][:-a], out[b][a:], out=out[count][:-a])
+
+    for count, a, b in ((2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7), (20, 10, 10), (30, 15, 15), (60, 30, 30)):
+        join(count, a, b)
+    return out
+
+
 def encode(values: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the word at which each block of the given sizes starts (one block by default)."""
     v = np.ascontiguousarray(values, np.uint64)
@@ -32,38 +51,46 @@ def encode(values: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndar
     sizes = sizes[sizes > 0]
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    width = np.zeros(n, np.uint8)
-    for bits in sorted({b for _, b in PACKED}):  # the least packed width that holds the value
-        width[(width == 0) & (v < np.uint64(1 << bits))] = bits
-    width[width == 0] = 64
-    index = np.arange(n)
-    end = np.repeat(np.cumsum(sizes), sizes)
-    best = np.zeros(n, np.int64)  # the selector that takes most values from here; 0: escape
-    for s, (count, bits) in enumerate(PACKED, 1):
-        wide = np.concatenate(([0], np.cumsum(width > bits)))
-        best[(best == 0) & (wide[np.minimum(index + count, end)] == wide[:-1])] = s
-    follow = np.minimum(index + np.array([1, *(c for c, _ in PACKED)])[best], end).tolist()
+    # blocks are laid out with zeros between them, so no word sees the next block
+    firsts = np.cumsum(sizes + PAD) - sizes - PAD
+    total = int(firsts[-1] + sizes[-1]) + PAD
+    padded, real = np.zeros(total, np.uint64), np.zeros(total, bool)
+    place = np.arange(n) + np.repeat(np.arange(len(sizes)) * PAD, sizes)
+    padded[place] = v
+    real[place] = True
+    need = np.zeros(total, np.uint8)  # how many of WIDTHS are too narrow
+    for bits in WIDTHS:
+        need += padded >= np.uint64(1 << bits)
+    most = _most(need)
+    best = np.zeros(total, np.uint8)  # the selector that takes most values from here; 0: escape
+    for s in range(len(PACKED), 0, -1):
+        count, bits = PACKED[s - 1]
+        best[most[count] <= WIDTHS.index(bits)] = s
+    follow = np.arange(total) + np.array([1, *(c for c, _ in PACKED)])[best]
+    ends = firsts + sizes
+    follow[(ends[:, None] + np.arange(PAD)).ravel()] = np.repeat(ends + PAD, PAD)  # from behind a block to the next one
+    follow = follow.tolist()
     at, i = [], 0
-    while i < n:
+    while i < total:
         at.append(i)
         i = follow[i]
     at = np.array(at)
+    at = at[real[at]]
     chosen = best[at]
     escapes = np.cumsum(chosen == 0)
     place = np.arange(len(at)) + escapes - (chosen == 0)
     words = np.zeros(len(at) + int(escapes[-1]), np.uint64)
-    padded = np.concatenate((v, np.zeros(60, np.uint64)))
     for s in np.unique(chosen):
         here = chosen == s
+        where = at[here]
         if not s:
-            words[place[here] + 1] = v[at[here]]
+            words[place[here] + 1] = padded[where]
             continue
         count, bits = PACKED[s - 1]
-        word, left = np.full(int(here.sum()), int(s) << 60, np.uint64), end[at[here]]
+        word = np.full(len(where), int(s) << 60, np.uint64)
         for k in range(count):
-            word |= np.where(at[here] + k < left, padded[at[here] + k], np.uint64(0)) << np.uint64(bits * k)
+            word |= padded[where + k] << np.uint64(bits * k)
         words[place[here]] = word
-    firsts = np.cumsum(sizes) - sizes
     return words, place[np.searchsorted(at, firsts)]
 
 
