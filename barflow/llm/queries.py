@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import decontaminate, line_dedup, packing, quality, simhash, token_counts, token_store, toxicity, vector_search
+from barflow.llm import decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
 from barflow.llm.common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_passages(read(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", 512)
 
@@ -47,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination)}
 
 _OP8 = """
 WITH lines AS (
