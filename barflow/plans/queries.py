@@ -510,3 +510,98 @@ def stale_series(spark, d):
     from barflow.streaming.live import stale
 
     return stale(bars(spark, d, "15m"))
+
+
+@query
+def train_logreg(spark, d):
+    from barflow.operators.training import out_of_sample
+
+    return E.brier_skill(out_of_sample(scored(spark, d).drop("fold", "proba")))
+
+
+@query
+def platt(spark, d):
+    from barflow.operators.training import Calibrated
+
+    rows = scored(spark, d).drop("fold", "proba")
+    return Calibrated(rows).score(rows).select(*AT, "label", "proba")
+
+
+@query
+def benchmarks(spark, d):
+    from barflow.operators.training import BENCHMARKS, benchmark
+
+    rows, out = scored(spark, d).drop("fold", "proba").cache(), None
+    for name in BENCHMARKS:
+        part = benchmark(rows, name, rounds=10)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def feature_importance(spark, d):
+    from barflow.operators.training import Calibrated
+
+    items = Calibrated(scored(spark, d).drop("fold", "proba")).importance()
+    return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(items)], "rank int, feature string, coefficient double")
+
+
+@query
+def run_index(spark, d):
+    from barflow.operators.training import run_pairs
+
+    return run_pairs(spark, scored(spark, d).drop("fold", "proba"), B.timeframes(spark), symbols=["click", "view"])
+
+
+@query
+def model_cards(spark, d):
+    from barflow.operators.training import benchmark
+
+    s = scored(spark, d)
+    active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
+    pairs = s.select(*KEY).distinct()
+    bench = pairs.join(F.broadcast(benchmark(s.drop("fold", "proba"), "naive_bayes").withColumn("_k", F.lit(1))), F.lit(True))
+    return D.model_cards(active, bench, s)
+
+
+def _ticks_stream(spark, d):
+    """The events table as a stream of ticks (event-time order is what the watermark sees in files)."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).where("value > 0")
+    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"), "event_id")
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives over the files that are there, as a table in the shared folder."""
+    from barflow.streaming.live import folder
+
+    spark, out = stream.sparkSession, folder(stream.sparkSession, "stream")
+    stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+@query
+def stream_bars(spark, d):
+    from barflow.streaming.live import stream_bars as live
+
+    return _drained(live(_ticks_stream(spark, d)))
+
+
+@query
+def stream_ema(spark, d):
+    from barflow.streaming.live import folder, stream_averages
+
+    path = folder(spark, "bars")
+    bars(spark, d).write.parquet(path)
+    return _drained(stream_averages(spark.readStream.schema(B.BAR_SCHEMA).parquet(path)))
+
+
+@query
+def stream_reading(spark, d):
+    from barflow.streaming.live import folder, stream_readings
+
+    path = folder(spark, "reading")
+    bars(spark, d).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(B.BAR_SCHEMA).parquet(f"{path}/in")
+    stream_readings(source, f"{path}/history", f"{path}/readings", lambda b: R.predictions(b).select(*AT, "close", "proba"), f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/readings").select(*AT, "close", "proba")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -14,6 +16,12 @@ from barflow.sources.bars import RULES, SERIES, tail
 LATE = "2 hours"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that the session names; a temporary one only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def stream_bars(ticks: DataFrame, timeframe: str = "1H", late: str = LATE) -> DataFrame:
     """Closed bars of a tick stream (symbol, ts, price, volume, event_id); ticks past the watermark are dropped."""
     seq = F.struct("ts", "event_id")
