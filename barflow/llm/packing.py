@@ -22,7 +22,8 @@ from barflow.llm.common import crc, each_batch, parts_for, texts, written
 from barflow.llm.pretoken import encoder
 
 CAPACITY = 2048
-GROUPS = 64  # sizes that large lengths are rounded up to
+GROUPS = 32  # sizes that large lengths are rounded up to
+SLACK = 4  # room that a configuration may leave; looser ones are taken apart and packed best-fit
 LARGE = 4  # lengths over capacity / LARGE are large
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_BITS = 44
@@ -152,7 +153,13 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = G
                         if take < many:
                             todo.append([many - take, room, items])
                     made = cut
-            bins += made
+            for many, room, items in made:
+                # what rounding leaves too far from full is taken apart again
+                if room > SLACK:
+                    for n, copies in items:
+                        left[n] += many * copies
+                else:
+                    bins.append([many, room, items])
     by_room: list[list] = [[] for _ in range(capacity + 1)]
     for b in bins:
         by_room[b[1]].append(b)
