@@ -64,7 +64,10 @@ class Averages(StatefulProcessor):
 
 
 def stream_averages(bars: DataFrame, span: int = 20) -> DataFrame:
-    """Per bar of a stream its position in the series, EMA, RSI and ATR."""
+    """Per bar of a stream its position in the series, EMA, RSI and ATR.
+
+    Keyed state of this kind needs the RocksDB store, which is set for the session."""
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     shape = "symbol string, timeframe string, ts timestamp, pos long, ema double, rsi double, atr double"
     return bars.groupBy(*SERIES).transformWithStateInPandas(statefulProcessor=Averages(span), outputStructType=shape, outputMode="append", timeMode="None")
 
