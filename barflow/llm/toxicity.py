@@ -63,7 +63,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         p = sigmoid(x @ w)
         step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w = w + step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 5e-3:
             break
     return w
 
