@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators import evaluation as E
 from barflow.operators.features import TECHNICAL
-from barflow.sources.bars import SERIES
+from barflow.sources.bars import SERIES, settled
 
 C = 0.3
 BENCHMARKS = ("random_forest", "gradient_boost", "ada_boost", "naive_bayes")
@@ -38,7 +38,7 @@ def _proba(scored: DataFrame) -> DataFrame:
 
 def out_of_sample(labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int = E.FOLDS) -> DataFrame:
     """Test rows of every expanding fold with the probability of the model fitted on all rows before."""
-    f = E.with_folds(labeled, folds).cache()
+    f = settled(E.with_folds(labeled, folds), "folds")
     out = None
     for k in range(1, folds + 1):  # five fits, whatever the rows
         train = f.where(F.col("fold") < k)
@@ -63,7 +63,7 @@ class Calibrated:
     """The average of models fitted before each fold and calibrated on it."""
 
     def __init__(self, labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int = E.FOLDS):
-        f = E.with_folds(labeled, folds).cache()
+        f = settled(E.with_folds(labeled, folds), "folds")
         self.columns, self.parts = columns, []
         for k in range(1, folds + 1):
             train, test = f.where(F.col("fold") < k), f.where(F.col("fold") == k)
@@ -118,7 +118,7 @@ def _ada_score(trees, rows: DataFrame) -> DataFrame:
 def benchmark(labeled: DataFrame, name: str, columns: list[str] = TECHNICAL, rounds: int = 50) -> DataFrame:
     """(model, brier, auc, confidence, train_s) of one benchmark with isotonic calibration: the last third calibrates,
     the models are fitted on the rows before; scores are of the calibrated rows' next fold."""
-    f = E.with_folds(labeled, 3).cache()
+    f = settled(E.with_folds(labeled, 3), "folds")
     began = time.time()
     train, cal, test = f.where("fold < 2"), f.where("fold = 2"), f.where("fold = 3")
     prep = _prepared(train, columns)
@@ -154,7 +154,7 @@ def run_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame, sy
         if r["trained"]:
             try:
                 pair = labeled.where((F.col("symbol") == r["symbol"]) & (F.col("timeframe") == r["timeframe"]))
-                scored = out_of_sample(pair).cache()
+                scored = settled(out_of_sample(pair), "scored")
                 brier, auc, status = E.brier_skill(scored).first()["brier"], E.roc_auc(scored).first()["auc"], "ok"
             except Exception as e:  # one pair's failure is reported and the run goes on
                 status = f"failed: {type(e).__name__}"

@@ -531,7 +531,7 @@ def platt(spark, d):
 def benchmarks(spark, d):
     from barflow.operators.training import BENCHMARKS, benchmark
 
-    rows, out = scored(spark, d).drop("fold", "proba").cache(), None
+    rows, out = B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), None
     for name in BENCHMARKS:
         part = benchmark(rows, name, rounds=10)
         out = part if out is None else out.unionByName(part)
@@ -550,14 +550,14 @@ def feature_importance(spark, d):
 def run_index(spark, d):
     from barflow.operators.training import run_pairs
 
-    return run_pairs(spark, scored(spark, d).drop("fold", "proba"), B.timeframes(spark), symbols=["click", "view"])
+    return run_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark), symbols=["click", "view"])
 
 
 @query
 def model_cards(spark, d):
     from barflow.operators.training import benchmark
 
-    s = scored(spark, d)
+    s = B.settled(scored(spark, d), "scored")
     active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
     pairs = s.select(*KEY).distinct()
     bench = pairs.join(F.broadcast(benchmark(s.drop("fold", "proba"), "naive_bayes").withColumn("_k", F.lit(1))), F.lit(True))
@@ -573,9 +573,7 @@ def _ticks_stream(spark, d):
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives over the files that are there, as a table in the shared folder."""
-    from barflow.streaming.live import folder
-
-    spark, out = stream.sparkSession, folder(stream.sparkSession, "stream")
+    spark, out = stream.sparkSession, B.folder(stream.sparkSession, "stream")
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
@@ -589,18 +587,18 @@ def stream_bars(spark, d):
 
 @query
 def stream_ema(spark, d):
-    from barflow.streaming.live import folder, stream_averages
+    from barflow.streaming.live import stream_averages
 
-    path = folder(spark, "bars")
+    path = B.folder(spark, "bars")
     bars(spark, d).write.parquet(path)
     return _drained(stream_averages(spark.readStream.schema(B.BAR_SCHEMA).parquet(path)))
 
 
 @query
 def stream_reading(spark, d):
-    from barflow.streaming.live import folder, stream_readings
+    from barflow.streaming.live import stream_readings
 
-    path = folder(spark, "reading")
+    path = B.folder(spark, "reading")
     bars(spark, d).write.parquet(f"{path}/in")
     source = spark.readStream.schema(B.BAR_SCHEMA).parquet(f"{path}/in")
     stream_readings(source, f"{path}/history", f"{path}/readings", lambda b: R.predictions(b).select(*AT, "close", "proba"), f"{path}/state").awaitTermination()

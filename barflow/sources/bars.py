@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,19 @@ DEFAULT_SYMBOL, DEFAULT_TIMEFRAME = "XAUUSD", "1D"
 SYMBOLS = [("XAUUSD", True), ("BTCUSD", False), ("ETHUSD", False), ("SPX500", False), ("NAS100", False)]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that the session names; a temporary one only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows neither recomputes nor replans it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def series_window() -> Window:
     return Window.partitionBy(*SERIES).orderBy("ts")
 
