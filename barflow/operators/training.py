@@ -136,9 +136,9 @@ def benchmark(labeled: DataFrame, name: str, columns: list[str] = TECHNICAL, rou
     iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="proba").fit(score(cal))
     out = iso.transform(score(test)).select(*SERIES, "ts", "label", "proba", F.lit(1).alias("fold"))
     seconds = time.time() - began
-    b = out.agg(F.avg(F.pow(F.col("proba") - F.col("label"), 2)).alias("brier"))
-    auc = E.roc_auc(out).agg(F.avg("auc").alias("auc"))
-    return b.crossJoin(auc).select(F.lit(name).alias("model"), "brier", "auc", F.greatest(1 - F.col("brier"), F.lit(0.0)).alias("confidence"), F.lit(seconds).alias("train_s"))
+    b = out.agg(F.lit(1).alias("_k"), F.avg(F.pow(F.col("proba") - F.col("label"), 2)).alias("brier"))
+    auc = E.roc_auc(out).agg(F.lit(1).alias("_k"), F.avg("auc").alias("auc"))
+    return b.join(auc, "_k").select(F.lit(name).alias("model"), "brier", "auc", F.greatest(1 - F.col("brier"), F.lit(0.0)).alias("confidence"), F.lit(seconds).alias("train_s"))
 
 
 def run_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame, symbols: list[str] | None = None, only: list[str] | None = None) -> DataFrame:

@@ -560,7 +560,8 @@ def model_cards(spark, d):
     s = B.settled(scored(spark, d), "scored")
     active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
     pairs = s.select(*KEY).distinct()
-    bench = pairs.join(F.broadcast(benchmark(s.drop("fold", "proba"), "naive_bayes").withColumn("_k", F.lit(1))), F.lit(True))
+    one = benchmark(s.drop("fold", "proba"), "naive_bayes").withColumn("_k", F.lit(1))
+    bench = pairs.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
     return D.model_cards(active, bench, s)
 
 
