@@ -550,7 +550,7 @@ def feature_importance(spark, d):
 def run_index(spark, d):
     from barflow.operators.training import run_pairs
 
-    return run_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark), symbols=["click", "view"])
+    return run_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark))
 
 
 @query

@@ -38,3 +38,9 @@ def test_benchmarks_and_runs(spark):
     assert {x.model for x in b} == {"random_forest", "gradient_boost", "ada_boost", "naive_bayes"} and all(0 < x.brier < 0.35 for x in b)
     assert {x.status for x in QUERIES["run_index"](spark, SMALL).collect()} == {"ok"}
     assert QUERIES["model_cards"](spark, SMALL).count() == 10
+
+
+def test_run_index_has_every_pair(spark):
+    want = {(r.symbol, r.timeframe) for r in bars(spark, SMALL).select("symbol", "timeframe").distinct().collect()}
+    got = QUERIES["run_index"](spark, SMALL).collect()
+    assert len(want) == 5 and len(got) == 5 and {(r.symbol, r.timeframe) for r in got} == want
