@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -141,6 +142,22 @@ def benchmark(labeled: DataFrame, name: str, columns: list[str] = TECHNICAL, rou
     return b.join(auc, "_k").select(F.lit(name).alias("model"), "brier", "auc", F.greatest(1 - F.col("brier"), F.lit(0.0)).alias("confidence"), F.lit(seconds).alias("train_s"))
 
 
+def benchmark_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame) -> DataFrame:
+    """(symbol, timeframe, model, brier, auc, confidence, train_s): every benchmark of each pair that passes its gate.
+
+    Pairs are the catalog's few and wait for many short jobs: some are fitted at once."""
+    pairs = E.training_gate(labeled, timeframes).where("trained").orderBy(*SERIES).collect()
+
+    def fit(item) -> tuple:
+        r, name = item
+        pair = labeled.where((F.col("symbol") == r["symbol"]) & (F.col("timeframe") == r["timeframe"]))
+        return r["symbol"], r["timeframe"], *benchmark(pair, name).first()
+
+    with ThreadPool(4) as pool:
+        out = pool.map(fit, [(r, name) for r in pairs for name in BENCHMARKS], chunksize=1)
+    return spark.createDataFrame(out, "symbol string, timeframe string, model string, brier double, auc double, confidence double, train_s double")
+
+
 def run_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame, symbols: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """(symbol, timeframe, rows, status, brier, auc): trains each pair that passes its gate; a pair's failure is its status.
 

@@ -529,13 +529,9 @@ def platt(spark, d):
 
 @query
 def benchmarks(spark, d):
-    from barflow.operators.training import BENCHMARKS, benchmark
+    from barflow.operators.training import benchmark_pairs
 
-    rows, out = B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), None
-    for name in BENCHMARKS:
-        part = benchmark(rows, name, rounds=10)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return benchmark_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark))
 
 
 @query
@@ -555,13 +551,11 @@ def run_index(spark, d):
 
 @query
 def model_cards(spark, d):
-    from barflow.operators.training import benchmark
+    from barflow.operators.training import benchmark_pairs
 
     s = B.settled(scored(spark, d), "scored")
     active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
-    pairs = s.select(*KEY).distinct()
-    one = benchmark(s.drop("fold", "proba"), "naive_bayes").withColumn("_k", F.lit(1))
-    bench = pairs.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
+    bench = benchmark_pairs(spark, s.drop("fold", "proba"), B.timeframes(spark))
     return D.model_cards(active, bench, s)
 
 

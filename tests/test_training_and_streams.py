@@ -44,3 +44,23 @@ def test_run_index_has_every_pair(spark):
     want = {(r.symbol, r.timeframe) for r in bars(spark, SMALL).select("symbol", "timeframe").distinct().collect()}
     got = QUERIES["run_index"](spark, SMALL).collect()
     assert len(want) == 5 and len(got) == 5 and {(r.symbol, r.timeframe) for r in got} == want
+
+
+def test_benchmarks_are_fitted_per_series(spark, monkeypatch):
+    from barflow.operators import training
+
+    asked = []
+
+    def fast(labeled, name, columns=training.TECHNICAL, rounds=50):
+        series = [tuple(r) for r in labeled.select("symbol", "timeframe").distinct().collect()]
+        asked.append((*series, name, rounds))
+        return spark.createDataFrame([(name, 0.01 * len(asked), 0.5, 0.9, 1.0)], "model string, brier double, auc double, confidence double, train_s double")
+
+    monkeypatch.setattr(training, "benchmark", fast)
+    cards = QUERIES["model_cards"](spark, SMALL).collect()
+    series = {(r.symbol, r.timeframe) for r in bars(spark, SMALL).select("symbol", "timeframe").distinct().collect()}
+    every = {(s, name, 50) for s in series for name in training.BENCHMARKS}
+    assert len(series) == 5 and set(asked) == every and len(asked) == 20
+    assert {((r.symbol, r.timeframe), r.model) for r in cards} == {(s, m) for s in series for m in (*training.BENCHMARKS, "heuristic")}
+    asked.clear()
+    assert len(QUERIES["benchmarks"](spark, SMALL).collect()) == 20 and set(asked) == every
