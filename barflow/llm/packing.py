@@ -1,14 +1,16 @@
-"""Best-fit packing of documents into sequences by linear grouping.
+"""Packing of documents into sequences by linear grouping.
 
 Only how many pieces of each length there are decides how sequences are filled: a table of at most
 `capacity` numbers, whatever the corpus.  Large lengths are cut into groups of equally many pieces
 and rounded up to their group's longest; the few sizes that are left get fractional
-configurations by column generation; whole multiples of them are filled with the actual lengths;
-what is left over and the small lengths then go best-fit, longest first.  The plan says which
-ranks of each length go to which sequences, and Spark ranks the pieces within their length.
-
-Nulls: a null text is empty, so it has the end id alone; a null doc_id stays null.  Repeated rows
-are packed each.  An empty table gives no rows.
+configurations by column generation; whole multiples of them are filled with actual lengths, each
+place with the longest that it holds; what is left over and the small lengths then go best-fit,
+longest first, into the room of the configurations too.  The plan says which ranks of each length go
+to which sequences, and Spark ranks the pieces within their length.
+
+Nulls: a null text is empty, so it has the end id alone; a null doc_id stays null.  A very long text
+is encoded whole and cut into pieces.  Repeated rows are packed each, pieces of equal length in the
+order of their ids.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ from barflow.llm.common import crc, each_batch, parts_for, texts, written
 from barflow.llm.pretoken import encoder
 
 CAPACITY = 2048
-GROUPS = 32  # sizes that large lengths are rounded up to
-SLACK = 4  # room that a configuration may leave; looser ones are taken apart and packed best-fit
+GROUPS = 192  # sizes that large lengths are rounded up to
 LARGE = 4  # lengths over capacity / LARGE are large
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_BITS = 44
@@ -55,30 +56,27 @@ def packed_pieces(docs: DataFrame, path: str = "", kind: str = "byte", end_id: i
 def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Fractional multiplicities of configurations that meet the demand of each size: column generation.
 
-    Every step's basis is feasible, so the bound on steps costs quality at most."""
-    k = len(sizes)
+    sizes are descending.  Every step's basis is feasible, so the bound on steps costs quality at most."""
+    k, order = len(sizes), np.array(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
     x = demand / np.diag(basis)
+    room = np.arange(capacity + 1)[None, :] - order[:, None]  # what a size leaves of each room
+    fits, room = room >= 0, np.maximum(room, 0)
     for _ in range(24 * k):
         price = np.linalg.solve(basis.T, np.ones(k))
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        order = np.array(sizes)
-        smallest = order.min()
-        for c in range(smallest, capacity + 1):
-            n = np.searchsorted(-order, -c)  # sizes are descending: from n on they fit
-            gain = best[c - order[n:]] + price[n:]
-            j = int(gain.argmax())
-            if gain[j] > best[c - 1] + 1e-12:
-                best[c], pick[c] = gain[j], n + j
-            else:
-                best[c] = best[c - 1]
+        # best value of each room with one item more at each level, and which item that is
+        best, picks = np.zeros(capacity + 1), []
+        for _ in range(capacity // sizes[-1]):
+            gain = np.where(fits, price[:, None] + best[room], 0)
+            pick = gain.argmax(0)
+            top = gain[pick, np.arange(capacity + 1)]
+            picks.append(np.where(top > best + 1e-12, pick, -1))
+            best = np.maximum(best, top)
         if best[capacity] <= 1 + 1e-6:
             break
         column, c = np.zeros(k), capacity
-        while c >= smallest:
-            if pick[c] < 0:
-                c -= 1
-            else:
+        for pick in picks[::-1]:
+            if pick[c] >= 0:
                 column[pick[c]] += 1
                 c -= sizes[pick[c]]
         step = np.linalg.solve(basis, column)
@@ -91,6 +89,51 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[
     return [(basis[:, i].astype(int), float(x[i])) for i in range(k)]
 
 
+def rounded_sizes(left: np.ndarray, lengths: list[int], groups: int) -> tuple[list[int], np.ndarray]:
+    """Sizes, descending, that groups of equally many pieces are rounded up to, and the pieces of each."""
+    each = -(-int(left[lengths].sum()) // groups)
+    sizes: dict[int, int] = {}
+    size = need = 0
+    for n in lengths:
+        c = int(left[n])
+        while c:
+            if not need:
+                size, need = n, each
+            take = min(c, need)
+            sizes[size] = sizes.get(size, 0) + take
+            c -= take
+            need -= take
+    return list(sizes), np.array(list(sizes.values()), float)
+
+
+def _substituted(left: np.ndarray, places: list[int], times: int, capacity: int, least: int) -> list[list]:
+    """Sequences of one configuration with actual lengths for its sizes, as [how many, room, items].
+
+    A place takes the longest length that its size holds, the last place the longest that the room left
+    holds: rounding leaves no room that a piece could use.  What is placed is taken from left."""
+    done: list[list] = []
+    todo: list[list] = [[times, capacity, []]]
+    while todo:
+        many, room, items = todo.pop()
+        k = len(items)
+        if k == len(places):
+            done.append([many, room, items])
+            continue
+        limit = min(room, places[k] if k + 1 < len(places) else room)
+        there = np.flatnonzero(left[least : limit + 1])
+        if not len(there):  # the pieces have run out
+            if items:
+                done.append([many, room, items])
+            continue
+        n = least + int(there[-1])
+        take = min(many, int(left[n]))
+        left[n] -= take
+        if take < many:
+            todo.append([many - take, room, items])
+        todo.append([take, room - n, [*items, (n, 1)]])
+    return done
+
+
 def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
     """Classes of equal sequences: (how many, [(length, copies), ...]) for counts[length] pieces.
 
@@ -100,69 +143,19 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = G
     if left[capacity]:
         done.append((int(left[capacity]), [(capacity, 1)]))
         left[capacity] = 0
-    bins: list[list] = []  # [how many, room, items]
-    lengths = [n for n in range(capacity - 1, capacity // LARGE, -1) if left[n]]
-    total = int(left[lengths].sum()) if lengths else 0
-    if total:
-        each = -(-total // groups)
-        sizes: list[int] = []
-        members: list[list] = []  # per group its runs of (length, count), longest first
-        need = 0
-        for n in lengths:
-            c = int(left[n])
-            while c:
-                if not need:
-                    sizes.append(n)
-                    members.append([])
-                    need = each
-                take = min(c, need)
-                members[-1].append([n, take])
-                c -= take
-                need -= take
-        same: dict[int, int] = {}
-        for s, m in zip(sizes, list(members)):  # groups of one size are one
-            if s in same:
-                members[same[s]] += m
-            else:
-                same[s] = len(same)
-                members[same[s]] = m
-        sizes = list(same)
-        members = members[: len(sizes)]
-        demand = np.array([sum(c for _, c in m) for m in members], float)
+    by_room: list[list] = [[] for _ in range(capacity + 1)]  # [how many, room, items]
+    least = capacity // LARGE + 1
+    lengths = [n for n in range(capacity - 1, least - 1, -1) if left[n]]
+    if lengths:
+        sizes, demand = rounded_sizes(left, lengths, groups)
+        chosen = []
         for config, times in configurations(sizes, demand, capacity):
-            times = int(times + 1e-6)
-            for j in np.flatnonzero(config):
-                have = sum(c for _, c in members[j])
-                times = min(times, have // int(config[j]))
-            if not times:
-                continue
-            made = [[times, capacity, []]]
-            for j in np.flatnonzero(config):
-                for _ in range(int(config[j])):
-                    cut, todo = [], made[::-1]
-                    while todo:
-                        many, room, items = todo.pop()
-                        n, c = members[j][0]
-                        take = min(many, c)
-                        cut.append([take, room - n, [*items, (n, 1)]])
-                        left[n] -= take
-                        if take == c:
-                            members[j].pop(0)
-                        else:
-                            members[j][0][1] -= take
-                        if take < many:
-                            todo.append([many - take, room, items])
-                    made = cut
-            for many, room, items in made:
-                # what rounding leaves too far from full is taken apart again
-                if room > SLACK:
-                    for n, copies in items:
-                        left[n] += many * copies
-                else:
-                    bins.append([many, room, items])
-    by_room: list[list] = [[] for _ in range(capacity + 1)]
-    for b in bins:
-        by_room[b[1]].append(b)
+            places = [sizes[j] for j in np.flatnonzero(config) for _ in range(int(config[j]))]
+            if times >= 1 - 1e-6:
+                chosen.append((places, int(times + 1e-6)))
+        for places, times in sorted(chosen, reverse=True):  # long places first: they have fewest lengths to choose from
+            for b in _substituted(left, places, times, capacity, least):
+                by_room[b[1]].append(b)
     for n in range(capacity - 1, 0, -1):
         c = int(left[n])
         room = n
