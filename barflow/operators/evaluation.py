@@ -51,10 +51,12 @@ def training_gate(labeled: DataFrame, timeframes: DataFrame) -> DataFrame:
 
 
 def brier_skill(scored: DataFrame) -> DataFrame:
-    """Brier score of the out-of-sample rows, its mean over folds, its reference and the skill."""
-    loss = F.pow(F.col("proba") - F.col("label"), 2)
-    folds = scored.where("fold > 0").groupBy(*SERIES, "fold").agg(F.sum(loss).alias("s"), F.count("*").alias("n"), F.sum("label").alias("y"))
-    by = folds.groupBy(*SERIES).agg(F.avg(F.col("s") / F.col("n")).alias("fold_brier"), (F.sum("s") / F.sum("n")).alias("brier"), (F.sum("y") / F.sum("n")).alias("p"))
+    """Brier score of the out-of-sample rows (fold > 0), its mean over folds, its reference and the skill.
+
+    The reference always predicts the share of ones among all rows, those before the first fold too."""
+    loss = F.when(F.col("fold") > 0, F.pow(F.col("proba") - F.col("label"), 2))
+    folds = scored.groupBy(*SERIES, "fold").agg(F.sum(loss).alias("s"), F.count(loss).alias("n"), F.count("*").alias("rows"), F.sum("label").alias("y"))
+    by = folds.groupBy(*SERIES).agg(F.avg(F.col("s") / F.nullif("n", F.lit(0))).alias("fold_brier"), (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("brier"), (F.sum("y") / F.sum("rows")).alias("p"))
     ref = F.col("p") * (1 - F.col("p"))
     return by.select(*SERIES, "fold_brier", "brier", ref.alias("reference"), (1 - F.col("brier") / F.nullif(ref, F.lit(0.0))).alias("skill"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barflow.functions.ema import span, wilder, with_ema
 from barflow.operators.indicators import W, log_return, rows, true_range, with_averages, with_entropy, with_rsi
 from barflow.operators.swings import with_rolling_structure, with_zone_distance
-from barflow.sources.bars import SERIES, fill, tail, with_pos
+from barflow.sources.bars import SERIES, dedupe_last, fill, tail, with_pos
 
 TECHNICAL = ["rsi", "macd_pct", "ema_cross", "atr_pct", "ret_1", "ret_5", "entropy_20", "smc_bias", "zone_dist_atr", "at_zone"]
 MACRO = ["dxy_return_1d", "vix_level", "tnx_level"]
@@ -33,19 +33,22 @@ def _macro_features(df: DataFrame) -> DataFrame:
 
 
 def attach_macro_asof(bars: DataFrame, macro: DataFrame) -> DataFrame:
-    """The same from the last macro day up to the bar, also one without a bar: union, then carry on."""
-    names = [c for c in bars.columns]
-    series = bars.select(*SERIES).distinct()
-    m = macro.select(F.col("day").cast("timestamp").alias("ts"), F.col("dxy").alias("dxy"), "vix", "tnx", F.lit(1).alias("_k"))
-    m = m.join(F.broadcast(series.withColumn("_k", F.lit(1))), "_k").drop("_k").withColumn("_bar", F.lit(0))
-    both = bars.withColumn("_bar", F.lit(1)).unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(*SERIES).orderBy("ts", "_bar").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumns({c: F.last(c, True).over(w) for c in ("dxy", "vix", "tnx")}).where("_bar = 1")
-    return _macro_features(carried.select(*names, "dxy", "vix", "tnx"))
-
-
-def matrix(bars: DataFrame, macro: DataFrame | None = None, drop: bool = True) -> DataFrame:
-    """Features of each bar.  drop leaves out bars with a null (the warm-up), and gives no rows below 60 bars."""
+    """The same from the last macro day up to the bar's day, also one without a bar.
+
+    The values are carried on once over the calendar (the days of both, a few thousand a decade); bars
+    then meet them by day."""
+    bars = bars.withColumn("day", F.col("ts").cast("date"))
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = macro.select("day", "dxy", "vix", "tnx").unionByName(bars.select("day").distinct(), allowMissingColumns=True).groupBy("day").agg(*(F.max(c).alias(c) for c in ("dxy", "vix", "tnx")))
+    carried = days.select("day", *(F.last(c, True).over(w).alias(c) for c in ("dxy", "vix", "tnx")))
+    return _macro_features(bars.join(carried, "day").drop("day"))
+
+
+def matrix(bars: DataFrame, macro: DataFrame | None = None, drop: bool = True, seq: str | None = None) -> DataFrame:
+    """Features of each bar.  drop leaves out bars with a null (the warm-up), and gives no rows below 60 bars.
+
+    Of bars with one timestamp the last by column seq counts, where it is given."""
+    bars = dedupe_last(bars, seq) if seq else bars
     n = F.count("*").over(Window.partitionBy(*SERIES))
     df = with_pos(bars).withColumn("_n", n).where(F.col("_n") >= LEAST_BARS).drop("_n")
     df = with_rsi(df)

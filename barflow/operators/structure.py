@@ -60,15 +60,15 @@ def breaks(bars: DataFrame, scope: str) -> DataFrame:
     """(pos, pivot_pos, level, side, tag): the first crossing of each pivot's level, once a pivot."""
     df = _with_pivots(prepared(bars), SCOPES[scope])
     past = rows(Window.unboundedPreceding, 0)
-    out = None
+    close, last = F.col("close"), previous("close")
+    sides = []
     for side, column in (("bull", "pivot_high"), ("bear", "pivot_low")):
-        known = df.withColumn("level", F.last(column, True).over(past)).withColumn("of", F.last(F.when(F.col(column).isNotNull(), F.col("pivot_pos")), True).over(past))
-        close, last = F.col("close"), previous("close")
-        crossed = (close > F.col("level")) & (last <= F.col("level")) if side == "bull" else (close < F.col("level")) & (last >= F.col("level"))
-        hit = known.withColumn("_x", crossed).where("_x")
-        first = Window.partitionBy(*SERIES, "of").orderBy("pos")
-        hit = hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*SERIES, "pos", F.col("of").alias("pivot_pos"), "level", F.lit(side).alias("side"))
-        out = hit if out is None else out.unionByName(hit)
+        level, of = F.last(column, True).over(past), F.last(F.when(F.col(column).isNotNull(), F.col("pivot_pos")), True).over(past)
+        crossed = (close > level) & (last <= level) if side == "bull" else (close < level) & (last >= level)
+        sides.append(F.when(crossed, F.struct(of.alias("pivot_pos"), level.alias("level"), F.lit(side).alias("side"))))
+    hit = df.select(*SERIES, "pos", F.array_compact(F.array(*sides)).alias("_s")).select(*SERIES, "pos", F.explode("_s").alias("_s")).select(*SERIES, "pos", "_s.*")
+    first = Window.partitionBy(*SERIES, "side", "pivot_pos").orderBy("pos")
+    out = hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     order = Window.partitionBy(*SERIES).orderBy("pos", F.when(F.col("side") == "bull", 0).otherwise(1))
     last = F.lag("side").over(order)
     return out.withColumn("tag", F.when(last.isNotNull() & (last != F.col("side")), "CHoCH").otherwise("BOS"))
@@ -110,12 +110,25 @@ def live(items: DataFrame, bars: DataFrame, at: str) -> DataFrame:
     return items.join(f, [*SERIES, at]).where(~_dead(F.col("side"))).drop("later_low", "later_high")
 
 
-def mitigation(blocks: DataFrame, bars: DataFrame) -> DataFrame:
-    """blocks with mitigated: the first later bar that goes through them, or null."""
-    b = bars.select(*SERIES, F.col("pos").alias("_p"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    through = F.when(F.col("side") == "bull", F.col("_low") < F.col("bottom")).otherwise(F.col("_high") > F.col("top"))
-    hit = blocks.join(b, SERIES).where((F.col("_p") > F.col("x")) & through).groupBy(*SERIES, "side", "break_pos", "x").agg(F.min("_p").alias("mitigated"))
-    return blocks.join(hit, [*SERIES, "side", "break_pos", "x"], "left")
+def mitigation(blocks: DataFrame, bars: DataFrame, bucket: int = 512) -> DataFrame:
+    """blocks with mitigated: the first later bar that goes through them, or null.
+
+    A block looks at the extremes of whole groups of buckets, then at the buckets of its own group and of the
+    first that goes through it, then at the bars of at most three buckets: no block meets its whole series."""
+    key = [*SERIES, "side", "break_pos", "x"]
+    near, wide = F.floor(F.col("x") / bucket), F.floor(F.col("x") / bucket / bucket)
+    past = lambda e: F.when(F.col("side") == "bull", e["low"] < F.col("bottom")).otherwise(e["high"] > F.col("top"))
+    first = lambda of, own: F.get(F.filter(F.col(of), lambda e: (e["at"] > own) & past(e)), F.lit(0))["at"]
+    edges = [F.min("low").alias("low"), F.max("high").alias("high")]
+    small = bars.groupBy(*SERIES, F.floor(F.col("pos") / bucket).alias("at")).agg(*edges)
+    large = small.groupBy(*SERIES, F.floor(F.col("at") / bucket).alias("group")).agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("of"), *edges)
+    tops = large.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct(F.col("group").alias("at"), "low", "high"))).alias("tops"))
+    groups = blocks.join(tops, SERIES).select(*key, "top", "bottom", F.explode(F.array_compact(F.array(wide, first("tops", wide)))).alias("group"))
+    spots = groups.join(large.select(*SERIES, "group", "of"), [*SERIES, "group"]).select(*key, "top", "bottom", first("of", near).alias("at")).where("at is not null")
+    spots = spots.unionByName(blocks.select(*key, "top", "bottom", near.alias("at")))
+    b = bars.select(*SERIES, F.floor(F.col("pos") / bucket).alias("at"), F.col("pos").alias("_p"), "low", "high")
+    hit = spots.join(b, [*SERIES, "at"]).where((F.col("_p") > F.col("x")) & F.coalesce(past({"low": F.col("low"), "high": F.col("high")}), F.lit(False)))
+    return blocks.join(hit.groupBy(*key).agg(F.min("_p").alias("mitigated")), key, "left")
 
 
 def latest(items: DataFrame, order: str, most: int) -> DataFrame:
@@ -152,12 +165,13 @@ def summary(bars: DataFrame) -> DataFrame:
     return _last_levels(bars).join(last, SERIES, "left").select(*SERIES, F.coalesce("side", F.lit("neutral")).alias("bias"), "top", "top_bar", "bottom", "bottom_bar")
 
 
-def window_items(items: DataFrame, bars: DataFrame, n: int, context: int = 200, columns: tuple[str, ...] = ("x",)) -> DataFrame:
+def window_items(items: DataFrame, bars: DataFrame, n: int, context: int = 200, columns: tuple[str, ...] = ("x",), keep: bool = False) -> DataFrame:
     """Items of the chart's last n bars: positions count from its first bar.
 
     items were computed on the last n + context bars; those wholly before the window go, those partly
-    before it start at 0.  Series below 30 bars show nothing."""
+    before it start at 0; with keep none goes.  Series below 30 bars show nothing."""
     size = bars.groupBy(*SERIES).agg(F.count("*").alias("_n")).where("_n >= 30")
     shift = F.greatest(F.least(F.col("_n"), F.lit(n + context)) - n, F.lit(0))
     out = items.join(size, SERIES).withColumns({c: F.col(c) - shift for c in columns})
-    return out.where(F.greatest(*(F.col(c) for c in columns), F.lit(-(1 << 40))) >= 0).withColumns({c: F.greatest(F.col(c), F.lit(0)).cast("long") for c in columns}).drop("_n")
+    out = out if keep else out.where(F.greatest(*(F.col(c) for c in columns), F.lit(-(1 << 40))) >= 0)
+    return out.withColumns({c: F.greatest(F.col(c), F.lit(0)).cast("long") for c in columns}).drop("_n")

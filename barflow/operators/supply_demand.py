@@ -20,53 +20,67 @@ def with_spike(bars: DataFrame) -> DataFrame:
     return bars.withColumn("spike", F.coalesce((mean > 0) & (previous("volume") > mean), F.lit(False)))
 
 
-def candidates(bars: DataFrame) -> DataFrame:
-    """(kind, x1, x2, top, bottom, delta): three bars one way after a spike, and the bar of the other way they come from."""
+def _found(bars: DataFrame) -> DataFrame:
+    """Candidates with the greatest and least later close (hi, lo): one pass over a series for both sides."""
     n = F.count("*").over(Window.partitionBy(*SERIES))
+    later = rows(1, Window.unboundedFollowing)
     df = with_spike(bars.withColumn("_n", n).where(F.col("_n") >= LEAST_BARS).withColumn("tr", true_range())).withColumn("wide", 2 * sma_atr(200))
-    df = df.withColumns({"bear": F.col("close") < F.col("open"), "bull": F.col("close") > F.col("open")})
-    out = None
+    df = df.withColumns({"bear": F.col("close") < F.col("open"), "bull": F.col("close") > F.col("open"), "hi": F.max("close").over(later), "lo": F.min("close").over(later)})
+    df = df.withColumns({f"{c}{k}": previous(c, k) if k else F.col(c) for c in ("bear", "bull", "low", "high", "volume") for k in range(LOOKBACK + 1)})
+    sides = []
     for kind, mine, other, edge in (("supply", "bear", "bull", "low"), ("demand", "bull", "bear", "high")):
-        three = F.col(mine) & previous(mine) & previous(mine, 2) & F.col("spike")
-        back = F.coalesce(*(F.when(previous(other, k) if k else F.col(other), k) for k in range(LOOKBACK + 1)))
+        back = F.coalesce(*(F.when(F.col(f"{other}{k}"), k) for k in range(LOOKBACK + 1)))
         sign = -1 if kind == "supply" else 1
-        signed = [F.when(previous(mine, k) if k else F.col(mine), sign * (previous("volume", k) if k else F.col("volume"))).otherwise(-sign * (previous("volume", k) if k else F.col("volume"))) for k in range(LOOKBACK)]
-        delta = F.lit(0.0)
-        for k, v in enumerate(signed):
-            delta = delta + F.when(F.col("_k") > k, F.col(f"_v{k}")).otherwise(0.0)
-        price = F.coalesce(*(F.when(F.col("_k") == k, previous(edge, k) if k else F.col(edge)) for k in range(LOOKBACK + 1)))
-        hit = df.withColumns({"_three": three, "_k": back, **{f"_v{k}": v for k, v in enumerate(signed)}}).withColumn("_price", price)
-        hit = hit.where("_three and _k is not null")
-        top, bottom = (F.col("_price") + F.col("wide"), F.col("_price")) if kind == "supply" else (F.col("_price"), F.col("_price") - F.col("wide"))
-        part = hit.select(*SERIES, F.lit(kind).alias("kind"), (F.col("pos") - F.col("_k")).alias("x1"), F.col("pos").alias("x2"), top.alias("top"), bottom.alias("bottom"), delta.alias("delta"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        delta, price = F.lit(0.0), F.get(F.array(*(F.col(f"{edge}{k}") for k in range(LOOKBACK + 1))), back)
+        for k in range(LOOKBACK):
+            delta = delta + F.when(back > k, F.when(F.col(f"{mine}{k}"), sign * F.col(f"volume{k}")).otherwise(-sign * F.col(f"volume{k}"))).otherwise(0.0)
+        top, bottom = (price + F.col("wide"), price) if kind == "supply" else (price, price - F.col("wide"))
+        zone = F.struct(F.lit(kind).alias("kind"), (F.col("pos") - back).alias("x1"), F.col("pos").alias("x2"), top.alias("top"), bottom.alias("bottom"), delta.alias("delta"), "hi", "lo")
+        sides.append(F.when(F.col(f"{mine}0") & F.col(f"{mine}1") & F.col(f"{mine}2") & F.col("spike") & back.isNotNull(), zone))
+    return df.select(*SERIES, F.explode(F.array_compact(F.array(*sides))).alias("z")).select(*SERIES, "z.*")
 
 
-def cooled(found: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
-    """The candidates that come at least cooldown - 1 bars after the last accepted one of their side."""
-    gap = max(1, cooldown - 1)
-    fold = F.aggregate(F.array_sort("all"), F.expr("cast(array() as array<bigint>)"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(0)) >= gap), F.concat(kept, F.array(x))).otherwise(kept))
-    kept = found.groupBy(*SERIES, "kind").agg(F.collect_list("x2").alias("all")).select(*SERIES, "kind", F.explode(fold).alias("x2"))
-    return found.join(kept, [*SERIES, "kind", "x2"], "left_semi")
+def candidates(bars: DataFrame) -> DataFrame:
+    """(kind, x1, x2, top, bottom, delta): three bars one way after a spike, and the bar of the other way they come from."""
+    return _found(bars).drop("hi", "lo")
+
 
+def cooled(found: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
+    """The candidates that come at least cooldown - 1 bars after the last accepted one of their side.
 
-def standing(found: DataFrame, bars: DataFrame) -> DataFrame:
-    """Zones that no later close has gone through, less those within a stronger one of their side."""
-    w = rows(1, Window.unboundedFollowing)
-    later = bars.select(*SERIES, F.col("pos").alias("x2"), F.max("close").over(w).alias("hi"), F.min("close").over(w).alias("lo"))
-    alive = found.join(later, [*SERIES, "x2"]).where(F.when(F.col("kind") == "supply", F.coalesce(F.col("hi") <= F.col("top"), F.lit(True))).otherwise(F.coalesce(F.col("lo") >= F.col("bottom"), F.lit(True)))).drop("hi", "lo")
-    a, b = alive.alias("a"), alive.alias("b")
+    One that comes so long after the last candidate is accepted whatever came before: runs start there,
+    and only within a run are candidates taken one after the other."""
+    gap = max(1, cooldown - 1)
+    w = Window.partitionBy(*SERIES, "kind").orderBy("x2")
+    head = F.coalesce(F.col("x2") - F.lag("x2").over(w) >= gap, F.lit(True))
+    numbered = found.withColumn("_head", head.cast("int")).withColumn("_run", F.sum("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = [c for c in found.columns if c not in (*SERIES, "kind")]
+    by = numbered.groupBy(*SERIES, "kind", "_run").agg(F.array_sort(F.collect_list(F.struct("x2", *(c for c in rest if c != "x2")))).alias("all"))
+    start = F.slice("all", 1, 1)
+    fold = F.aggregate(F.slice("all", 2, F.size("all")), start, lambda kept, x: F.when(x["x2"] - F.element_at(kept, -1)["x2"] >= gap, F.concat(kept, F.array(x))).otherwise(kept))
+    return by.select(*SERIES, "kind", F.explode(fold).alias("z")).select(*SERIES, "kind", *(F.col(f"z.{c}") for c in rest))
+
+
+def standing(found: DataFrame) -> DataFrame:
+    """Of zones with their later closes (hi, lo) those that none has gone through, less those within a stronger one of their side.
+
+    Zones meet by price cells as wide as the widest zone, so each lies in two cells at most."""
+    w = Window.partitionBy(*SERIES, "kind")
+    through = F.when(F.col("kind") == "supply", F.col("hi") > F.col("top")).otherwise(F.col("lo") < F.col("bottom"))
+    alive = found.where(~F.coalesce(through, F.lit(False))).drop("hi", "lo").withColumn("_wide", F.greatest(F.max(F.col("top") - F.col("bottom")).over(w), F.lit(1e-9)))
+    cell = lambda c: F.floor(F.col(c) / F.col("_wide"))
+    a = alive.withColumn("cell", cell("bottom")).alias("a")
+    b = alive.withColumn("cell", F.explode(F.sequence(cell("bottom"), cell("top")))).alias("b")
     inside = (F.col("a.top") <= F.col("b.top")) & (F.col("a.bottom") >= F.col("b.bottom"))
     size = lambda t: F.abs(F.col(f"{t}.delta"))
     stronger = (size("b") > size("a")) | ((size("b") == size("a")) & (F.col("b.x2") < F.col("a.x2")))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*SERIES, "kind"]]
-    return a.join(b, [*same, inside & stronger], "left_anti")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*SERIES, "kind", "cell"]]
+    return a.join(b, [*same, inside & stronger], "left_anti").drop("cell", "_wide")
 
 
 def supply_demand(bars: DataFrame) -> DataFrame:
     """The latest zones of each side with their share of the total strength."""
-    zones = standing(cooled(candidates(bars)), bars)
+    zones = standing(cooled(_found(bars)))
     last = Window.partitionBy(*SERIES, "kind").orderBy(F.desc("x2"))
     zones = zones.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= LATEST).drop("_n")
     total = F.sum(F.abs("delta")).over(Window.partitionBy(*SERIES))

@@ -45,13 +45,12 @@ def _bias(close: Column, highs: Column, lows: Column) -> Column:
 
 def structure_bias(bars: DataFrame) -> DataFrame:
     """(symbol, timeframe, bias) on the last bar: its close against the second-last swing high, then low."""
-    df = with_swings(bars)
-    by = df.groupBy(*SERIES).agg(
-        F.max_by("close", "pos").alias("close"),
-        F.array_sort(F.collect_list(F.when(F.col("swing_high").isNotNull(), F.struct("pos", "swing_high")))).alias("h"),
-        F.array_sort(F.collect_list(F.when(F.col("swing_low").isNotNull(), F.struct("pos", "swing_low")))).alias("l"),
-    )
-    return by.select(*SERIES, _bias(F.col("close"), F.col("h.swing_high"), F.col("l.swing_low")).alias("bias"))
+    w = Window.partitionBy(*SERIES, "kind").orderBy(F.desc("pos"))
+    second = swings(bars).withColumn("_n", F.row_number().over(w)).where("_n <= 2").where("_n = 2")
+    levels = second.groupBy(*SERIES).agg(*(F.max(F.when(F.col("kind") == k, F.col("price"))).alias(f"_{k}") for k in ("high", "low")))
+    last = bars.groupBy(*SERIES).agg(F.max_by("close", "pos").alias("close"))
+    up, down = F.col("close") > F.col("_high"), F.col("close") < F.col("_low")
+    return last.join(levels, SERIES, "left").select(*SERIES, F.when(up, 1).when(down, -1).otherwise(0).alias("bias"))
 
 
 def zones_of(highs: Column, lows: Column, tolerance: float = TOLERANCE) -> Column:
@@ -78,9 +77,18 @@ def zones_of(highs: Column, lows: Column, tolerance: float = TOLERANCE) -> Colum
 
 
 def zones(bars: DataFrame) -> DataFrame:
-    """One row for each zone of a series' swings."""
-    by = with_swings(bars).groupBy(*SERIES).agg(F.collect_list("swing_high").alias("h"), F.collect_list("swing_low").alias("l"))
-    return by.select(*SERIES, F.posexplode(zones_of(F.col("h"), F.col("l"))).alias("zone", "z")).select(*SERIES, "zone", "z.*")
+    """One row for each zone of a series' swings.
+
+    A gap wider than the tolerance of the price before it always starts a zone (the first member's
+    tolerance is no wider), so only the prices between such gaps are clustered together."""
+    by_price = Window.partitionBy(*SERIES).orderBy("price", "pos", "kind")
+    last = F.lag("price").over(by_price)
+    points = swings(bars).withColumn("_new", F.coalesce(F.col("price") - last > last * TOLERANCE, F.lit(True)).cast("int"))
+    points = points.withColumn("_run", F.sum("_new").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    side = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("price")))
+    by = points.groupBy(*SERIES, "_run").agg(side("high").alias("h"), side("low").alias("l"))
+    each = by.select(*SERIES, "_run", F.posexplode(zones_of(F.col("h"), F.col("l"))).alias("_i", "z"))
+    return each.select(*SERIES, (F.row_number().over(Window.partitionBy(*SERIES).orderBy("_run", "_i")) - 1).alias("zone"), "z.*")
 
 
 def nearest_zone(zone_array: Column, price: Column, kind: str | None = None) -> Column:

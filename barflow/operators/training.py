@@ -1,17 +1,18 @@
-"""Probability models with Spark ML: cross-validation, calibration, benchmarks, importance, the run over all pairs."""
+"""Probability models with Spark ML, one for each pair: cross-validation, calibration, benchmarks, importance, the run over all pairs."""
 
 from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.operators import evaluation as E
@@ -20,12 +21,45 @@ from barflow.sources.bars import SERIES, settled
 
 C = 0.3
 BENCHMARKS = ("random_forest", "gradient_boost", "ada_boost", "naive_bayes")
+ROWS_EACH = 200_000  # of a pair, in one partition
+THREADS = 4  # pairs whose many short jobs wait for each other at once
 
 
-def _prepared(train: DataFrame, columns: list[str]) -> PipelineModel:
-    """Assembles and standardises by the training rows."""
-    parts = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
-    return Pipeline(stages=parts).fit(train)
+def each_pair(labeled: DataFrame, fit: Callable[[Row, DataFrame], object], folds: int = E.FOLDS) -> list:
+    """fit(pair, rows with folds) for every pair of the table; what it gives must not read the rows later.
+
+    Pairs are the catalog's few; each fit is distributed over the pair's rows."""
+    f = settled(E.with_folds(labeled, folds), "folds")
+
+    def one(pair: Row):
+        rows = f.where((F.col("symbol") == pair["symbol"]) & (F.col("timeframe") == pair["timeframe"])).repartition(-(-pair["count"] // ROWS_EACH)).persist()
+        try:
+            return fit(pair, rows)
+        finally:
+            rows.unpersist()
+
+    with ThreadPool(THREADS) as pool:
+        return pool.map(one, f.groupBy(*SERIES).count().orderBy(*SERIES).collect(), chunksize=1)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _scaler(train: DataFrame, columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds features, standardised by the training rows: population deviation, 0 counts as 1."""
+    m = train.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
+    assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="features")
+
+    def scaled(rows: DataFrame) -> DataFrame:
+        names = [c for c in rows.columns]
+        z = [((F.col(c) - F.lit(m[f"m_{c}"])) / F.lit(m[f"s_{c}"] or 1.0)).alias(f"_z_{c}") for c in columns]
+        return assembler.transform(rows.select(*names, *z)).select(*names, "features")
+
+    return scaled
 
 
 def logreg(n: int, c: float = C) -> LogisticRegression:
@@ -33,21 +67,16 @@ def logreg(n: int, c: float = C) -> LogisticRegression:
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=100)
 
 
-def _proba(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("proba", vector_to_array("probability")[1]).drop("raw", "features", "rawPrediction", "probability", "prediction")
-
-
-def out_of_sample(labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int = E.FOLDS) -> DataFrame:
-    """Test rows of every expanding fold with the probability of the model fitted on all rows before."""
-    f = settled(E.with_folds(labeled, folds), "folds")
-    out = None
-    for k in range(1, folds + 1):  # five fits, whatever the rows
-        train = f.where(F.col("fold") < k)
-        prep = _prepared(train, columns)
-        model = logreg(train.count()).fit(prep.transform(train))
-        part = _proba(model.transform(prep.transform(f.where(F.col("fold") == k))))
-        out = part if out is None else out.unionByName(part)
-    return out
+def out_of_sample(rows: DataFrame, columns: list[str] = TECHNICAL) -> DataFrame:
+    """One pair's rows (with folds) and, in every fold, the probability of the model fitted on all rows before it."""
+    parts = [rows.where("fold = 0").withColumn("proba", F.lit(None).cast("double"))]
+    for k in range(1, 1 + (rows.agg(F.max("fold")).first()[0] or 0)):  # five fits, whatever the rows
+        train = rows.where(F.col("fold") < k)
+        scaled = _scaler(train, columns)
+        model = logreg(train.count()).fit(scaled(train))
+        scored = model.transform(scaled(rows.where(F.col("fold") == k)))
+        parts.append(scored.withColumn("proba", vector_to_array("probability")[1]).select(*rows.columns, "proba"))
+    return union(parts)
 
 
 def platt(rows: DataFrame, margin: str = "margin") -> tuple[float, float]:
@@ -61,34 +90,42 @@ def platt(rows: DataFrame, margin: str = "margin") -> tuple[float, float]:
 
 
 class Calibrated:
-    """The average of models fitted before each fold and calibrated on it."""
-
-    def __init__(self, labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int = E.FOLDS):
-        f = settled(E.with_folds(labeled, folds), "folds")
-        self.columns, self.parts = columns, []
-        for k in range(1, folds + 1):
-            train, test = f.where(F.col("fold") < k), f.where(F.col("fold") == k)
-            prep = _prepared(train, columns)
-            model = logreg(train.count()).fit(prep.transform(train))
-            margin = model.transform(prep.transform(test)).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
-            self.parts.append((prep, model, *platt(margin)))
+    """One pair's model: the average of models fitted before each fold and calibrated on it."""
+
+    def __init__(self, rows: DataFrame, columns: list[str] = TECHNICAL):
+        self.columns, self.parts, self.scaled = columns, [], _scaler(rows, columns)
+        ready = self.scaled(rows).persist()
+        for k in range(1, 1 + (rows.agg(F.max("fold")).first()[0] or 0)):
+            train = ready.where(F.col("fold") < k)
+            model = logreg(train.count()).fit(train)
+            margin = model.transform(ready.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+            self.parts.append((model, *platt(margin)))
+        ready.unpersist()
 
     def score(self, rows: DataFrame) -> DataFrame:
-        names = rows.columns
-        for k, (prep, model, a, b) in enumerate(self.parts):
-            z = vector_to_array("rawPrediction")[1]
-            rows = model.transform(prep.transform(rows)).withColumn(f"_p{k}", 1 / (1 + F.exp(-(a * z + b)))).select(*names, *(f"_p{i}" for i in range(k + 1)))
-        return rows.select(*names, (sum(F.col(f"_p{k}") for k in range(len(self.parts))) / len(self.parts)).alias("proba"))
+        """rows with proba; a linear model is a column expression, so all parts score in one pass."""
+        x, total = vector_to_array("features"), F.lit(0.0)
+        for model, a, b in self.parts:
+            margin = F.lit(float(model.intercept))
+            for i, v in enumerate(model.coefficients):
+                margin = margin + F.lit(float(v)) * F.get("_x", F.lit(i))
+            total = total + 1 / (1 + F.exp(-(a * margin + b)))
+        return self.scaled(rows).withColumn("_x", x).select(*rows.columns, (total / len(self.parts)).alias("proba"))
 
     def importance(self) -> list[tuple[str, float]]:
         """Coefficients of the first fold's model, largest first; equal shares where all are zero."""
-        values = [float(v) for v in self.parts[0][1].coefficients]
+        values = [float(v) for v in self.parts[0][0].coefficients]
         if not any(values):
             values = [1.0 / len(values)] * len(values)
         return sorted(zip(self.columns, values), key=lambda x: (-abs(x[1]), x[0]))
 
+    def save(self, path: str) -> None:
+        """One Spark ML model a fold."""
+        for k, (model, _, _) in enumerate(self.parts):
+            save(model, f"{path}/fold={k}")
+
 
-def ada_boost(train: DataFrame, rounds: int = 50, rate: float = 0.5) -> list[tuple[float, DecisionTreeClassifier]]:
+def ada_boost(train: DataFrame, rounds: int = 50, rate: float = 0.5) -> list[tuple[float, Model]]:
     """Weighted stumps (SAMME): each round gives what the last got wrong more weight; weights are checkpointed."""
     rows, out = train.withColumn("w", F.lit(1.0)), []
     for k in range(rounds):
@@ -103,7 +140,7 @@ def ada_boost(train: DataFrame, rounds: int = 50, rate: float = 0.5) -> list[tup
         a = rate * math.log((1 - e) / e)
         out.append((a, tree))
         rows = scored.withColumn("w", F.col("w") * F.exp(a * wrong)).drop("prediction")
-        if k % 10 == 9:
+        if k % 5 == 4:
             rows = rows.checkpoint()
     return out
 
@@ -116,68 +153,93 @@ def _ada_score(trees, rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", total / sum(a for a, _ in trees)).select(*names, "score")
 
 
-def benchmark(labeled: DataFrame, name: str, columns: list[str] = TECHNICAL, rounds: int = 50) -> DataFrame:
-    """(model, brier, auc, confidence, train_s) of one benchmark with isotonic calibration: the last third calibrates,
-    the models are fitted on the rows before; scores are of the calibrated rows' next fold."""
-    f = settled(E.with_folds(labeled, 3), "folds")
-    began = time.time()
-    train, cal, test = f.where("fold < 2"), f.where("fold = 2"), f.where("fold = 3")
-    prep = _prepared(train, columns)
-    rows = prep.transform(train)
+def _scorer(name: str, train: DataFrame, rounds: int) -> Callable[[DataFrame], DataFrame]:
+    """Fits a benchmark on frame (label, features); what it gives adds score."""
     if name == "ada_boost":
-        trees = ada_boost(rows.select("label", "features"), rounds)
-        score = lambda df: _ada_score(trees, prep.transform(df))
-    else:
-        model = {
-            "random_forest": RandomForestClassifier(numTrees=100, maxDepth=5, seed=42),
-            "gradient_boost": GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=42),
-            "naive_bayes": NaiveBayes(modelType="gaussian"),
-        }[name].fit(rows)
-        score = lambda df: model.transform(prep.transform(df)).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="proba").fit(score(cal))
-    out = iso.transform(score(test)).select(*SERIES, "ts", "label", "proba", F.lit(1).alias("fold"))
-    seconds = time.time() - began
-    b = out.agg(F.lit(1).alias("_k"), F.avg(F.pow(F.col("proba") - F.col("label"), 2)).alias("brier"))
-    auc = E.roc_auc(out).agg(F.lit(1).alias("_k"), F.avg("auc").alias("auc"))
-    return b.join(auc, "_k").select(F.lit(name).alias("model"), "brier", "auc", F.greatest(1 - F.col("brier"), F.lit(0.0)).alias("confidence"), F.lit(seconds).alias("train_s"))
-
-
-def benchmark_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame) -> DataFrame:
-    """(symbol, timeframe, model, brier, auc, confidence, train_s): every benchmark of each pair that passes its gate.
-
-    Pairs are the catalog's few and wait for many short jobs: some are fitted at once."""
-    pairs = E.training_gate(labeled, timeframes).where("trained").orderBy(*SERIES).collect()
-
-    def fit(item) -> tuple:
-        r, name = item
-        pair = labeled.where((F.col("symbol") == r["symbol"]) & (F.col("timeframe") == r["timeframe"]))
-        return r["symbol"], r["timeframe"], *benchmark(pair, name).first()
-
-    with ThreadPool(4) as pool:
-        out = pool.map(fit, [(r, name) for r in pairs for name in BENCHMARKS], chunksize=1)
-    return spark.createDataFrame(out, "symbol string, timeframe string, model string, brier double, auc double, confidence double, train_s double")
+        trees = ada_boost(train.select("label", "features"), rounds)
+        return lambda rows: _ada_score(trees, rows)
+    model = {
+        "random_forest": RandomForestClassifier(numTrees=100, maxDepth=5, seed=42),
+        "gradient_boost": GBTClassifier(maxIter=2 * rounds, maxDepth=3, stepSize=0.1, seed=42),
+        "naive_bayes": NaiveBayes(modelType="gaussian"),
+    }[name].fit(train)
+    return lambda rows: model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+
+def _calibrated_scorer(name: str, train: DataFrame, inner: int, rounds: int) -> Callable[[DataFrame], DataFrame]:
+    """The average of benchmarks fitted before each inner fold and calibrated (isotonic) on it."""
+    f = E.with_folds(train, inner).persist()
+    parts = []
+    for k in range(1, inner + 1):
+        score = _scorer(name, f.where(F.col("fold") < k), rounds)
+        parts.append((score, IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="_p").fit(score(f.where(F.col("fold") == k)).select("label", "score"))))
+    f.unpersist()
+
+    def run(rows: DataFrame) -> DataFrame:
+        names, total = rows.columns, F.lit(0.0)
+        for k, (score, iso) in enumerate(parts):
+            rows = iso.transform(score(rows)).withColumnRenamed("_p", f"_p{k}").drop("score")
+            total = total + F.col(f"_p{k}")
+        return rows.withColumn("proba", total / len(parts)).select(*names, "proba")
+
+    return run
+
+
+def benchmark(rows: DataFrame, name: str, columns: list[str] = TECHNICAL, first_fold: int = 1, inner: int = 3, rounds: int = 50) -> tuple[float, float, float]:
+    """(brier, auc, seconds to fit) of one benchmark on one pair's rows with folds: means over the folds from
+    first_fold on of models fitted on all rows before, each calibrated over inner folds of those rows."""
+    briers, aucs, began = [], [], time.time()
+    for k in range(first_fold, 1 + (rows.agg(F.max("fold")).first()[0] or 0)):
+        train = rows.where(F.col("fold") < k)
+        scaled = _scaler(train, columns)
+        run = _calibrated_scorer(name, scaled(train.select(*SERIES, "ts", "label", *columns)).drop(*columns), inner, rounds)
+        test = run(scaled(rows.where(F.col("fold") == k).select(*SERIES, "ts", "label", "fold", *columns)).drop(*columns)).select(*SERIES, "label", "fold", "proba").persist()
+        briers.append(test.agg(F.avg(F.pow(F.col("proba") - F.col("label"), 2))).first()[0])
+        auc = E.roc_auc(test).first()["auc"]
+        aucs.append(0.5 if auc is None else auc)
+        test.unpersist()
+    return sum(briers) / len(briers), sum(aucs) / len(aucs), time.time() - began
+
+
+def trained_pairs(labeled: DataFrame, timeframes: DataFrame) -> DataFrame:
+    """The rows of the pairs that pass their gate."""
+    ok = E.training_gate(labeled, timeframes).where("trained").select(*SERIES)
+    return labeled.join(F.broadcast(ok), SERIES, "left_semi")  # the catalog's few pairs
+
+
+def benchmark_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame, folds: int = E.FOLDS, first_fold: int = 1, inner: int = 3) -> DataFrame:
+    """(symbol, timeframe, model, brier, auc, confidence, train_s): every benchmark of each pair that passes its gate."""
+
+    def fit(pair: Row, rows: DataFrame) -> list[tuple]:
+        out = []
+        for name in BENCHMARKS:
+            brier, auc, seconds = benchmark(rows, name, first_fold=first_fold, inner=inner)
+            out.append((pair["symbol"], pair["timeframe"], name, brier, auc, max(1 - brier, 0.0), seconds))
+        return out
+
+    found = [r for part in each_pair(trained_pairs(labeled, timeframes), fit, folds) for r in part]
+    return spark.createDataFrame(found, "symbol string, timeframe string, model string, brier double, auc double, confidence double, train_s double")
 
 
 def run_pairs(spark: SparkSession, labeled: DataFrame, timeframes: DataFrame, symbols: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    """(symbol, timeframe, rows, status, brier, auc): trains each pair that passes its gate; a pair's failure is its status.
-
-    Pairs are the catalog's few; each fit is distributed."""
-    gate = E.training_gate(labeled, timeframes)
-    gate = gate.where(F.col("symbol").isin(symbols)) if symbols else gate
-    gate = gate.where(F.col("timeframe").isin(only)) if only else gate
-    out = []
-    for r in gate.orderBy(*SERIES).collect():
+    """(symbol, timeframe, rows, status, brier, auc): trains each pair that passes its gate; the others are skipped, and
+    a pair's failure is its status.  brier is the mean over folds."""
+    labeled = labeled.where(F.col("symbol").isin(symbols)) if symbols else labeled
+    labeled = labeled.where(F.col("timeframe").isin(only)) if only else labeled
+    gate = {(r["symbol"], r["timeframe"]): r["trained"] for r in E.training_gate(labeled, timeframes).collect()}
+
+    def fit(pair: Row, rows: DataFrame) -> tuple:
         status, brier, auc = "skipped", None, None
-        if r["trained"]:
+        if gate[pair["symbol"], pair["timeframe"]]:
             try:
-                pair = labeled.where((F.col("symbol") == r["symbol"]) & (F.col("timeframe") == r["timeframe"]))
-                scored = settled(out_of_sample(pair), "scored")
-                brier, auc, status = E.brier_skill(scored).first()["brier"], E.roc_auc(scored).first()["auc"], "ok"
+                scored = settled(out_of_sample(rows), "scored")
+                brier, auc, status = E.brier_skill(scored).first()["fold_brier"], E.roc_auc(scored.where("fold > 0")).first()["auc"], "ok"
             except Exception as e:  # one pair's failure is reported and the run goes on
                 status = f"failed: {type(e).__name__}"
-        out.append((r["symbol"], r["timeframe"], r["n"], status, brier, auc))
-    return spark.createDataFrame(out, "symbol string, timeframe string, rows long, status string, brier double, auc double")
+        return pair["symbol"], pair["timeframe"], pair["count"], status, brier, auc
+
+    return spark.createDataFrame(each_pair(labeled, fit), "symbol string, timeframe string, rows long, status string, brier double, auc double")
 
 
-def save(model: PipelineModel, path: str) -> None:
+def save(model: Model, path: str) -> None:
     model.write().overwrite().save(path)

@@ -22,8 +22,10 @@ def bins(bars: DataFrame, n: int = BINS) -> DataFrame:
     grid = days.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("center", center)
     centers = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("bin"), ((edge(k) + edge(k + 1)) / 2).alias("c")))
     hit = df.where("high > low and volume > 0").join(days, DAY).withColumn("in", F.filter(centers, lambda c: (c["c"] >= F.col("low")) & (c["c"] <= F.col("high"))))
-    part = hit.where(F.size("in") > 0).select(*DAY, F.explode("in.bin").alias("bin"), (F.col("volume") / F.size("in")).alias("v"))
-    volume = part.groupBy(*DAY, "bin").agg(F.sum("v").alias("volume"))
+    part = hit.where(F.size("in") > 0).select(*DAY, "ts", F.explode("in.bin").alias("bin"), (F.col("volume") / F.size("in")).alias("v"))
+    # parts are added in the bars' order: bins of the same bars then have the same volume to the last bit
+    parts = F.array_sort(F.collect_list(F.struct("ts", "v")))["v"]
+    volume = part.groupBy(*DAY, "bin").agg(parts.alias("parts")).withColumn("volume", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)).drop("parts")
     with_volume = volume.select(*DAY).distinct()
     return grid.join(volume, [*DAY, "bin"], "left").join(with_volume, DAY, "left_semi").select(*DAY, "bin", "center", F.coalesce("volume", F.lit(0.0)).alias("volume"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barflow.sources.bars import SYMBOLS, TIMEFRAMES
+import re
 
 TICKS = """ticks AS (
   SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS vol
@@ -257,12 +257,12 @@ PROFILE = """vd AS (SELECT *, CAST(ts AS DATE) AS day FROM bars), days AS (
 ), grid AS (
   SELECT *, ((lo + bin * ((hi - lo) / 100)) + (lo + (bin + 1) * ((hi - lo) / 100))) / 2 AS center FROM days, (SELECT CAST(unnest(range(100)) AS INTEGER) AS bin)
 ), hits AS (
-  SELECT g.symbol, g.timeframe, g.day, g.bin, v.volume / count(*) OVER (PARTITION BY v.symbol, v.timeframe, v.ts) AS part
+  SELECT g.symbol, g.timeframe, g.day, g.bin, v.ts, v.volume / count(*) OVER (PARTITION BY v.symbol, v.timeframe, v.ts) AS part
   FROM vd v JOIN grid g ON g.symbol = v.symbol AND g.timeframe = v.timeframe AND g.day = v.day AND g.center BETWEEN v.low AND v.high WHERE v.high > v.low AND v.volume > 0
-), sums AS (SELECT symbol, timeframe, day, bin, sum(part) AS volume FROM hits GROUP BY ALL), vbins AS (
+), sums AS (SELECT symbol, timeframe, day, bin, sum(part ORDER BY ts) AS volume FROM hits GROUP BY ALL), vbins AS (
   SELECT g.symbol, g.timeframe, g.day, g.bin, g.center, coalesce(s.volume, 0) AS volume FROM grid g LEFT JOIN sums s USING (symbol, timeframe, day, bin)
   WHERE (g.symbol, g.timeframe, g.day) IN (SELECT (symbol, timeframe, day) FROM sums)
-), poc AS (SELECT symbol, timeframe, day, arg_min(bin, {'v': -volume, 'b': bin}) AS p, sum(volume) AS total, max(volume) AS top FROM vbins GROUP BY ALL), grow AS (
+), poc AS (SELECT symbol, timeframe, day, arg_min(bin, {'v': -volume, 'b': bin}) AS p, sum(volume ORDER BY bin) AS total, max(volume) AS top FROM vbins GROUP BY ALL), grow AS (
   SELECT symbol, timeframe, day, p AS lo_i, p AS hi_i, top AS acc, total, 0 AS step FROM poc
   UNION ALL
   SELECT g.symbol, g.timeframe, g.day, CASE WHEN coalesce(u.volume, -1) >= coalesce(d.volume, -1) THEN lo_i ELSE lo_i - 1 END, CASE WHEN coalesce(u.volume, -1) >= coalesce(d.volume, -1) THEN hi_i + 1 ELSE hi_i END,
@@ -296,9 +296,9 @@ OHLC = _r("open", "high", "low", "close", "volume")
 IND = (BARS, _pos(), _averages())
 NAMES = ["rsi", "macd_pct", "ema_cross", "atr_pct", "ret_1", "ret_5", "entropy_20", "smc_bias", "zone_dist_atr", "at_zone"]
 _FM = f"{KEYS}, ts, " + ", ".join(n if n in ("smc_bias", "at_zone") else f"round({n}, 6) AS {n}" for n in [*NAMES, "high", "low", "close"])
-_IDS = ", ".join(f"('{s}')" for s, _ in SYMBOLS)
-_TFS = ", ".join(f"('{t}', {m})" for t, m, _ in TIMEFRAMES)
-_TABLES = f"sy(id) AS (VALUES {_IDS}), tf(id, min_bars) AS (VALUES {_TFS})"
+#: The catalog's symbols, and the rows a pair of each timeframe needs.
+_TABLES = """sy(id) AS (VALUES ('XAUUSD'), ('BTCUSD'), ('ETHUSD'), ('SPX500'), ('NAS100')),
+tf(id, min_bars) AS (VALUES ('1m', 300), ('5m', 1000), ('15m', 1000), ('1H', 1500), ('4H', 800), ('1D', 400), ('1W', 200))"""
 _B20 = "PARTITION BY symbol, timeframe ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
 _TB = "CASE WHEN n < 50 THEN 'neutral' WHEN e20 > e50 THEN 'bullish' WHEN e20 < e50 THEN 'bearish' ELSE 'neutral' END"
 
@@ -324,8 +324,8 @@ def _filled(c: str, part: str) -> str:
     return f"coalesce(last_value({c} IGNORE NULLS) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER ({part} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 
 
-_SKILL = """bs0 AS (SELECT symbol, timeframe, fold, sum((proba - label) ** 2) AS s, count(*) AS n, sum(label) AS y FROM sc WHERE fold > 0 GROUP BY ALL), bs1 AS (
-  SELECT symbol, timeframe, avg(s / n) AS fold_brier, sum(s) / sum(n) AS brier, sum(y) / sum(n) AS p FROM bs0 GROUP BY ALL
+_SKILL = """bs0 AS (SELECT symbol, timeframe, fold, sum((proba - label) ** 2) AS s, count(*) AS n FROM sc WHERE fold > 0 GROUP BY ALL), bs1 AS (
+  SELECT symbol, timeframe, avg(s / n) AS fold_brier, sum(s) / sum(n) AS brier, (SELECT avg(label) FROM sc WHERE sc.symbol = bs0.symbol AND sc.timeframe = bs0.timeframe) AS p FROM bs0 GROUP BY ALL
 ), bs AS (SELECT symbol, timeframe, fold_brier, brier, p * (1 - p) AS reference, 1 - brier / nullif(p * (1 - p), 0) AS skill FROM bs1)"""
 _AUC = """rk AS (
   SELECT *, rank() OVER (PARTITION BY symbol, timeframe ORDER BY proba) + (count(*) OVER (PARTITION BY symbol, timeframe, proba) - 1) / 2.0 AS r FROM sc WHERE fold > 0
@@ -356,6 +356,61 @@ _PRED = """pred AS (
 )"""
 _SWING, _INNER = LEGS.format(z=10, y=9), LEGS.format(z=4, y=3)
 
+
+
+def _renamed(sql: str, suffix: str) -> str:
+    """The same CTEs under other names, so that two of a kind fit into one query."""
+    names = sorted(set(re.findall(r"(?:^|[,)]\s*|\n)(\w+)(?:\([^()]*\))? AS \(", sql)), key=len, reverse=True)
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: m[0] + suffix, sql)
+
+
+def _gauss(n: int) -> str:
+    """Inverse of the n x n matrix in g(m), a list of rows with the unit matrix beside it, row by row."""
+    return f"""gj AS (
+  SELECT 1 AS k, m FROM g
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {n}
+), inv AS (SELECT m FROM gj WHERE k = {n + 1})"""
+
+
+_SCOPES = {"s": (_SWING, BREAKS.format(z=10), BLOCKS), "i": (_INNER, BREAKS.format(z=4), BLOCKS)}
+
+
+def _overlay(name: str, tag: str, side: str, x1: str, x2: str, top: str, bottom: str, source: str) -> str:
+    return f"SELECT {KEYS}, '{name}' AS overlay, {tag} AS tag, {side} AS side, {x1} AS x1, {x2} AS x2, {top} AS top, {bottom} AS bottom FROM {source}"
+
+
+_LABEL = "CASE WHEN kind = 'high' THEN CASE WHEN last IS NULL OR price > last THEN 'HH' ELSE 'LH' END ELSE CASE WHEN last IS NULL OR price < last THEN 'LL' ELSE 'HL' END END"
+_LIVE12 = "(SELECT * FROM mit_{0} WHERE mitigated IS NULL QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY break_pos DESC, side) <= 12)"
+_CHART = (
+    BARS,
+    "ctx AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) <= 350)",
+    _pos("ctx", "b"),
+    *(_renamed(",\n".join(parts), f"_{k}") for k, parts in _SCOPES.items()),
+    GAPS.format(source="b"),
+    SUPPLY,
+    COOLED,
+    _LAST.replace("FROM pv ", "FROM pv_s "),
+    "lb AS (SELECT symbol, timeframe, arg_max(side, pos * 2 + CASE WHEN side = 'bull' THEN 0 ELSE 1 END) AS side FROM br_s GROUP BY ALL)",
+    "sz AS (SELECT symbol, timeframe, greatest(least(count(*), 350) - 150, 0) AS shift FROM bars GROUP BY ALL HAVING count(*) >= 30)",
+    "ov AS ("
+    + "\nUNION ALL ".join(
+        [
+            _overlay("swing", _LABEL, "kind", "pos", "pos", "price", "price", "pvl_s"),
+            _overlay("gap", "''", "side", "x", "x", "top", "bottom", "(SELECT * FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM b p WHERE p.symbol = g.symbol AND p.pos > g.x AND CASE WHEN g.side = 'bull' THEN p.low < g.bottom ELSE p.high > g.top END) QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY x DESC) <= 20)"),
+            _overlay("equal", "CASE WHEN kind = 'high' THEN 'EQH' ELSE 'EQL' END", "''", "pos", "pos", "price", "last", "pvl_s WHERE az_s > 0 AND abs(price - last) <= 0.1 * az_s".replace("az_s", "az")),
+            _overlay("break_swing", "tag", "side", "pivot_pos", "pos", "level", "level", "br_s"),
+            _overlay("break_internal", "tag", "side", "pivot_pos", "pos", "level", "level", "br_i"),
+            _overlay("block_swing", "''", "side", "x", "x", "top", "bottom", _LIVE12.format("s")),
+            _overlay("block_internal", "''", "side", "x", "x", "top", "bottom", _LIVE12.format("i")),
+            _overlay("zone", "''", "kind", "x1", "x2", "top", "bottom", "latest"),
+        ]
+    )
+    + "\n)",
+)
+_NEWS = HEADS.replace("source AS symbol", "['click', 'view', 'purchase', 'signup', 'error'][doc_id % 5 + 1] AS symbol")
+_TAG = "CASE WHEN s > 0.15 THEN 'bullish' WHEN s < -0.15 THEN 'bearish' ELSE 'neutral' END"
+
 ORACLES: dict[str, str] = {
     "bars_load": _with(TICKS, _ohlc("bars", "15m", "time_bucket(INTERVAL '15 minutes', ts)"), select=f"SELECT {KEYS}, ts, {OHLC} FROM bars"),
     "macro_daily": _with(MACRO, select=f"SELECT day, {_r('dxy', 'vix', 'tnx')} FROM macro0"),
@@ -363,7 +418,7 @@ ORACLES: dict[str, str] = {
     "source_fallback": _with(DAILY, """lt AS (SELECT CASE WHEN l_returnflag = 'A' THEN '1-URGENT' ELSE l_returnflag END AS symbol, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS price FROM lineitem),
 u AS (SELECT symbol, 2 AS rank, ts::DATE AS day, low, high FROM daily UNION ALL SELECT symbol, 1, day, min(price), max(price) FROM lt GROUP BY symbol, day)""", select="SELECT symbol, rank, count(*) AS n, round(min(low), 6) AS low, round(max(high), 6) AS high FROM (SELECT *, min(rank) OVER (PARTITION BY symbol) AS best FROM u) WHERE rank = best GROUP BY symbol, rank"),
     "catalog_defaulting": _with(_TABLES, "e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'BTCUSD' ELSE event_type END AS s, CASE WHEN event_id % 2 = 0 THEN '1H' ELSE '2H' END AS t FROM events)", select="SELECT coalesce(sy.id, 'XAUUSD') AS symbol, coalesce(tf.id, '1D') AS timeframe, count(*) AS n FROM e LEFT JOIN sy ON sy.id = s LEFT JOIN tf ON tf.id = t GROUP BY 1, 2"),
-    "pairs_available": _with(_TABLES, select=f"SELECT DISTINCT sy.id AS symbol, tf.id AS timeframe FROM sy, tf WHERE EXISTS (SELECT 1 FROM events WHERE [{', '.join(repr(s) for s, _ in SYMBOLS)}][user_id % 5 + 1] = sy.id AND [{', '.join(repr(t) for t, _, _ in TIMEFRAMES)}][user_id % 4 + 1] = tf.id)"),
+    "pairs_available": _with(_TABLES, select=f"SELECT DISTINCT sy.id AS symbol, tf.id AS timeframe FROM sy, tf WHERE EXISTS (SELECT 1 FROM events WHERE ['XAUUSD', 'BTCUSD', 'ETHUSD', 'SPX500', 'NAS100'][user_id % 5 + 1] = sy.id AND ['1m', '5m', '15m', '1H', '4H', '1D', '1W'][user_id % 4 + 1] = tf.id)"),
     "bars_dedupe_last": _with(TICKS, select="SELECT symbol, '1H' AS timeframe, date_trunc('hour', ts) AS ts, round(arg_max(price, event_id), 6) AS close, max(event_id) AS event_id FROM ticks GROUP BY symbol, date_trunc('hour', ts)"),
     "tail_per_series": _with(BARS, select=f"SELECT {KEYS}, ts, {OHLC} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100"),
     "macro_fill": _with(MACRO, "g AS (SELECT day, dxy, CASE WHEN dayofyear(day) % 3 <> 0 THEN vix END AS vix, CASE WHEN dayofyear(day) % 4 <> 0 THEN tnx END AS tnx FROM macro0)", select=f"SELECT day, round(dxy, 6) AS dxy, round({_filled('vix', 'ORDER BY day')}, 6) AS vix, round({_filled('tnx', 'ORDER BY day')}, 6) AS tnx FROM g"),
@@ -372,7 +427,7 @@ u AS (SELECT symbol, 2 AS rank, ts::DATE AS day, low, high FROM daily UNION ALL
     "bars_from_ticks_1h": _with(BARS, select=f"SELECT {KEYS}, ts, {OHLC} FROM bars"),
     "cross_tf_daily": _with(BARS, _coarser("f", "4H", "4 hours"), _coarser("dd", "1D", "1 day"), _pos(), _averages(), _pos("f", "b4"), _averages("b4", "ind4"), *(f"d{n} AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(rsi, ts) AS rsi, arg_max(CAST(sign(e20 - e50) AS DOUBLE), ts) AS x FROM {s} GROUP BY ALL)" for n, s in (("1", "ind"), ("4", "ind4"))), select="SELECT dd.symbol, dd.ts, round(close, 6) AS close, round(d1.rsi, 6) AS rsi_1h, d1.x AS ema_cross_1h, round(d4.rsi, 6) AS rsi_4h, d4.x AS ema_cross_4h FROM dd LEFT JOIN d1 ON d1.symbol = dd.symbol AND d1.day = dd.ts::DATE LEFT JOIN d4 ON d4.symbol = dd.symbol AND d4.day = dd.ts::DATE"),
     "macro_attach": _with(DAILY, MACRO, "j AS (SELECT daily.*, m.dxy AS x, m.vix AS y, m.tnx AS z FROM daily LEFT JOIN macro0 m ON m.day = ts::DATE)", f"k AS (SELECT *, {_filled('x', 'PARTITION BY symbol ORDER BY ts')} AS dxy, {_filled('y', 'PARTITION BY symbol ORDER BY ts')} AS vix, {_filled('z', 'PARTITION BY symbol ORDER BY ts')} AS tnx FROM j)", select=_attached("k")),
-    "macro_asof": _with(DAILY, MACRO, "m AS (SELECT CAST(day AS TIMESTAMP) AS mts, dxy, vix, tnx FROM macro0 WHERE dayofyear(day) % 3 = 0)", "k AS (SELECT * FROM daily ASOF LEFT JOIN m ON daily.ts >= m.mts)", select=_attached("k")),
+    "macro_asof": _with(DAILY, MACRO, "m AS (SELECT CAST(day AS TIMESTAMP) AS mts, dxy, vix, tnx FROM macro0)", "k AS (SELECT * FROM daily ASOF LEFT JOIN m ON daily.ts >= m.mts)", select=_attached("k")),
     "ema_20": _with(*IND, select=f"SELECT {KEYS}, ts, round(e20, 6) AS ema_20 FROM ind"),
     "ema_50": _with(*IND, select=f"SELECT {KEYS}, ts, round(e50, 6) AS ema_50 FROM ind"),
     "rsi_14": _with(*IND, select=f"SELECT {KEYS}, ts, {_r('rsi')} FROM ind"),
@@ -411,7 +466,50 @@ u AS (SELECT symbol, 2 AS rank, ts::DATE AS day, low, high FROM daily UNION ALL
     "vp_poc": _with(BARS, PROFILE, select="SELECT p.symbol, p.timeframe, p.day, round(v.center, 6) AS poc_price FROM poc p JOIN vbins v ON v.symbol = p.symbol AND v.day = p.day AND v.bin = p.p"),
     "vp_value_area": _with(BARS, PROFILE, select="SELECT p.symbol, p.timeframe, p.day, round(v.center, 6) AS poc_price, round(l.center, 6) AS va_low, round(h.center, 6) AS va_high FROM poc p JOIN area a USING (symbol, timeframe, day) JOIN vbins v ON v.symbol = p.symbol AND v.day = p.day AND v.bin = p.p JOIN vbins l ON l.symbol = p.symbol AND l.day = p.day AND l.bin = a.lo_i JOIN vbins h ON h.symbol = p.symbol AND h.day = p.day AND h.bin = a.hi_i"),
     "feature_matrix": _with(MATRIX, select=f"SELECT {_FM} FROM fm"),
-    "features_last_row": _with(MATRIX, select=f"SELECT {_FM} FROM fm QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) = 1"),
+    "features_last_row_exact": _with(MATRIX, select=f"SELECT {_FM} FROM fm QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) = 1"),
+    "features_last_row": _with(_M200, select=f"SELECT {_FM} FROM fm QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) = 1"),
+    "feature_matrix_deduped": _with(MATRIX, select=f"SELECT {_FM} FROM fm"),
+    "feature_matrix_macro": _with(
+        MATRIX.replace(BARS, DAILY.replace("daily AS (", "bars AS (")).replace("fm AS (", "fm_plain AS ("),
+        MACRO,
+        "mj AS (SELECT bars.symbol, bars.timeframe, bars.ts, m.dxy AS x, m.vix AS y, m.tnx AS z FROM bars LEFT JOIN macro0 m ON m.day = ts::DATE)",
+        f"mk AS (SELECT symbol, timeframe, ts, {_filled('x', 'PARTITION BY symbol ORDER BY ts')} AS dxy, {_filled('y', 'PARTITION BY symbol ORDER BY ts')} AS vix, {_filled('z', 'PARTITION BY symbol ORDER BY ts')} AS tnx FROM mj)",
+        "ml AS (SELECT symbol, timeframe, ts, ln(dxy / lag(dxy) OVER (PARTITION BY symbol ORDER BY ts)) AS dxy_return_1d, least(vix / 50, 1) AS vix_level, tnx / 10 AS tnx_level FROM mk)",
+        select=f"SELECT {_FM}, {_r('dxy_return_1d', 'vix_level', 'tnx_level')} FROM fm_plain JOIN ml USING (symbol, timeframe, ts) WHERE dxy_return_1d IS NOT NULL AND vix_level IS NOT NULL AND tnx_level IS NOT NULL",
+    ),
+    "macro_join": _with(
+        "j AS (SELECT day, dxy, vix, tnx FROM (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) AS dxy FROM lineitem GROUP BY 1) LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) / 10000 AS vix FROM orders GROUP BY 1) USING (day) LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS day, 100 * avg(l_tax) AS tnx FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) USING (day))",
+        select=f"SELECT day, round(dxy, 6) AS dxy, round({_filled('vix', 'ORDER BY day')}, 6) AS vix, round({_filled('tnx', 'ORDER BY day')}, 6) AS tnx FROM j",
+    ),
+    "legs_swing": _with(BARS, _pos(), _SWING, select=f"SELECT {KEYS}, pos, leg FROM leg"),
+    "structure_breaks_swing": _with(BARS, _pos(), _SWING, BREAKS.format(z=10), select=f"SELECT {KEYS}, pos, pivot_pos, round(level, 6) AS level, side, tag FROM br"),
+    "order_blocks_swing": _with(BARS, _pos(), _SWING, BREAKS.format(z=10), BLOCKS, select=f"SELECT {KEYS}, x, side, break_pos, {_r('top', 'bottom')} FROM mit WHERE mitigated IS NULL QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY break_pos DESC, side) <= 12"),
+    "ob_mitigation_swing": _with(BARS, _pos(), _SWING, BREAKS.format(z=10), BLOCKS, select=f"SELECT {KEYS}, side, break_pos, x, {_r('top', 'bottom')}, mitigated FROM mit"),
+    "vif": _with(
+        MATRIX,
+        "g AS (SELECT [" + ", ".join("[" + ", ".join([f"sum(CAST({a} AS DOUBLE) * {b} ORDER BY symbol, ts)" for b in NAMES] + [f"CAST({int(i == j)} AS DOUBLE)" for j in range(len(NAMES))]) + "]" for i, a in enumerate(NAMES)) + "] AS m FROM fm)",
+        _gauss(len(NAMES)),
+        select=" UNION ALL ".join(f"SELECT '{c}' AS feature, round(g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}], 6) AS vif, g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}] > 10 AS high FROM g, inv" for i, c in enumerate(NAMES)),
+    ),
+    "chart_overlays": _with(
+        *_CHART,
+        select=f"SELECT {KEYS}, overlay, tag, side, greatest(x1 - shift, 0) AS x1, greatest(x2 - shift, 0) AS x2, {_r('top', 'bottom')} FROM ov JOIN sz USING (symbol, timeframe) WHERE greatest(x1, x2) >= shift UNION ALL "
+        + " UNION ALL ".join(f"SELECT {KEYS}, 'level', '{k}', coalesce(side, 'neutral'), greatest({k}_bar - shift, 0), greatest({k}_bar - shift, 0), round({k}, 6), round({k}, 6) FROM lv LEFT JOIN lb USING (symbol, timeframe) JOIN sz USING (symbol, timeframe)" for k in ("top", "bottom")),
+    ),
+    "reading": _with(
+        LABELED,
+        CONFORMAL,
+        _renamed(_M200 + ",\n" + _PRED, "_p"),
+        _renamed(",\n".join(_TIERB), "_t"),
+        _NEWS,
+        "ng AS (SELECT symbol, coalesce(avg(score), 0) AS s, count(*) AS news_count FROM recent GROUP BY symbol)",
+        select=f"""SELECT p.symbol, p.timeframe, p.ts AS asof, round(t.price, 2) AS price, 10 AS horizon_bars, round(p.proba, 4) AS probability, CASE WHEN p.proba >= 0.5 THEN 'LONG' ELSE 'SHORT' END AS direction, t.bias, t.zone_price, t.at_zone,
+  coalesce(news_count, 0) AS count, coalesce(round(s, 4), 0) AS score, coalesce({_TAG}, 'neutral') AS tag, round(least(greatest((p.proba * 2 - (1 - p.proba)) / 2, 0) / 2, 0.02) * 100, 3) AS final_pct, round(p.atr_pct, 4) AS atr_pct
+FROM pred_p p JOIN tier_t t ON t.symbol = p.symbol AND t.timeframe = p.timeframe LEFT JOIN ng ON ng.symbol = p.symbol""",
+    ),
+    "stream_bars": _with(BARS, select=f"SELECT {KEYS}, ts, {OHLC} FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 2 HOUR"),
+    "stream_ema": _with(*IND, select=f"SELECT {KEYS}, ts, pos, round(e20, 6) AS ema, {_r('rsi', 'atr')} FROM ind"),
+    "stream_reading": _with(_M200, _PRED, select=f"SELECT {KEYS}, ts, {_r('close', 'proba')} FROM pred"),
     "triple_barrier": _with(LABELED, select=f"SELECT {KEYS}, ts, {_r('close', 'atr_pct')}, label, label_bars FROM sc"),
     "label_balance": _with(LABELED, select=f"SELECT {KEYS}, count(*) AS n, round(avg(label), 6) AS positive_rate, round(avg(label_bars), 6) AS mean_bars FROM sc GROUP BY ALL"),
     "feature_corr": _with(MATRIX, select=" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(round(corr({a}, {b}), 3), 0) AS r FROM fm" for a in NAMES for b in NAMES)),

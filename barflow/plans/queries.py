@@ -47,8 +47,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows with the heuristic probability and their folds."""
-    return E.with_folds(X.triple_barrier(X.matrix(bars(spark, sf_dir)))).withColumn("proba", E.heuristic())
+    """Labelled rows with the heuristic probability and their folds, settled: what follows reads them more than once."""
+    return B.settled(E.with_folds(X.triple_barrier(X.matrix(bars(spark, sf_dir)))).withColumn("proba", E.heuristic()), "scored")
 
 
 @query
@@ -61,6 +61,13 @@ def macro_daily(spark, d):
     return X.clean_macro(B.macro_from_lineitem(spark, d))
 
 
+@query
+def macro_join(spark, d):
+    l, o = B.table(spark, d, "lineitem"), B.table(spark, d, "orders")
+    day = lambda t, c, v: t.groupBy(F.col(c).cast("date").alias("day")).agg(v.alias("value"))
+    return B.join_macro(day(l, "l_shipdate", F.avg("l_extendedprice")), day(o, "o_orderdate", F.avg("o_totalprice") / 10000), day(l.where("l_linenumber = 1"), "l_shipdate", 100 * F.avg("l_tax")))
+
+
 @query
 def trade_log_valid(spark, d):
     e = B.table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("tier_a_prob"), F.col("event_type").alias("tier_b_bias"))
@@ -134,7 +141,7 @@ def macro_attach(spark, d):
 
 @query
 def macro_asof(spark, d):
-    m = X.clean_macro(B.macro_from_lineitem(spark, d)).where(F.dayofyear("day") % 3 == 0)
+    m = X.clean_macro(B.macro_from_lineitem(spark, d))
     return X.attach_macro_asof(daily(spark, d), m).select(*AT, "close", *X.MACRO)
 
 
@@ -247,6 +254,27 @@ def legs(spark, d):
     return G.legs(posed(spark, d), "internal")
 
 
+@query
+def legs_swing(spark, d):
+    return G.legs(posed(spark, d), "swing")
+
+
+@query
+def structure_breaks_swing(spark, d):
+    return G.breaks(posed(spark, d), "swing")
+
+
+@query
+def order_blocks_swing(spark, d):
+    return G.live_order_blocks(posed(spark, d), "swing")
+
+
+@query
+def ob_mitigation_swing(spark, d):
+    b = posed(spark, d)
+    return G.mitigation(G.order_blocks(b, "swing"), b)
+
+
 @query
 def pivots(spark, d):
     return G.pivots(posed(spark, d)).select(*KEY, "pos", "confirmed", "price", "kind", "label")
@@ -335,9 +363,26 @@ def feature_matrix(spark, d):
 
 @query
 def features_last_row(spark, d):
+    return X.last_row(bars(spark, d))
+
+
+@query
+def features_last_row_exact(spark, d):
     return X.last_row(bars(spark, d), exact=True)
 
 
+@query
+def feature_matrix_macro(spark, d):
+    return X.matrix(daily(spark, d), X.clean_macro(B.macro_from_lineitem(spark, d)))
+
+
+@query
+def feature_matrix_deduped(spark, d):
+    b = bars(spark, d)
+    late = b.where(F.minute("ts") == 0).withColumns({"close": F.col("open"), "seq": F.lit(0)})  # the same bars, come in before
+    return X.matrix(late.unionByName(b.withColumn("seq", F.lit(1))), seq="seq")
+
+
 @query
 def triple_barrier(spark, d):
     return X.triple_barrier(X.matrix(bars(spark, d))).select(*AT, "close", "atr_pct", "label", "label_bars")
@@ -451,6 +496,13 @@ def chart_window(spark, d):
     return G.window_items(G.fair_gaps(context).withColumn("x2", F.col("x") + 1), b, 150, columns=("x", "x2"))
 
 
+@query
+def chart_overlays(spark, d):
+    from barflow.operators.chart import overlays
+
+    return overlays(bars(spark, d), 150)
+
+
 @query
 def equity_extremes(spark, d):
     return D.extremes(scored(spark, d))
@@ -479,9 +531,9 @@ def kelly_sizing(spark, d):
 
 @query
 def reading(spark, d):
-    news = R.news_overlay(R.recent_headlines(B.headlines(spark, d))).withColumn("symbol", F.lit("click")).groupBy("symbol").agg(F.round(F.avg("news_score"), 4).alias("news_score"), F.sum("news_count").alias("news_count"), F.lit("neutral").alias("tag"))
+    news = R.news_overlay(R.recent_headlines(B.headlines(spark, d, ("click", "view", "purchase", "signup", "error"))))
     r = R.readings(bars(spark, d), E.conformal(scored(spark, d).where("fold > 0")), news, B.timeframes(spark))
-    return r.select(*KEY, "asof", "price", "horizon_bars", "tier_a.probability", "tier_a.direction", "tier_b.bias", "tier_b.zone_price", "tier_b.at_zone", "news.count", "sizing.final_pct", F.round(F.col("features")["atr_pct"], 4).alias("atr_pct"))
+    return r.select(*KEY, "asof", "price", "horizon_bars", "tier_a.probability", "tier_a.direction", "tier_b.bias", "tier_b.zone_price", "tier_b.at_zone", "news.count", "news.score", "news.tag", "sizing.final_pct", F.round(F.col("features")["atr_pct"], 4).alias("atr_pct"))
 
 
 @query
@@ -512,51 +564,61 @@ def stale_series(spark, d):
     return stale(bars(spark, d, "15m"))
 
 
+def labeled(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
+    """Labelled matrix rows of the ticks' bars, settled: training reads them many times."""
+    every = bars(spark, sf_dir, timeframes[0])
+    for t in timeframes[1:]:
+        every = every.unionByName(bars(spark, sf_dir, t))
+    return B.settled(X.triple_barrier(X.matrix(every)), "labeled")
+
+
 @query
 def train_logreg(spark, d):
-    from barflow.operators.training import out_of_sample
+    from barflow.operators import training as T
 
-    return E.brier_skill(out_of_sample(scored(spark, d).drop("fold", "proba")))
+    scored = T.each_pair(labeled(spark, d, "15m"), lambda _, rows: B.settled(T.out_of_sample(rows).select(*KEY, "fold", "label", "proba"), "scored"))
+    return E.brier_skill(T.union(scored))
 
 
 @query
 def platt(spark, d):
-    from barflow.operators.training import Calibrated
+    from barflow.operators import training as T
 
-    rows = scored(spark, d).drop("fold", "proba")
-    return Calibrated(rows).score(rows).select(*AT, "label", "proba")
+    scored = T.each_pair(labeled(spark, d, "15m"), lambda _, rows: B.settled(T.Calibrated(rows).score(rows).select(*AT, "label", "proba"), "scored"))
+    return T.union(scored)
 
 
 @query
 def benchmarks(spark, d):
+    """The last fold of five with one inner calibration: the whole protocol is 16 fits a model and pair."""
     from barflow.operators.training import benchmark_pairs
 
-    return benchmark_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark))
+    return benchmark_pairs(spark, labeled(spark, d, "15m"), B.timeframes(spark), first_fold=5, inner=1)
 
 
 @query
 def feature_importance(spark, d):
-    from barflow.operators.training import Calibrated
+    from barflow.operators import training as T
 
-    items = Calibrated(scored(spark, d).drop("fold", "proba")).importance()
-    return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(items)], "rank int, feature string, coefficient double")
+    items = T.each_pair(labeled(spark, d, "15m"), lambda pair, rows: [(pair["symbol"], pair["timeframe"], i + 1, f, v) for i, (f, v) in enumerate(T.Calibrated(rows).importance())])
+    return spark.createDataFrame([r for part in items for r in part], "symbol string, timeframe string, rank int, feature string, coefficient double")
 
 
 @query
 def run_index(spark, d):
     from barflow.operators.training import run_pairs
 
-    return run_pairs(spark, B.settled(scored(spark, d).drop("fold", "proba"), "labeled"), B.timeframes(spark))
+    return run_pairs(spark, labeled(spark, d, "15m", "1H"), B.timeframes(spark))
 
 
 @query
 def model_cards(spark, d):
     from barflow.operators.training import benchmark_pairs
 
-    s = B.settled(scored(spark, d), "scored")
+    rows = labeled(spark, d, "15m")
+    s = B.settled(E.with_folds(rows).withColumn("proba", E.heuristic()), "scored")
     active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
-    bench = benchmark_pairs(spark, s.drop("fold", "proba"), B.timeframes(spark))
-    return D.model_cards(active, bench, s)
+    return D.model_cards(active, benchmark_pairs(spark, rows, B.timeframes(spark), first_fold=5, inner=1), s)
 
 
 def _ticks_stream(spark, d):

@@ -15,7 +15,7 @@ CSV_SCHEMA = "ts timestamp, open double, high double, low double, close double,
 #: The Spark interval of each timeframe.
 RULES = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1H": "1 hour", "4H": "4 hours", "1D": "1 day", "1W": "1 week"}
 #: Rows a pair must have before it is trained, and bars a barrier looks ahead.
-TIMEFRAMES = [("1m", 500, 10), ("5m", 500, 10), ("15m", 500, 10), ("1H", 500, 10), ("4H", 300, 10), ("1D", 300, 10), ("1W", 200, 5)]
+TIMEFRAMES = [("1m", 300, 10), ("5m", 1000, 10), ("15m", 1000, 10), ("1H", 1500, 10), ("4H", 800, 10), ("1D", 400, 10), ("1W", 200, 5)]
 #: The default symbol and timeframe for unknown ones.
 DEFAULT_SYMBOL, DEFAULT_TIMEFRAME = "XAUUSD", "1D"
 #: The catalog's symbols and whether macro series belong to them.
@@ -25,7 +25,13 @@ SYMBOLS = [("XAUUSD", True), ("BTCUSD", False), ("ETHUSD", False), ("SPX500", Fa
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the session names; a temporary one only where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -52,14 +58,20 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.lower() for c in df.columns))
 
 
+def read_series(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, form: str = "parquet") -> DataFrame:
+    """A table that is partitioned by symbol and timeframe (bars, features, labels): other pairs' folders are not read."""
+    rows = spark.read.format(form).load(path)
+    for c, v in (("symbol", symbol), ("timeframe", timeframe)):
+        rows = rows.where(F.col(c) == v) if v else rows
+    return rows
+
+
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, form: str = "parquet") -> DataFrame:
     """Bars from a table partitioned by symbol and timeframe, or from one pair's CSV; rows with a null go."""
     if form == "csv":
         rows = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path).withColumns({"symbol": F.lit(symbol), "timeframe": F.lit(timeframe)})
     else:
-        rows = spark.read.format(form).load(path)
-        for c, v in (("symbol", symbol), ("timeframe", timeframe)):
-            rows = rows.where(F.col(c) == v) if v else rows
+        rows = read_series(spark, path, symbol, timeframe, form)
     columns = [f.name for f in T._parse_datatype_string(BAR_SCHEMA).fields]
     return without_nan(rows.select(*columns)).dropna()
 
@@ -73,6 +85,19 @@ def write_report(df: DataFrame, path: str, by: str, form: str = "csv") -> None:
     df.orderBy(F.desc(by)).write.mode("overwrite").option("header", True).format(form).save(path)
 
 
+def append_metadata(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Appends a run's metrics, benchmarks or index rows, stamped with the run's time."""
+    rows.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").format(form).save(path)
+
+
+def latest_metadata(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Of what append_metadata wrote the last row of each pair (and model)."""
+    rows = spark.read.format(form).load(path)
+    keys = [c for c in (*SERIES, "model") if c in rows.columns]
+    w = Window.partitionBy(*keys).orderBy(F.desc("generated_at"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def append_log(readings: DataFrame, path: str) -> DataFrame:
     """Appends the readings whose probability is in [0, 1]; gives back the others."""
     ok = F.col("tier_a_prob").between(0, 1)
@@ -136,6 +161,15 @@ def macro_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy(day).agg(F.avg("l_extendedprice").alias("dxy"), F.avg("l_quantity").alias("vix"), (100 * F.avg("l_tax")).alias("tnx"))
 
 
+def join_macro(dxy: DataFrame, vix: DataFrame, tnx: DataFrame) -> DataFrame:
+    """Three daily series (day, value) as one table: the days of dxy; gaps of the others are filled.
+
+    Days are unique in each series; the one ordered pass is over days, a few thousand a decade."""
+    named = [s.groupBy("day").agg(F.last("value", True).alias(c)) for s, c in ((dxy, "dxy"), (vix, "vix"), (tnx, "tnx"))]
+    rows = named[0].join(named[1], "day", "left").join(named[2], "day", "left").where("dxy is not null")
+    return fill(rows, ["vix", "tnx"], [], "day")
+
+
 def read_macro(spark: SparkSession, path: str) -> DataFrame:
     """The daily macro table; empty where there is none."""
     from pyspark.errors import AnalysisException
@@ -177,13 +211,14 @@ def with_defaults(rows: DataFrame, symbol_ids: DataFrame, timeframe_ids: DataFra
 
 def available_pairs(symbol_ids: DataFrame, timeframe_ids: DataFrame, trained: DataFrame) -> DataFrame:
     """The catalog's pairs that have a trained model."""
-    every = symbol_ids.select(F.col("id").alias("symbol"), F.explode(F.array(*(F.lit(t) for t, _, _ in TIMEFRAMES))).alias("timeframe"))
-    known = every.join(F.broadcast(timeframe_ids.select(F.col("id").alias("timeframe"))), "timeframe", "left_semi")
-    return known.join(trained.select(*SERIES), SERIES, "left_semi").select(*SERIES)
+    every = symbol_ids.select(F.col("id").alias("symbol"), F.lit(1).alias("_k")).join(F.broadcast(timeframe_ids.select(F.col("id").alias("timeframe"), F.lit(1).alias("_k"))), "_k").drop("_k")  # catalogs: a few rows each
+    return every.join(trained.select(*SERIES), SERIES, "left_semi").select(*SERIES)
+
 
+def headlines(spark: SparkSession, sf_dir: str, symbols: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as headlines: the first line, a score of quality less toxicity, and a time of publication by doc_id.
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as headlines: the first line, a score of quality less toxicity, and a time of publication by doc_id."""
+    Their symbol is the source, or one of symbols in turn by doc_id."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     at = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("doc_id"), F.lit(168)) * 3600)
-    return d.join(l, "doc_id", "left").select("doc_id", F.col("source").alias("symbol"), F.substring_index("text", "\n", 1).alias("title"), at.alias("published_at"), (F.col("quality") - F.col("toxic")).cast("double").alias("score"))
+    return d.join(l, "doc_id", "left").withColumn("symbol", F.element_at(F.array(*map(F.lit, symbols)), (F.pmod("doc_id", F.lit(len(symbols))) + 1).cast("int")) if symbols else F.col("source")).select("doc_id", "symbol", F.substring_index("text", "\n", 1).alias("title"), at.alias("published_at"), (F.col("quality") - F.col("toxic")).cast("double").alias("score"))

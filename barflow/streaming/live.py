@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from barflow.sources.bars import RULES, SERIES, tail
+from barflow.sources.bars import BAR_SCHEMA, RULES, SERIES, tail
 
 LATE = "2 hours"
 
@@ -32,10 +33,10 @@ class Averages(StatefulProcessor):
         self.state = handle.getValueState("last", "pos long, close double, ema double, gain double, loss double, atr double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("ts")
+        bars = pd.concat([r[["ts", "high", "low", "close"]] for r in rows]).sort_values("ts")  # one trigger's bars of a series
         pos, close, ema, gain, loss, atr = self.state.get() if self.state.exists() else (-1, 0.0, 0.0, 0.0, 0.0, 0.0)
         out = []
-        for ts, high, low, now in bars[["ts", "high", "low", "close"]].itertuples(index=False):
+        for ts, high, low, now in bars.itertuples(index=False):
             pos += 1
             span = high - low
             if pos == 0:
@@ -65,16 +66,25 @@ def stream_averages(bars: DataFrame, span: int = 20) -> DataFrame:
 
 
 def stream_readings(bars: DataFrame, history: str, sink: str, reading: Callable[[DataFrame], DataFrame], checkpoint: str, window: int = 200) -> StreamingQuery:
-    """On every batch of closed bars: appends them to history and rewrites the series' readings from their last bars."""
+    """On every batch of closed bars: rewrites the readings of the batch's series from their last `window` bars.
+
+    history keeps the last bars of all series after each batch, so a batch reads no more than the tails
+    before it, however long the series have become."""
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        spark, seen = batch.sparkSession, batch
+        try:
+            before = spark.read.schema(f"{BAR_SCHEMA}, batch long").parquet(history).where(F.col("batch") < batch_id)
+            seen = before.where(F.col("batch") == (before.agg(F.max("batch")).first()[0] or 0)).drop("batch").unionByName(batch)
+        except AnalysisException:  # the first batch
+            pass
         # a batch that is run again after a failure overwrites its own folder
-        batch.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
-        seen = batch.sparkSession.read.parquet(history).drop("batch")
-        touched = seen.join(batch.select(*SERIES).distinct(), SERIES, "left_semi")
-        reading(tail(touched, window)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(sink)
+        tail(seen, window).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        kept = spark.read.schema(BAR_SCHEMA).parquet(f"{history}/batch={batch_id}")
+        touched = kept.join(batch.select(*SERIES).distinct(), SERIES, "left_semi")
+        reading(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(sink)
 
     return bars.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,4 +1,9 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from barflow.operators import indicators as I
+from barflow.operators import training as T
 from barflow.plans.queries import QUERIES, bars
 from barflow.sources import bars as B
 
@@ -24,43 +29,82 @@ def test_reading_stream(spark):
     assert QUERIES["stream_reading"](spark, SMALL).count() == 5
 
 
+def test_late_ticks_are_dropped(spark, tmp_path):
+    from barflow.streaming.live import stream_bars
+
+    schema = "symbol string, ts timestamp, price double, volume double, event_id long"
+    day = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[("a", day(0, 5), 1.0, 1.0, 1), ("a", day(6), 2.0, 1.0, 2)], [("a", day(0, 30), 9.0, 1.0, 3), ("a", day(5), 3.0, 1.0, 4), ("a", day(12), 4.0, 1.0, 5)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_bars(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.ts.hour, r.high, r.volume) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 1.0, 1.0), (5, 3.0, 1.0), (6, 2.0, 1.0)]  # 00:30 came past the watermark of 04:00
+
+
+def test_readings_keep_only_the_tails(spark, tmp_path):
+    from barflow.streaming.live import stream_readings
+
+    every = bars(spark, SMALL).where("symbol in ('click', 'view')")
+    for k in range(3):
+        part = every.where((F.col("ts") >= F.lit(dt.datetime(2024, 1, 1 + 9 * k))) & (F.col("ts") < F.lit(dt.datetime(2024, 1, 10 + 9 * k))))
+        part.where("symbol = 'click'" if k == 1 else "true").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(B.BAR_SCHEMA).parquet(str(tmp_path / "in"))
+        stream_readings(source, str(tmp_path / "history"), str(tmp_path / "readings"), lambda b: b.groupBy(*B.SERIES).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), str(tmp_path / "state"), window=150).awaitTermination()
+    got = {r.symbol: r for r in spark.read.parquet(str(tmp_path / "readings")).collect()}
+    seen = every.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 28)))
+    click, view = seen.where("symbol = 'click'"), seen.where("symbol = 'view'").where((F.dayofmonth("ts") < 10) | (F.dayofmonth("ts") >= 19))
+    for name, rows in (("click", click), ("view", view)):
+        want = B.tail(rows, 150).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+        assert (got[name].n, got[name].first, got[name].last) == tuple(want)
+
+
 def test_models(spark):
     r = QUERIES["train_logreg"](spark, SMALL).collect()
     assert len(r) == 5 and all(0 < x.brier < 0.3 for x in r)
     p = QUERIES["platt"](spark, SMALL)
     assert p.where("proba < 0 or proba > 1 or proba is null").count() == 0
     imp = QUERIES["feature_importance"](spark, SMALL).collect()
-    assert [abs(x.coefficient) for x in imp] == sorted((abs(x.coefficient) for x in imp), reverse=True)
+    assert len({x.symbol for x in imp}) == 5
+    for s in {x.symbol for x in imp}:
+        own = [abs(x.coefficient) for x in imp if x.symbol == s]
+        assert own == sorted(own, reverse=True)
 
 
-def test_benchmarks_and_runs(spark):
-    b = QUERIES["benchmarks"](spark, SMALL).collect()
-    assert {x.model for x in b} == {"random_forest", "gradient_boost", "ada_boost", "naive_bayes"} and all(0 < x.brier < 0.35 for x in b)
-    assert {x.status for x in QUERIES["run_index"](spark, SMALL).collect()} == {"ok"}
-    assert QUERIES["model_cards"](spark, SMALL).count() == 10
+def test_a_pairs_model_is_fitted_on_its_own_rows(spark):
+    rows = spark.createDataFrame([(s, "15m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), float(i % 7), int((i % 7 > 3) == (s == "a"))) for s in "ab" for i in range(120)], "symbol string, timeframe string, ts timestamp, x double, label int")
+    scores = T.each_pair(rows, lambda pair, r: (pair["symbol"], dict(T.Calibrated(r, ["x"]).importance())["x"], {(v.x, round(v.proba, 6)) for v in T.Calibrated(r, ["x"]).score(r).select("x", "proba").collect()}))
+    (_, up, first), (_, down, second) = sorted(scores, key=lambda v: v[0])
+    assert up > 0 > down
+    assert all((p > 0.5) == (x > 3) for x, p in first) and all((p > 0.5) == (x <= 3) for x, p in second)
 
 
 def test_run_index_has_every_pair(spark):
-    want = {(r.symbol, r.timeframe) for r in bars(spark, SMALL).select("symbol", "timeframe").distinct().collect()}
-    got = QUERIES["run_index"](spark, SMALL).collect()
-    assert len(want) == 5 and len(got) == 5 and {(r.symbol, r.timeframe) for r in got} == want
+    got = {(r.symbol, r.timeframe): r for r in QUERIES["run_index"](spark, SMALL).collect()}
+    assert len(got) == 10
+    assert all(r.status == ("skipped" if t == "1H" else "ok") and r.rows > 0 for (_, t), r in got.items())  # 1H has some 600 rows of 1500
 
 
-def test_benchmarks_are_fitted_per_series(spark, monkeypatch):
-    from barflow.operators import training
+def test_benchmarks_run_every_fold(spark):
+    rows = spark.createDataFrame([("a", "1m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(i % 11), float(i % 5), int(i % 11 > 5)) for i in range(400)], "symbol string, timeframe string, ts timestamp, x double, y double, label int")
+    brier, auc, seconds = T.each_pair(rows, lambda pair, r: T.benchmark(r, "naive_bayes", ["x", "y"]))[0]
+    assert 0 <= brier < 0.15 and auc > 0.9 and seconds > 0
 
+
+def test_benchmarks_are_fitted_per_series(spark, monkeypatch):
     asked = []
 
-    def fast(labeled, name, columns=training.TECHNICAL, rounds=50):
-        series = [tuple(r) for r in labeled.select("symbol", "timeframe").distinct().collect()]
+    def fast(rows, name, columns=T.TECHNICAL, first_fold=1, inner=3, rounds=50):
+        series = [tuple(r) for r in rows.select("symbol", "timeframe").distinct().collect()]
         asked.append((*series, name, rounds))
-        return spark.createDataFrame([(name, 0.01 * len(asked), 0.5, 0.9, 1.0)], "model string, brier double, auc double, confidence double, train_s double")
+        return 0.01 * len(asked), 0.5, 1.0
 
-    monkeypatch.setattr(training, "benchmark", fast)
+    monkeypatch.setattr(T, "benchmark", fast)
     cards = QUERIES["model_cards"](spark, SMALL).collect()
-    series = {(r.symbol, r.timeframe) for r in bars(spark, SMALL).select("symbol", "timeframe").distinct().collect()}
-    every = {(s, name, 50) for s in series for name in training.BENCHMARKS}
+    series = {(r.symbol, "15m") for r in bars(spark, SMALL).select("symbol").distinct().collect()}
+    every = {(s, name, 50) for s in series for name in T.BENCHMARKS}
     assert len(series) == 5 and set(asked) == every and len(asked) == 20
-    assert {((r.symbol, r.timeframe), r.model) for r in cards} == {(s, m) for s in series for m in (*training.BENCHMARKS, "heuristic")}
+    assert {((r.symbol, r.timeframe), r.model) for r in cards} == {(s, m) for s in series for m in (*T.BENCHMARKS, "heuristic")}
     asked.clear()
     assert len(QUERIES["benchmarks"](spark, SMALL).collect()) == 20 and set(asked) == every
