@@ -1,23 +1,30 @@
 """Removal of lines that spread over many sites, with DataFrame functions only.
 
-A line's sites are counted by HyperLogLog sketches that merge by aggregation; a line whose estimate
-is near the threshold is counted exactly.  Lines that reach the threshold go from every document
-but the first that has them (least doc_id, then position), so that no text is lost entirely.
+A line's sites are counted by HyperLogLog sketches that merge by aggregation, also before the shuffle;
+a line whose estimate is near the threshold is counted exactly.  Lines that reach the threshold go
+from every document but the first that has them (least doc_id, then position), so that no text is lost
+entirely.  The few spread lines meet their occurrences by broadcast while their number is small; beyond
+that occurrences are salted by how often the most frequent line occurs, so no task gets a line whole.
 
 Only lines of at least min_chars characters count; a null site is a site of its own.  Nulls: a
-null text has no lines and stays null; a null doc_id comes first.  Rows that repeat in full are
-treated alike.  All columns, whatever their names, are handed on.  An empty table stays empty.
+null text has no lines and stays null; a null doc_id comes first.  Texts of very many lines are rebuilt
+in time that grows with their length.  Rows that repeat in full are treated alike.  All columns,
+whatever their names, are handed on.  An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.common import written
+
 MIN_SITES = 10
 MIN_CHARS = 20
 NEAR = 0.5  # estimates within this share of the threshold are counted exactly
 LG_K = 10  # a sketch's relative error is about 1.04 / sqrt(2 ** LG_K), 3 %
+SMALL = 100_000  # spread lines of some 40 bytes up to which they are broadcast
+OCCURRENCES = 1_000_000  # of one line in a task, about, beyond that
 
 
 def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -25,30 +32,42 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return each.select("id", "key", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
 
 
-def spread_lines(rows: DataFrame, min_sites: int, min_chars: int) -> DataFrame:
-    """(h, g, first): the lines on at least min_sites sites and where they come first."""
-    # one row for each line and site: a line that is everywhere is combined before it is dealt out
-    lines = _lines(rows, min_chars).groupBy("h", "g", "site").agg(F.min(F.struct("id", "pos")).alias("first"))
-    several = lines.groupBy("h", "g").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("first").alias("first")).where("a < b").select("h", "g", "first")
-    known = lines.join(several.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site")
-    sketched = known.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).withColumn("n", F.hll_sketch_estimate("sketch")).drop("sketch")
-    sketched = sketched.where(F.col("n") >= (1 - NEAR) * min_sites)
-    near = sketched.where(F.col("n") <= (1 + NEAR) * min_sites)
-    exact = known.join(near.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site").distinct().groupBy("h", "g").count().where(F.col("count") >= min_sites)
-    sure = sketched.where(F.col("n") > (1 + NEAR) * min_sites).select("h", "g").union(exact.select("h", "g"))
-    return several.join(sure, ["h", "g"])
+def of_lines(lines: DataFrame, few: DataFrame, small: int = SMALL, occurrences: int = OCCURRENCES) -> DataFrame:
+    """The occurrences of the lines in few (h, g, n: how often they occur, ...)."""
+    size = few.agg(F.count("*").alias("lines"), F.max("n").alias("most")).first()
+    if size["lines"] <= small:
+        return lines.join(F.broadcast(few.drop("n")), ["h", "g"])
+    salts = -(-size["most"] // occurrences)
+    salted = few.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos", "key"), F.lit(salts)).cast("int")).join(salted, ["h", "g", "salt"]).drop("salt")
+
+
+def spread_lines(lines: DataFrame, min_sites: int, small: int = SMALL, occurrences: int = OCCURRENCES) -> DataFrame:
+    """(h, g, first, n): the lines on at least min_sites sites, where they come first and how often they occur."""
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
+    sketched = lines.groupBy("h", "g").agg(sketch.alias("sites"), F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
+    likely = written(sketched.where(F.col("sites") >= (1 - NEAR) * min_sites), "sketched")
+    near = likely.where(F.col("sites") <= (1 + NEAR) * min_sites).select("h", "g", "n")
+    exact = of_lines(lines, near, small, occurrences).groupBy("h", "g", "site").agg(F.lit(1)).groupBy("h", "g").agg(F.count("*").alias("exact"))
+    return likely.join(exact, ["h", "g"], "left").where(F.coalesce("exact", "sites") >= min_sites).select("h", "g", "first", "n")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", counts: bool = False, small: int = SMALL, occurrences: int = OCCURRENCES) -> DataFrame:
     """docs with the text that is left; with counts, (n_lines, n_removed) follow as two more columns."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"))
-    rows = rows.withColumn("key", F.xxhash64("text", "site"))
-    spread = spread_lines(rows, min_sites, min_chars)
-    hit = _lines(rows, min_chars).join(spread, ["h", "g"]).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
-    cut = hit.groupBy(F.col("id").alias("of"), F.col("key").alias("k")).agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col(f"row.`{text_col}`")
+    rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(f"row.`{site_col}`").cast("string")), F.lit("")).alias("site"))
+    rows = rows.select("row", "id", "site", F.xxhash64(text, "site").alias("key"))
+    lines = _lines(rows.select("id", "key", "site", text.alias("text")), min_chars)
+    spread = written(spread_lines(lines, min_sites, small, occurrences), "spread")
+    hit = of_lines(lines, spread, small, occurrences).where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
+    at = F.array_sort(F.collect_set("pos")).alias("at")
+    # one byte a line up to the last that goes: x where it goes
+    marks = F.transform("at", lambda p, i: F.concat(F.repeat(F.lit("."), p - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("x")))
+    cut = hit.groupBy(F.col("id").alias("of"), F.col("key").alias("k")).agg(at).select("of", "k", F.size("at").alias("gone"), F.array_join(marks, "").cast("binary").alias("marks"))
     joined = rows.join(cut, rows.id.eqNullSafe(F.col("of")) & (rows.key == F.col("k")), "left")
-    lines = F.split("text", "\n")
-    kept: Column = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    out = [(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.substring("marks", i + 1, F.lit(1)) != F.lit("x").cast("binary")), "\n")
+    out = [(F.when(F.col("gone").isNull(), text).otherwise(kept) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    more = [n_lines.alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed")] if counts else []
     return joined.select(*out, *more)

@@ -40,10 +40,20 @@ def test_lines(spark):
     for least in (2, 5, 10):
         got = dedup_lines(df, least, 10)
         assert got.columns == df.columns
-        assert sorted(((str(r.doc_id), r.source, r.text) for r in got.collect()), key=str) == lines_brute(rows, least, 10)
+        salted = dedup_lines(df, least, 10, small=0, occurrences=9)
+        for out in (got, salted):
+            assert sorted(((str(r.doc_id), r.source, r.text) for r in out.collect()), key=str) == lines_brute(rows, least, 10)
     assert dedup_lines(spark.createDataFrame([], SCHEMA), 2, 1).count() == 0
 
 
+def test_texts_of_very_many_lines(spark):
+    line = "a line that repeats and repeats"
+    rows = [("\n".join([line, "own"] * 100_000), 1, "s1", "a", 1, 2), *((line + "\nx", i, f"s{i}", "a", 1, 2) for i in range(2, 13))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, SCHEMA).drop("n_lines"), counts=True).collect()}
+    assert got[1].text == "\n".join([line, *["own"] * 100_000]) and (got[1].n_lines, got[1].n_removed) == (200_000, 99_999)
+    assert all((got[i].text, got[i].n_removed) == ("x", 1) for i in range(2, 13))
+
+
 def search_brute(rows, every, k):
     sound = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
