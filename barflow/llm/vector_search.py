@@ -1,10 +1,11 @@
 """Exact top-k inner products by ball trees.
 
-Vectors are dealt to shards and queries to blocks; each (shard, block) is searched in a task of its
-own, so nothing grows with the table.  A first search of every query in one shard gives a kth
-score, which all other searches start from.  In a shard a ball tree bounds the inner products of a
-node by q.c + |q| r; each query takes the child of the higher bound first and leaves out nodes
-below its current kth score.  Scores are exact integers.
+Vectors are dealt to shards of bounded bytes.  A task gets a shard's vectors, builds its ball tree once,
+and then streams the queries through it, batch by batch; vectors are never copied, and only queries go
+to every shard.  A first search of every query in its own shard gives a kth score, which the search of
+the other shards starts from.  In a shard the tree bounds the inner products of a node by
+q.c + |q| r; each query takes the child of the higher bound first and leaves out nodes below its
+current kth score.  Scores are exact integers.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different
 lengths never meet.  Ties go to the smaller vec_id.  Of rows that repeat a vec_id each is a
@@ -13,15 +14,20 @@ candidate; a query never returns rows of its own vec_id.  No queries or no vecto
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.llm.common import written
+
 SCALE = 1024
 LEAF = 96
-SHARD_ROWS = 8192
-BLOCK_ROWS = 2048
+SHARD_BYTES = 32 << 20  # of vectors as doubles
+LEAST_ROWS = 8192  # of a shard, where more shards would only keep more cores busy
+BATCH = 2048  # queries that go through a tree together
 
 
 class BallTree:
@@ -51,9 +57,9 @@ class BallTree:
         return at
 
 
-def tree_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query its k best (score, id) among x, of those not below its floor; id -1 where fewer."""
-    tree = BallTree(x)
+def tree_search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query its k best (score, id) among the tree's rows, of those not below its floor; id -1 where fewer."""
+    x = tree.x
     best = np.full((len(q), k), -np.inf)
     found = np.full((len(q), k), -1, np.int64)
     norm = np.sqrt((q**2).sum(1)) * (1 + 1e-9)
@@ -99,39 +105,59 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return table.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.size(x).alias("dim"), whole.alias("v"))
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    column = t.column("v").combine_chunks()
+def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _searched(held: DataFrame, asked: DataFrame, parts: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's k best in the shards that it is sent to.
+
+    held: (dim, shard, vec_id, v).  asked has floor too: scores below it don't count."""
+    rows = held.select("dim", "shard", F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("floor")).union(asked.select("dim", "shard", F.lit(True).alias("asks"), "vec_id", "v", "floor"))
+    dealt = rows.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")  # a shard's vectors come before its queries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vectors_, ids, tree = None, [], [], None
+        for b in batches:
+            dim, shard, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asks"))
+            cut = np.flatnonzero((dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(dim)]):
+                if j == i:
+                    continue
+                if (dim[i], shard[i]) != now:
+                    now, vectors_, ids, tree = (dim[i], shard[i]), [], [], None
+                part = b.slice(i, j - i)
+                if not asks[i]:
+                    vectors_.append(_matrix(part.column("v")))
+                    ids.append(part.column("vec_id").to_numpy())
+                    continue
+                if not vectors_:
+                    continue
+                if tree is None:
+                    tree, ids = BallTree(np.concatenate(vectors_)), [np.concatenate(ids)]
+                for at in range(0, part.num_rows, BATCH):
+                    some = part.slice(at, BATCH)
+                    q_ids = some.column("vec_id").to_numpy()
+                    best, found = tree_search(tree, ids[0], _matrix(some.column("v")), q_ids, some.column("floor").to_numpy(), k)
+                    hit = np.isfinite(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], found.shape)[hit]), pa.array(found[hit]), pa.array(best[hit].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 def top_k(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of table that the condition is_query picks."""
     every = vectors(table, id_col, vector_col, scale)
-    queries = vectors(table.where(is_query), id_col, vector_col, scale)
-    n, nq = every.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // BLOCK_ROWS))
-    hashed = F.xxhash64("vec_id")
-    held = every.select("dim", F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    asked = queries.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.pmod(hashed, F.lit(shards)).cast("int").alias("own"), "vec_id", "v").dropDuplicates(["vec_id", "v"])
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        q_ids, floor = right.column("vec_id").to_numpy(), right.column("floor").to_numpy()
-        best, found = tree_search(_matrix(left), left.column("vec_id").to_numpy(), _matrix(right), q_ids, floor, k)
-        some = found >= 0
-        some |= np.isfinite(best)
-        return pa.table({"query_id": np.broadcast_to(q_ids[:, None], found.shape)[some], "vec_id": found[some], "score": best[some].astype(np.int64)})
-
-    shape = "query_id long, vec_id long, score long"
-    spread = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cell = ["dim", "shard", "block"]
+    queries = vectors(table.where(is_query), id_col, vector_col, scale).select("dim", "vec_id", "v").distinct()
+    size = every.agg(F.count("*").alias("n"), F.sum("dim").alias("numbers")).first()
+    cores = every.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-8 * (size["numbers"] or 0) // SHARD_BYTES), min(2 * cores, -(-size["n"] // LEAST_ROWS)))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    held = every.select("dim", shard.alias("shard"), "vec_id", "v")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = asked.select("dim", F.col("own").alias("shard"), "block", "vec_id", "v", F.lit(float("-inf")).alias("floor"))
-    seeds = spread.groupBy(*cell).cogroup(first.groupBy(*cell)).applyInArrow(search, shape)
-    kth = seeds.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select(F.col("query_id"), F.col("score").cast("double").alias("floor"))
-    shared = asked.join(kth, asked.vec_id == kth.query_id, "left").select("dim", "own", "block", "vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    rest = shared.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "v", "floor")
-    found = spread.groupBy(*cell).cogroup(rest.groupBy(*cell)).applyInArrow(search, shape)
+    seeds = written(_searched(held, queries.select("dim", shard.alias("shard"), "vec_id", "v", F.lit(float("-inf")).alias("floor")), shards, k), "seeds")
+    kth = seeds.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+    # the own shard's answers are there already; the others must reach their kth score
+    rest = queries.join(kth, queries.vec_id == kth.query_id, "left").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), shard.alias("own"), "vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).where("shard <> own")
+    found = _searched(held, rest, shards, k).union(seeds)
     return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

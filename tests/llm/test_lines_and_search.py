@@ -70,9 +70,9 @@ def test_search(spark, monkeypatch):
     rows += [(900 + i, rows[0][1]) for i in range(30)]  # equal scores
     rows += [(2000, None), (2010, [1.0, None]), (2020, [float("nan")] * 8), (2030, [float("inf")] * 8), (2040, [0.5, 1.0]), (2041, [0.25, -3.0]), (None, [1.0] * 8), (2051, [0.0] * 8)]
     df = spark.createDataFrame([(v, i, "x", 1) for i, v in rows], "embedding array<float>, vec_id long, v string, dim int")
-    for shard, block in ((8192, 2048), (100, 20)):
-        monkeypatch.setattr("barflow.llm.vector_search.SHARD_ROWS", shard)
-        monkeypatch.setattr("barflow.llm.vector_search.BLOCK_ROWS", block)
+    for shard, batch in ((1 << 20, 2048), (64 << 7, 7), (64 << 5, 2048)):
+        monkeypatch.setattr("barflow.llm.vector_search.SHARD_BYTES", shard)
+        monkeypatch.setattr("barflow.llm.vector_search.BATCH", batch)
         got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0).collect())
         assert got == search_brute(rows, 10, 10)
     assert top_k(df.limit(0), F.lit(True)).count() == 0
