@@ -4,11 +4,14 @@ A fingerprint's 64 bits are cut into blocks so that fingerprints within the thre
 most one bit of some block.  The anchors of a block are the words of a perfect Hamming code on it,
 whose covering radius is 1: each fingerprint goes to every anchor within radius plus one, its own
 nearest anchor being its home, so two such fingerprints meet at the home of either.  Each anchor's
-members are compared there, and every Arrow batch passes on a spanning forest of its links, never
-all pairs.  Equal fingerprints are one node throughout.
+members are compared there, and a spanning forest of their links is passed on, never all pairs: small
+groups are compared place by place, a large one member by member with those that are not reached yet, so
+a dense group costs little more than its size and no pair is kept.  Equal fingerprints are one node
+throughout.
 
 Nulls: a null text is empty; a text without words has fingerprint zero and links like any other; a
-null doc_id never becomes a component's id.  Repeated rows stay.  An empty table gives no rows.
+null doc_id never becomes a component's id.  Very long texts are read whole.  Repeated rows stay.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from barflow.llm.components import components, forest
 SEED = 42
 CHUNK = 1 << 17  # hashes whose bits are counted at once
 SLICE = 8192  # an anchor's members beyond so many are compared slice against slice
+PLACES = 64  # groups up to this size are compared all at once
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -146,7 +150,12 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         sizes = np.diff(np.concatenate(([0], cut, [len(key)])))
         in_group = np.repeat(sizes, sizes)
-        some = in_group > 1
+        starts = np.concatenate(([0], cut))
+        for s in np.flatnonzero(sizes > PLACES).tolist():
+            x, y = reach(fp[starts[s] : starts[s] + sizes[s]], home[starts[s] : starts[s] + sizes[s]], threshold)
+            found_a.append(x)
+            found_b.append(y)
+        some = (in_group > 1) & (in_group <= PLACES)
         key, home, fp, in_group = key[some], home[some], fp[some], in_group[some]
         for far in range(1, int(in_group.max()) if len(in_group) else 0):
             left = np.flatnonzero(in_group > far)
@@ -183,6 +192,28 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     return ready.mapInArrow(compare, "a long, b long")
 
 
+def reach(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected in one group, one less than the members of each component.
+
+    A pair counts if one of both is at home here.  Members that are reached are not looked at again."""
+    open_, open_home, a, b = fp, home, [], []
+    while len(open_):
+        queue = [(open_[-1], open_home[-1])]
+        open_, open_home = open_[:-1], open_home[:-1]
+        while queue and len(open_):
+            of, at_home = queue.pop()
+            hit = np.bitwise_count(open_ ^ of) <= threshold
+            if not at_home:
+                hit &= open_home
+            if hit.any():
+                a.append(np.full(int(hit.sum()), of))
+                b.append(open_[hit])
+                queue += zip(open_[hit], open_home[hit])
+                open_, open_home = open_[~hit], open_home[~hit]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([*a, none]), np.concatenate([*b, none])
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the least doc_id that links reach."""
     prints = written(fingerprints(docs, words, id_col, text_col), "prints")

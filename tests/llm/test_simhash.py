@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
-from barflow.llm.simhash import blocks, near_duplicates
+from barflow.llm.simhash import blocks, near_duplicates, reach
 
 SCHEMA = "text string, doc_id long, lang string, fp long, key long, root long"
 
@@ -59,11 +60,27 @@ def test_against_all_pairs(spark):
 
 def test_other_thresholds_and_slices(spark, monkeypatch):
     monkeypatch.setattr("barflow.llm.simhash.SLICE", 4)
+    monkeypatch.setattr("barflow.llm.simhash.PLACES", 2)
     data = rows(120)
     for t in (0, 3, 6):
         assert got(spark, data, threshold=t, words=2) == brute(data, 2, t)
 
 
+def test_dense_groups_keep_no_pairs():
+    rng = np.random.default_rng(5)
+    fp = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) for base in rng.integers(0, 1 << 63, 3).astype(np.uint64)])
+    home = np.ones(len(fp), bool)
+    a, b = reach(fp, home, 3)
+    assert len(a) == len(fp) - 3  # three components, a link less than members each
+    assert (np.bitwise_count(a ^ b) <= 3).all()
+    strangers = reach(fp, ~home, 3)
+    assert len(strangers[0]) == 0  # no pair has a member at home
+    one = home & False
+    one[0] = True
+    a, b = reach(fp[:3000], one[:3000], 2)
+    assert len(a) == int((np.bitwise_count(fp[:3000] ^ fp[0]) <= 2).sum()) - 1
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert blocks(3) == [(0, 31), (32, 31)]
