@@ -4,7 +4,7 @@ Every distinct pre-token of the corpus is merged once and only the number of its
 Frequent pre-tokens (a bounded table) are summed where the document is read; the others are
 joined, document by document, to the table of piece counts.  No id is ever materialised.
 
-Nulls: a null text counts as empty (0 tokens).  A null doc_id is kept.  Repeated rows each give a
+Very long texts are counted whole.  Nulls: a null text counts as empty (0 tokens).  A null doc_id is kept.  Repeated rows each give a
 row.  An empty table gives no rows.
 """
 

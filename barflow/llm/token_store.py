@@ -7,7 +7,7 @@ SEGMENT ids, `before` the ids before it in its shard: `docs` has (doc_id, valid,
 (first word, values) of each block as two uint32, `words` the 64-bit words.  A shard is a range of
 doc_ids.  read_tokens() decodes the files to (doc_id, start, n_tokens, ids).
 
-Nulls: a null text is empty, so it has the end id alone; a null doc_id sorts first and stays null.
+Very long texts are encoded whole.  Nulls: a null text is empty, so it has the end id alone; a null doc_id sorts first and stays null.
 An empty table gives files without rows.
 """
 

@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 from barflow.llm import simple8b
 from barflow.llm.packing import pack_documents, packed_pieces
-from barflow.llm.pretoken import encoder
+from barflow.llm.pretoken import encoder, word_normal
 from barflow.llm.token_counts import count_tokens
 from barflow.llm.token_store import read_tokens, stored_tokens, write_tokens
 
@@ -30,6 +31,12 @@ def test_ids_are_the_librarys(name, kind, text):
     assert np.frombuffer(encoder(public_tokenizers.path(name), kind).ids(text), "<u4").tolist() == library(name)(text)
 
 
+def test_every_character_is_normalized_as_by_the_library():
+    text = " ".join(f"a{chr(c)}É" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer.normalize_str(text)
+    assert "".join(word_normal(text).split()) == "".join(want.split())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=90), max_size=6))
 def test_simple8b_round_trip(lists):
