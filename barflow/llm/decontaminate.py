@@ -6,27 +6,29 @@ are sorted by their first WINDOW words.  Each test suffix is then binary-searche
 range of its matches gives all places where a window occurs, its neighbours the longest match.
 
 A window is 13 consecutive words of an item; a shorter item is one window, one without words none.
-The benchmark is broadcast in blocks of BLOCK_BYTES at most; more blocks are searched one after
-the other and their hits joined per document, so its size is bounded by nothing else.
+The benchmark is dealt to blocks of about BLOCK_BYTES of text, each turned into arrays and broadcast by
+itself; the driver holds one block at a time.  A pass over the documents searches up to BLOCKS blocks; a
+larger benchmark takes more passes, whose hits are joined per document.
 
 Nulls: a null document text or item text has no words; items with a null item_id take no part; a
-null doc_id stays.  Repeated rows each give a row.  Empty tables give no rows, or rows without hits.
+null doc_id stays.  Very long texts are a shard of their own.  Repeated rows each give a row.  Empty tables give no rows, or rows without hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import each_batch
+from barflow.llm.common import each_batch, shared_folder
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+BLOCKS = 4  # in a pass over the documents
 SHARD_WORDS = 1 << 20
 #: A-Z become a-z; what is neither digit, letter nor beyond ASCII separates words.
 WORD_BYTES = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -44,27 +46,26 @@ class TestSet:
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple, set] = {}
-        pairs = set()
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            pairs.update(zip(ids, ids[1:]))
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[k : k + window]), set()).add(item)
+        number = self.vocabulary.setdefault
+        texts_ = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64) for _, text in items]
         self.size = len(self.vocabulary) + 1
-        self.pairs = np.array(sorted(a * self.size + b for a, b in pairs), np.int64)
-        self.windows = list(windows)
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.least = int(self.lengths.min()) if len(self.windows) else 0
-        self.items = [sorted(windows[w]) for w in self.windows]
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each window's least and greatest sort key."""
-        low = np.zeros((len(self.windows), self.window), ">u4")
-        for i, w in enumerate(self.windows):
-            low[i, : len(w)] = w
-        high = np.where(np.arange(self.window) < self.lengths[:, None], low, 0xFFFFFFFF).astype(">u4")
-        return as_keys(low), as_keys(high)
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(t[:-1] * self.size + t[1:] for t in texts_)]))
+        rows, owner = [np.zeros((0, window), ">u4")], [np.zeros(0, np.int64)]
+        for k, t in enumerate(texts_):
+            if len(t):
+                padded = np.concatenate((t, np.zeros(max(0, window - len(t)), np.int64)))
+                rows.append(np.lib.stride_tricks.sliding_window_view(padded, window).astype(">u4"))
+                owner.append(np.full(len(rows[-1]), k))
+        every, of = as_keys(np.concatenate(rows).astype(">u4")), np.concatenate(owner)  # concatenate takes the native order
+        self.low, inverse = np.unique(every, return_inverse=True)
+        found = np.frombuffer(self.low.tobytes(), ">u4").reshape(-1, window)
+        self.lengths = (found > 0).sum(1).astype(np.int64)
+        self.high = as_keys(np.where(found > 0, found, 0xFFFFFFFF).astype(">u4"))
+        self.least = int(self.lengths.min()) if len(self.low) else 0
+        # the items of each window, in a row: window w has items[first[w] : first[w + 1]]
+        both = np.unique(np.stack([inverse, of], 1), axis=0)
+        self.first = np.searchsorted(both[:, 0], np.arange(len(self.low) + 1))
+        self.items = np.array([i for i, _ in items])[both[:, 1]] if len(both) else np.zeros(0, np.int64)
 
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
@@ -94,8 +95,7 @@ class Shard:
         self.keys, self.at = keys[order], starts[order]
 
     def ranges(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
-        low, high = test.keys()
-        return np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
+        return np.searchsorted(self.keys, test.low, "left"), np.searchsorted(self.keys, test.high, "right")
 
 
 def _shards(b: pa.RecordBatch, test: TestSet):
@@ -123,12 +123,31 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), which
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of bounded size, read one block after the other."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items, a block of bounded size after the other."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) * 2 // BLOCK_BYTES))
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    n = -(-int(size) // BLOCK_BYTES)
+    if n < 2:
+        yield [tuple(r) for r in items.collect()]
+        return
+    spark, path = items.sparkSession, shared_folder(items.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("block").parquet(path)
+    for k in range(n):  # a block's folder is all that is read
+        yield [tuple(r) for r in spark.read.schema("item long, text string, block long").parquet(path).where(F.col("block") == k).select("item", "text").collect()]
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, text_col: str, keep_items: bool = False) -> Iterator[list]:
+    """Broadcast blocks of the benchmark, at most BLOCKS together."""
+    held = []
+    for items in _blocks(benchmark, item_col, text_col):
+        test = TestSet(items, window)
+        held.append(docs.sparkSession.sparkContext.broadcast((test, items) if keep_items else test))
+        if len(held) == BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -136,34 +155,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     shape = "doc_id long, key long, n_words long, hits array<int>, items array<long>"
 
-    def block(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(TestSet(items, window))
-
-        def run(b: pa.RecordBatch) -> pa.Table:
-            test, out = shared.value, []
-            for first, ids, starts, sizes in _shards(b, test):
-                hits, items_of = [[] for _ in starts], [[] for _ in starts]
-                if test.windows:
-                    shard = Shard(ids, test)
-                    place, which = _expand(*shard.ranges(test))
-                    at = shard.at[place]
-                    edge = np.zeros(len(ids) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + test.lengths[which], -1)
-                    hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                    doc = np.searchsorted(starts, hit, "right") - 1
-                    for d in np.unique(doc).tolist():
-                        hits[d] = (hit[doc == d] - starts[d]).tolist()
-                    doc = np.searchsorted(starts, at, "right") - 1
-                    for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                        items_of[d] += test.items[w]
-                part = b.slice(first, len(starts))
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items_of], pa.list_(pa.int64()))], ["doc_id", "key", "n_words", "hits", "items"]))
-            return pa.Table.from_batches(out) if out else None
-
-        return each_batch(base, run, shape)
-
-    found = [block(items) for items in _blocks(benchmark, item_col, item_text_col)]
+    def search(b: pa.RecordBatch, tests: list) -> pa.Table:
+        n = b.num_rows
+        sizes = np.zeros(n, np.int64)
+        hits: list[set] = [set() for _ in range(n)]
+        items: list[set] = [set() for _ in range(n)]
+        for shared in tests:
+            test = shared.value
+            for row, ids, starts, counts in _shards(b, test):
+                sizes[row : row + len(starts)] = counts
+                if not len(test.low):
+                    continue
+                shard = Shard(ids, test)
+                place, which = _expand(*shard.ranges(test))
+                at = shard.at[place]
+                edge = np.zeros(len(ids) + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + test.lengths[which], -1)
+                hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                doc = np.searchsorted(starts, hit, "right") - 1
+                cut = np.searchsorted(doc, np.arange(len(starts) + 1))
+                for d in np.unique(doc).tolist():
+                    hits[row + d].update((hit[cut[d] : cut[d + 1]] - starts[d]).tolist())
+                doc = np.searchsorted(starts, at, "right") - 1
+                for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
+                    items[row + d].update(test.items[test.first[w] : test.first[w + 1]].tolist())
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array([sorted(x) for x in hits], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], ["doc_id", "key", "n_words", "hits", "items"])
+
+    found = [each_batch(base, lambda b, tests=tests: search(b, tests), shape) for tests in _passes(docs, benchmark, window, item_col, item_text_col)]
     if len(found) == 1:
         return found[0]
     every = found[0]
@@ -194,46 +213,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(item_id, item_word, n_words, doc_id, doc_word): the longest verbatim match (up to `window` words) of the
-    suffix that starts at each item word, and its first place by doc_id; suffixes without a match give no row."""
+    """(item_id, item_word, n_words, doc_id, doc_word): the longest verbatim match, however long, of the suffix that
+    starts at each item word, and its first place by doc_id; suffixes without a match give no row.
+
+    All places that share a whole window with the suffix are followed word by word until they differ; a suffix
+    that shares no window has its longest match at a neighbour in suffix order."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shape = "item_id long, item_word int, n_words int, doc_id long, doc_word int"
 
-    def block(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast((TestSet(items, window), items))
-
-        def run(b: pa.RecordBatch) -> pa.Table:
-            (test, its), out = shared.value, []
+    def search(b: pa.RecordBatch, tests: list) -> pa.Table:
+        out = []
+        for shared in tests:
+            test, its = shared.value
             test.least = 1
-            owner, suffixes = [], []
-            for item, text in its:
-                ids = [test.vocabulary[w] for w in words_of(text)]
-                for k in range(len(ids)):
-                    owner.append((item, k))
-                    suffixes.append(ids[k : k + window])
-            rows = np.zeros((len(suffixes), window), ">u4")
-            for i, s in enumerate(suffixes):
-                rows[i, : len(s)] = s
-            for first, ids, starts, _ in _shards(b, test):
+            texts_ = [np.array([test.vocabulary[w] for w in words_of(t)], np.int64) for _, t in its]
+            flat = np.concatenate([np.zeros(0, np.int64), *(np.append(t, -1) for t in texts_), np.full(window, -1)])
+            owner = np.concatenate([np.zeros(0, np.int64), *(np.full(len(t) + 1, k) for k, t in enumerate(texts_))])
+            suffix = np.flatnonzero(flat[: len(owner)] > 0)
+            if not len(suffix):
+                continue
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts_)])
+            lines = flat[suffix[:, None] + np.arange(window)]
+            rows = np.where(np.cumprod(lines > 0, axis=1) > 0, lines, 0).astype(">u4")
+            keys = as_keys(rows)
+            for row, ids, starts, _ in _shards(b, test):
                 shard = Shard(ids, test)
-                if not len(shard.at) or not len(rows):
+                if not len(shard.at):
                     continue
-                spot = np.searchsorted(shard.keys, as_keys(rows))
                 of = np.frombuffer(shard.keys.tobytes(), ">u4").reshape(-1, window)
-                near = [np.clip(spot + s, 0, len(of) - 1) for s in (-1, 0)]  # its neighbours share most with it
-                common = [np.cumprod((of[n] == rows) & (rows > 0), axis=1).sum(1) for n in near]
-                size = np.maximum(*common)
-                place = shard.at[np.where(common[1] >= common[0], near[1], near[0])]
+                lo, hi = np.searchsorted(shard.keys, keys, "left"), np.searchsorted(shard.keys, keys, "right")
+                whole, which = _expand(lo, np.where(rows[:, -1] > 0, hi, lo))
+                near = np.concatenate([np.clip(lo + s, 0, len(of) - 1) for s in (-1, 0)])  # neighbours share most with it
+                who = np.concatenate((which, *[np.arange(len(suffix))] * 2))
+                spot = np.concatenate((whole, near))
+                place = shard.at[spot]
+                size = np.cumprod((of[spot] == rows[who]) & (rows[who] > 0), axis=1).sum(1)
+                live = np.flatnonzero(size == window)
+                text = np.append(ids, 0)
+                while len(live):  # beyond the window, word by word
+                    one, two = suffix[who[live]] + size[live], place[live] + size[live]
+                    live = live[(two < len(ids)) & (flat[np.minimum(one, len(flat) - 1)] == text[np.minimum(two, len(ids))]) & (flat[np.minimum(one, len(flat) - 1)] > 0)]
+                    size[live] += 1
                 doc = np.searchsorted(starts, place, "right") - 1
-                some = size > 0
-                d = b.column("doc_id").slice(first, len(starts)).take(pa.array(doc[some]))
-                own = [o for o, s in zip(owner, some) if s]
-                out.append(pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([o[1] for o in own], pa.int32()), pa.array(size[some], pa.int32()), d, pa.array((place - starts[doc])[some], pa.int32())], ["item_id", "item_word", "n_words", "doc_id", "doc_word"]))
-            return pa.Table.from_batches(out) if out else None
-
-        return each_batch(base, run, shape)
-
-    every = [block(items) for items in _blocks(benchmark, item_col, item_text_col)]
+                ids_of = b.column("doc_id").slice(row, len(starts)).to_numpy(zero_copy_only=False)[doc].astype(float)
+                order = np.lexsort((place, np.nan_to_num(ids_of, nan=np.inf), -size, who))
+                best = order[np.flatnonzero(np.append(True, who[order][1:] != who[order][:-1]))]
+                best = best[size[best] > 0]
+                item = owner[suffix[who[best]]]
+                out.append(pa.RecordBatch.from_arrays([pa.array([its[k][0] for k in item.tolist()], pa.int64()), pa.array(suffix[who[best]] - begin[item], pa.int32()), pa.array(size[best], pa.int32()), b.column("doc_id").slice(row, len(starts)).take(pa.array(doc[best])), pa.array(place[best] - starts[doc[best]], pa.int32())], ["item_id", "item_word", "n_words", "doc_id", "doc_word"]))
+        return pa.Table.from_batches(out) if out else None
+
+    every = [each_batch(base, lambda b, tests=tests: search(b, tests), shape) for tests in _passes(docs, benchmark, window, item_col, item_text_col, keep_items=True)]
     union = every[0]
     for e in every[1:]:
         union = union.union(e)

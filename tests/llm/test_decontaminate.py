@@ -49,7 +49,8 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(t, d, 1, "x", "y") for t, d in docs], SCHEMA)
     bench = spark.createDataFrame([(t, i, 3) for t, i in items], ITEMS)
     want = brute(docs, items)
-    for size, shard in ((16 << 20, 1 << 20), (400, 500)):
+    for size, shard, blocks in ((16 << 20, 1 << 20, 4), (400, 500, 2), (400, 1 << 20, 100)):
+        monkeypatch.setattr(D, "BLOCKS", blocks)
         monkeypatch.setattr(D, "BLOCK_BYTES", size)
         monkeypatch.setattr(D, "SHARD_WORDS", shard)
         got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.contamination(df, bench).collect())
@@ -72,3 +73,32 @@ def test_longest_matches(spark):
     got = {(r.item_id, r.item_word): (r.n_words, r.doc_id, r.doc_word) for r in D.longest_matches(spark.createDataFrame([(t, d, 1, "x", "y") for t, d in docs], SCHEMA), spark.createDataFrame([("a b c d e f", 7, 3)], ITEMS)).collect()}
     assert (7, 0) not in got and (7, 5) not in got
     assert [got[7, k][0] for k in range(1, 5)] == [4, 3, 2, 1]
+
+
+def test_longest_matches_beyond_the_window(spark, monkeypatch):
+    rnd = random.Random(7)
+    v = [f"w{i}" for i in range(6)]
+    items = [(" ".join(rnd.choices(v, k=60)), i) for i in range(3)]
+    docs = [(" ".join([*rnd.choices(v, k=20), *items[i % 3][0].split()[i : i + rnd.choice([3, 14, 45])], *rnd.choices(v, k=20)]), 100 - i) for i in range(12)]
+
+    def brute_match(words_, k):
+        found = []
+        for t, d in docs:
+            w = t.split()
+            for p in range(len(w)):
+                n = 0
+                while p + n < len(w) and k + n < len(words_) and w[p + n] == words_[k + n]:
+                    n += 1
+                if n:
+                    found.append((-n, d, p))
+        return min(found, default=None)
+
+    want = {(i, k): m for t, i in items for w in [t.split()] for k in range(len(w)) if (m := brute_match(w, k))}
+    df, bench = spark.createDataFrame([(t, d, 1, "x", "y") for t, d in docs], SCHEMA), spark.createDataFrame([(t, i, 3) for t, i in items], ITEMS)
+    for size, shard in ((16 << 20, 1 << 20), (200, 100)):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        monkeypatch.setattr(D, "SHARD_WORDS", shard)
+        got = {(r.item_id, r.item_word): (-r.n_words, r.doc_id, r.doc_word) for r in D.longest_matches(df, bench).collect()}
+        assert {k: m[0] for k, m in got.items()} == {k: m[0] for k, m in want.items()}
+        assert {k: m for k, m in got.items() if -m[0] >= 13} == {k: m for k, m in want.items() if -m[0] >= 13}
+    assert min(m[0] for m in want.values()) < -30
