@@ -17,6 +17,7 @@ share of positives.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -66,6 +67,17 @@ def sums(x: np.ndarray, w: np.ndarray, trusted: bool) -> np.ndarray:
     return np.concatenate(([len(x), softplus(z).sum()], x.sum(0), x.T @ s, curve.ravel()))
 
 
+def _added(batches, width: int):
+    """The sums of a partition's rows (t, s, i), with its first i to order them by."""
+    both, first = np.zeros((2, 2 + 2 * width + width * width)), None
+    for b in batches:
+        for t, s, i in zip(b.column("t").to_pylist(), b.column("s"), b.column("i").to_pylist()):
+            both[int(t)] += s.values.to_numpy()
+            first = i if first is None else first
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array(both.tolist(), pa.list_(pa.float64())), pa.array([first] * 2, pa.int32())], ["t", "s", "i"])
+
+
 def minimise(total: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, prior: float, ridge: float = RIDGE, passes: int = PASSES) -> np.ndarray:
     """Weights of least non-negative risk; total(w) gives the sums of positive and of unlabelled rows."""
 
@@ -119,6 +131,8 @@ def fit(stored: DataFrame, labels: DataFrame, label_col: str = "quality") -> dic
     width = 4 * STATS + 1
     rows = trusted.select(F.lit(True).alias("t"), "x").union(web.select(F.lit(False).alias("t"), "x"))
 
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+
     def total(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
             out = np.zeros((2, 2 + 2 * width + width * width))
@@ -129,9 +143,12 @@ def fit(stored: DataFrame, labels: DataFrame, label_col: str = "quality") -> dic
                         out[k] += sums(x[t == bool(k)], w, bool(k))
             yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array(out.tolist(), pa.list_(pa.float64()))], ["t", "s"])
 
-        parts = rows.mapInArrow(run, "t boolean, s array<double>").withColumn("i", F.spark_partition_id()).toArrow().sort_by("i")  # a pair of rows a partition
+        # a pair of rows a partition, added up in about as many tasks as its root, always in the same order
+        parts = rows.mapInArrow(run, "t boolean, s array<double>").withColumn("i", F.spark_partition_id())
+        dealt = parts.repartition(groups, F.pmod("i", F.lit(groups))).sortWithinPartitions("i", "t")
         both = [np.zeros(2 + 2 * width + width * width) for _ in range(2)]
-        for t, s in zip(parts.column("t").to_pylist(), parts.column("s")):
+        last = dealt.mapInArrow(lambda batches: _added(batches, width), "t boolean, s array<double>, i int").toArrow().sort_by("i")
+        for t, s in zip(last.column("t").to_pylist(), last.column("s")):
             both[t] += s.values.to_numpy()
         return both[1], both[0]
 
