@@ -82,4 +82,50 @@ WITH e AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op8_line_dedup": _OP8, "op9_vector_search": _OP9}
+_OP1 = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), win AS (
+  SELECT doc_id, CAST(k AS BIGINT) AS k, b[k + 1 : k + 50] AS h FROM d, unnest(range(octet_length(b) - 49)) AS r(k)
+), least_of AS (
+  SELECT h, min(doc_id) AS m FROM win GROUP BY h
+), gone AS (
+  SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM win JOIN least_of USING (h) WHERE m < doc_id
+), runs AS (
+  SELECT doc_id, k, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone
+), spans AS (
+  SELECT doc_id, run, min(k) AS a, max(k) + 50 AS e FROM runs GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(e), 0), octet_length(any_value(b)) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+), texts AS (
+  SELECT doc_id, string_agg(hex(b[x + 1 : y]), '' ORDER BY x) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id
+), s AS (SELECT doc_id, sum(e - a) AS n, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, coalesce(s.c, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN texts USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_OP10 = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), {_WORDS}) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, {_A_TO_Z}), {_WORDS}) AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k + 1 : k + least(len(w), 13)], ' ') AS s FROM i, unnest(range(greatest(len(w) - 12, 1))) AS r(k) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS s FROM d, sizes, unnest(range(len(w) - n + 1)) AS r(k)
+), met AS (
+  SELECT doc_id, dw.n, k, item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.s = dw.s
+), hit AS (
+  SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT doc_id, n, k FROM met), unnest(range(n)) AS r(j) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op8_line_dedup": _OP8, "op9_vector_search": _OP9, "op10_decontamination": _OP10}
