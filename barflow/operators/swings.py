@@ -98,8 +98,29 @@ def nearest_zone(zone_array: Column, price: Column, kind: str | None = None) ->
     return F.array_min(scored)
 
 
+def nearest_of(highs: Column, lows: Column, price: Column, tolerance: float = TOLERANCE) -> Column:
+    """nearest_zone of the zones_of these swings, in one fold that keeps the open zone and the nearest closed one."""
+    tag = lambda prices, low: F.transform(prices, lambda p: F.struct(p.alias("p"), F.lit(low).alias("low")))
+    points = F.array_sort(F.concat(tag(highs, 0), tag(lows, 1)))
+    start = F.expr("cast(null as struct<first:double,last:double,total:double,n:int,low:int,best:struct<distance:double,price:double,top:double,bottom:double,kind:string,touches:int,distance_pct:double>>)")
+
+    def nearer(s: Column) -> Column:
+        middle = s["total"] / s["n"]
+        far = F.abs(middle - price)
+        closed = F.struct(far.alias("distance"), middle.alias("price"), s["last"].alias("top"), s["first"].alias("bottom"), F.when(s["low"] * 2 >= s["n"], "support").otherwise("resistance").alias("kind"), s["n"].alias("touches"), (far / price * 100).alias("distance_pct"))
+        return F.when(s["best"].isNull() | (far < s["best"]["distance"]), closed).otherwise(s["best"])
+
+    def step(s: Column, x: Column) -> Column:
+        state = lambda first, total, n, low, best: F.struct(first.alias("first"), x["p"].alias("last"), total.alias("total"), n.alias("n"), low.alias("low"), best.alias("best"))
+        grown = state(s["first"], s["total"] + x["p"], s["n"] + 1, s["low"] + x["low"], s["best"])
+        fresh = state(x["p"], x["p"], F.lit(1), x["low"], F.when(s.isNotNull(), nearer(s)))
+        return F.when(s.isNotNull() & (x["p"] - s["last"] <= s["first"] * tolerance), grown).otherwise(fresh)
+
+    return F.aggregate(points, start, step, lambda s: F.when(s.isNotNull(), nearer(s)))
+
+
 def with_rolling_structure(bars: DataFrame, trail: int = TRAIL) -> DataFrame:
-    """smc_bias and zones of each bar from its trailing window, from bar FIRST on.
+    """smc_bias and the nearest zone (near) of each bar from its trailing window, from bar FIRST on.
 
     Swings are found once; the ones whose whole window lies in bars pos-trail .. pos are those at
     pos-trail+HALF .. pos-HALF, and at a series' start no window is clipped."""
@@ -110,15 +131,14 @@ def with_rolling_structure(bars: DataFrame, trail: int = TRAIL) -> DataFrame:
     return df.withColumns(
         {
             "smc_bias": F.when(late, _bias(F.col("close"), F.col("_h"), F.col("_l"))).otherwise(0),
-            "zones": F.when(late, zones_of(F.col("_h"), F.col("_l"))),
+            "near": F.when(late, nearest_of(F.col("_h"), F.col("_l"), F.col("close"))),
         }
     ).drop("_h", "_l", "swing_high", "swing_low")
 
 
 def with_zone_distance(df: DataFrame, atr: str = "atr") -> DataFrame:
-    """zone_dist_atr and at_zone of frames that have zones and an ATR."""
-    near = nearest_zone(F.col("zones"), F.col("close"))
-    df = df.withColumn("zone_dist_atr", F.when(F.col(atr) > 0, near["distance"] / F.col(atr)))
+    """zone_dist_atr and at_zone of frames that have near and an ATR."""
+    df = df.withColumn("zone_dist_atr", F.when(F.col(atr) > 0, F.col("near.distance") / F.col(atr)))
     return df.withColumn("at_zone", F.when(F.coalesce(F.col("zone_dist_atr") < 0.5, F.lit(False)), 1).otherwise(0))
 
 

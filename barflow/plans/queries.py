@@ -240,7 +240,7 @@ def sr_zones(spark, d):
 
 @query
 def nearest_zone(spark, d):
-    df = S.with_rolling_structure(posed(spark, d)).withColumn("z", S.nearest_zone(F.col("zones"), F.col("close")))
+    df = S.with_rolling_structure(posed(spark, d)).withColumnRenamed("near", "z")
     return df.where("z is not null").select(*AT, F.col("z.price").alias("zone_price"), F.col("z.kind").alias("zone_kind"), F.col("z.touches").alias("touches"), F.col("z.distance_pct").alias("distance_pct"))
 
 
