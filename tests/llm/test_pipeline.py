@@ -69,3 +69,28 @@ def test_toxicity_separates(spark):
     scored = toxicity_scores(read(spark, SMALL, "documents"), read(spark, SMALL, "labels")).where("doc_id is not null").collect()
     right = [r.rejected == bool(labels[r.doc_id]) for r in scored if r.doc_id in labels]
     assert sum(right) > 0.97 * len(right)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    passage = " ".join(f"b{i}" for i in range(20))
+    fine = lambda k: " ".join(f"w{(k * 131 + i * i) % 977}" for i in range(60))
+    spark.createDataFrame([(i, 1, int(i % 2)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage), (None, "x"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, ("you vile wretch " if i % 2 else "") + fine(i)) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, "long " * 100_000), (103, passage), (104, fine(200)), (104, fine(200)), (105, fine(200) + " tail"), (None, fine(300)), (106, "you vile wretch " + fine(400))]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, key string, row string, piece_no int, rejected int"
+    docs = spark.createDataFrame([(d, t, "en", None, None, "k", "r", 1, 2) for d, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names
+        path = corpus_pipeline.shared_folder(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    kept = [r.doc_id for r in docs.collect()]
+    # 101 is empty as 100 is, 105 nearly 104; what the classifier makes of 102, one word repeated, is left open
+    assert set(kept) - {102} == {*range(0, 40, 2), 100, 104, None} and len(kept) == len(set(kept))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(kept)
