@@ -574,3 +574,11 @@ FROM pred_p p JOIN tier_t t ON t.symbol = p.symbol AND t.timeframe = p.timeframe
     "market_overview": _with(BARS, _pos(), "w AS (SELECT *, avg(greatest(close - pc, 0)) OVER g AS gain, avg(greatest(pc - close, 0)) OVER g AS loss, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS rn FROM b WINDOW g AS (PARTITION BY symbol, timeframe ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))", "v AS (SELECT *, CASE WHEN pos < 14 THEN 50 WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END AS rsi FROM w WHERE rn <= 30)", select=f"SELECT {KEYS}, round(arg_max(close, ts), 2) AS price, round((arg_max(close, ts) - arg_min(close, ts)) / arg_min(close, ts) * 100, 2) AS change, CAST(count(*) AS INTEGER) AS n, CAST(arg_max(volume, ts) AS BIGINT) AS volume, CASE WHEN arg_max(rsi, ts) > 55 THEN 'bullish' WHEN arg_max(rsi, ts) < 45 THEN 'bearish' ELSE 'neutral' END AS signal FROM v GROUP BY ALL"),
     "stale_series": _with(TICKS, _ohlc("bars", "15m", "time_bucket(INTERVAL '15 minutes', ts)"), select=f"SELECT {KEYS}, max(ts) AS last_ts, epoch((SELECT max(ts) FROM bars)) - epoch(max(ts)) > 1800 AS stale FROM bars GROUP BY symbol, timeframe"),
 }
+ORACLES |= {
+    "bars_read": ORACLES["bars_load"],
+    "matrix_read": ORACLES["feature_matrix"],
+    "metrics_log": _with(LABELED, _SKILL, select=f"SELECT {KEYS}, {_r('brier', 'skill')} FROM bs"),
+    "trade_log_append": ORACLES["trade_log_valid"],
+    "vif_report": ORACLES["vif"],
+    "lower_names": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
+}

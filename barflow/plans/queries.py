@@ -56,6 +56,49 @@ def bars_load(spark, d):
     return B.without_nan(bars(spark, d, "15m")).dropna()
 
 
+@query
+def bars_read(spark, d):
+    path = B.folder(spark, "bars")
+    B.write_series(bars(spark, d, "15m"), path)
+    return B.read_bars(spark, path, timeframe="15m")
+
+
+@query
+def matrix_read(spark, d):
+    path = B.folder(spark, "features")
+    B.write_series(X.matrix(bars(spark, d)), path)
+    return B.read_series(spark, path, timeframe="1H")
+
+
+@query
+def metrics_log(spark, d):
+    path, s = B.folder(spark, "metrics"), scored(spark, d)
+    for rows in (s.where("fold < 3"), s):  # an earlier run, then the one that counts
+        B.append_metadata(E.brier_skill(rows).withColumn("run", F.lit(rows is s)), path)
+    return B.latest_metadata(spark, path, by="run").select(*KEY, "brier", "skill")
+
+
+@query
+def trade_log_append(spark, d):
+    path = B.folder(spark, "log")
+    e = B.table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("tier_a_prob"), F.col("event_type").alias("tier_b_bias"))
+    for part in (e.where("value < 50"), e.where("value >= 50")):
+        B.append_log(part, path)
+    return spark.read.parquet(path)
+
+
+@query
+def vif_report(spark, d):
+    path = B.folder(spark, "report")
+    B.write_report(E.vif(X.matrix(bars(spark, d))), path, "vif")
+    return spark.read.schema("feature string, vif double, high boolean").option("header", True).csv(path)
+
+
+@query
+def lower_names(spark, d):
+    return B.lower_names(B.table(spark, d, "events").select(F.col("event_id").alias("EVENT_ID"), F.col("event_type").alias("Event_Type"), F.col("value").alias("VALUE")))
+
+
 @query
 def macro_daily(spark, d):
     return X.clean_macro(B.macro_from_lineitem(spark, d))

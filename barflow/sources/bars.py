@@ -87,14 +87,14 @@ def write_report(df: DataFrame, path: str, by: str, form: str = "csv") -> None:
 
 def append_metadata(rows: DataFrame, path: str, form: str = "json") -> None:
     """Appends a run's metrics, benchmarks or index rows, stamped with the run's time."""
-    rows.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").format(form).save(path)
+    rows.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).write.mode("append").format(form).save(path)
 
 
-def latest_metadata(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Of what append_metadata wrote the last row of each pair (and model)."""
+def latest_metadata(spark: SparkSession, path: str, form: str = "json", by: str = "generated_at") -> DataFrame:
+    """Of what append_metadata wrote the last row, by the column, of each pair (and model)."""
     rows = spark.read.format(form).load(path)
     keys = [c for c in (*SERIES, "model") if c in rows.columns]
-    w = Window.partitionBy(*keys).orderBy(F.desc("generated_at"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(by))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
