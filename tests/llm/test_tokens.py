@@ -1,3 +1,4 @@
+import functools
 import sys
 import zlib
 
@@ -19,6 +20,7 @@ TEXTS = ["it's 's ''s !'s \n's don't've'll", "  x \n\n y  ", "", None, "<|endoft
 ROWS = [(t, i, "en", "k", "p", "z") for i, t in enumerate(TEXTS)] + [("the the the", 7, "en", "k", "p", "z"), ("no id", None, None, None, None, None)]
 
 
+@functools.cache
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
