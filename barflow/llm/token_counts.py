@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
