@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
+from barflow.llm import conversation_repair, decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
 from barflow.llm.common import read
 
 
@@ -52,7 +52,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination)}
+def damaged(table: DataFrame) -> DataFrame:
+    """The messages of conversations with the contract's damage, dealt by crc32 of `conv_id:turn` mod 20."""
+    named = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    rows = table.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.pmod(F.crc32(named.cast("binary")), F.lit(20)).alias("fate")).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return conversation_repair.messages(rows.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digests(damaged(table), table.select("conv_id").distinct())
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination, op11_conversation_repair)}
 
 _OP8 = """
 WITH lines AS (
@@ -128,4 +143,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op8_line_dedup": _OP8, "op9_vector_search": _OP9, "op10_decontamination": _OP10}
+_OP11 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b
+  FROM conversations
+), fated AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 20 AS fate
+  FROM keyed
+), rows AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM fated, unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE fate <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS r, rtrim(text, E' \t\n\x0b\f\r') AS seen FROM rows
+), faulted AS (
+  SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair
+  FROM ordered
+), tallied AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulted GROUP BY conv_id
+), starts AS (
+  SELECT conv_id, 0 AS i, [{'c': 0, 'a': '', 't': ''}, {'c': 100000000, 'a': '', 't': ''}, {'c': 3, 'a': 'I', 't': chr(10) || 'user:'}, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}] AS s FROM tallied
+), steps AS (
+  SELECT * FROM starts
+  UNION ALL
+  SELECT conv_id, i, list_value(v[1], v[2],
+    list_min(list_value(v[3], {'c': v[1].c + 3, 'a': v[1].a || 'I', 't': v[1].t || chr(10) || 'user:'}, {'c': v[2].c + 3, 'a': v[2].a || 'I', 't': v[2].t || chr(10) || 'user:'}, {'c': v[4].c + 3, 'a': v[4].a || 'I', 't': v[4].t || chr(10) || 'user:'})),
+    list_min(list_value(v[4], {'c': v[3].c + 3, 'a': v[3].a || 'I', 't': v[3].t || chr(10) || 'assistant:'}, {'c': v[1].c + 6, 'a': v[1].a || 'II', 't': v[1].t || chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': v[2].c + 6, 'a': v[2].a || 'II', 't': v[2].t || chr(10) || 'user:' || chr(10) || 'assistant:'}))) AS s
+  FROM (
+    SELECT p.conv_id, f.i, list_value(
+      {'c': s[1].c + 4, 'a': s[1].a || 'D', 't': s[1].t},
+      list_min(list_value({'c': s[2].c + 4, 'a': s[2].a || 'D', 't': s[2].t}, {'c': s[1].c + keep + CASE r WHEN 's' THEN 0 ELSE 100000000 END, 'a': s[1].a || 'K', 't': s[1].t || kept})),
+      list_min(list_value({'c': s[3].c + 4, 'a': s[3].a || 'D', 't': s[3].t},
+        {'c': s[1].c + keep + CASE r WHEN 'u' THEN 0 ELSE 100000000 END, 'a': s[1].a || 'K', 't': s[1].t || kept}, {'c': s[2].c + keep + CASE r WHEN 'u' THEN 0 ELSE 100000000 END, 'a': s[2].a || 'K', 't': s[2].t || kept}, {'c': s[4].c + keep + CASE r WHEN 'u' THEN 0 ELSE 100000000 END, 'a': s[4].a || 'K', 't': s[4].t || kept},
+        {'c': s[1].c + keep + 3, 'a': s[1].a || 'R', 't': s[1].t || as_user}, {'c': s[2].c + keep + 3, 'a': s[2].a || 'R', 't': s[2].t || as_user}, {'c': s[4].c + keep + 3, 'a': s[4].a || 'R', 't': s[4].t || as_user})),
+      list_min(list_value({'c': s[4].c + 4, 'a': s[4].a || 'D', 't': s[4].t}, {'c': s[3].c + keep + CASE r WHEN 'a' THEN 0 ELSE 100000000 END, 'a': s[3].a || 'K', 't': s[3].t || kept}, {'c': s[3].c + keep + 3, 'a': s[3].a || 'R', 't': s[3].t || as_assistant}))) AS v
+    FROM steps p JOIN (
+      SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 100000000 END AS keep, chr(10) || role || ':' || text AS kept, chr(10) || 'user:' || text AS as_user, chr(10) || 'assistant:' || text AS as_assistant FROM faulted
+    ) f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+  )
+), done AS (
+  SELECT p.conv_id, list_min([s[1], s[4]]) AS best FROM steps p JOIN tallied t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.n = p.i
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN tallied t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op8_line_dedup": _OP8, "op9_vector_search": _OP9, "op10_decontamination": _OP10, "op11_conversation_repair": _OP11}
