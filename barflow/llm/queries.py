@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import conversation_repair, decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
+from barflow.llm import conversation_repair, decontaminate, language_id, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
 from barflow.llm.common import read
 
 
@@ -67,7 +67,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(damaged(table), table.select("conv_id").distinct())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination, op11_conversation_repair)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_mixtures(read(spark, sf_dir, "documents")).drop("languages")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination, op11_conversation_repair, op13_language_id)}
 
 _OP8 = """
 WITH lines AS (
