@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import conversation_repair, decontaminate, language_id, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
+from barflow.llm import conversation_repair, decontaminate, hard_negatives, language_id, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, token_store, toxicity, vector_search
 from barflow.llm.common import read
 
 
@@ -67,11 +67,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(damaged(table), table.select("conv_id").distinct())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(table, F.col("vec_id") % 100 == 0, positives=5, negatives=10, least=30, most=90, scale=256)
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_mixtures(read(spark, sf_dir, "documents")).drop("languages")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination, op11_conversation_repair, op13_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_token_store, op4_quality, op5_toxicity, op6_simhash, op7_packing, op8_line_dedup, op9_vector_search, op10_decontamination, op11_conversation_repair, op12_hard_negatives, op13_language_id)}
 
 _OP8 = """
 WITH lines AS (
@@ -198,4 +204,20 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN tallied t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op8_line_dedup": _OP8, "op9_vector_search": _OP9, "op10_decontamination": _OP10, "op11_conversation_repair": _OP11}
+_OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": _OP1, "op8_line_dedup": _OP8, "op9_vector_search": _OP9, "op10_decontamination": _OP10, "op11_conversation_repair": _OP11, "op12_hard_negatives": _OP12}
