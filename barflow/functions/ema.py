@@ -1,9 +1,8 @@
 """Exponential moving averages without a loop over rows.
 
-A series is cut into blocks of BLOCK rows.  Inside a block the average is a cumulative sum of
-weighted values; what earlier blocks add is a short fold over their ends, because their weight
-falls below a double's precision after a few blocks.  So a long series is spread over tasks, and
-only block ends (one row in BLOCK) are looked at in series order.
+In a haloed block (functions.blocks) the average is a cumulative sum of weighted values.  The halo
+reaches back so far that what lies before it weighs less than a double's precision; so a long series is
+spread over tasks, and a block needs nothing of the others.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.sources.bars import SERIES
+from barflow.functions.blocks import BLOCK, rows
 
-BLOCK = 256
+FORGOTTEN = 40.0  # e-folds after which a value no longer counts
+WIDEST = 690.0  # e-folds of weights that a sum of doubles holds
 
 
 def span(n: int) -> float:
@@ -26,30 +26,28 @@ def wilder(n: int) -> float:
     return 1.0 / n
 
 
-def with_ema(df: DataFrame, averages: dict[str, tuple[Column, float]], pos: str = "pos", keys: list[str] = SERIES) -> DataFrame:
-    """df with a column for each name: (value, weight of the newest row).
+def rate(alpha: float) -> float:
+    return -math.log(1 - alpha)
 
-    pos counts the rows of a series from 0; rows with a negative pos get null.  Values must not be null
-    from pos 0 on; the first row's average is its value."""
-    j = F.pmod(F.col(pos), F.lit(BLOCK)).cast("double")
-    block = F.floor(F.col(pos) / BLOCK).cast("long")
-    out = df.withColumns({"_block": block, "_j": j})
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
-    local = {}
+
+def reach(*alphas: float) -> int:
+    """Rows before a block that averages of these weights need, one of the other."""
+    return sum(math.ceil(FORGOTTEN / rate(a)) for a in alphas)
+
+
+def with_ema(df: DataFrame, averages: dict[str, tuple[Column, float]], pos: str = "pos") -> DataFrame:
+    """A haloed df with a column for each name: (value, weight of the newest row).
+
+    pos counts the rows of a series from 0; rows with a negative pos get null and must have the value 0.
+    Values must not be null from pos 0 on; the first row's average is its value."""
+    past = rows(Window.unboundedPreceding, 0)
+    done = {}
     for name, (value, alpha) in averages.items():
-        q = 1 - alpha
-        weight = F.when(F.col(pos) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        local[f"_l_{name}"] = F.pow(F.lit(q), F.col("_j")) * F.sum(weight * value * F.pow(F.lit(q), -F.col("_j"))).over(inside)
-    out = out.withColumns(local)
-    # rows of negative pos are in blocks before 0, which add nothing
-    ends = out.where("_block >= 0").groupBy(*keys, "_block").agg(*(F.max_by(f"_l_{n}", pos).alias(f"_e_{n}") for n in averages))
-    order = Window.partitionBy(*keys).orderBy("_block")
-    carry = []
-    for name, (_, alpha) in averages.items():
-        step = (1 - alpha) ** BLOCK
-        blocks = math.ceil(40 / (-math.log(1 - alpha) * BLOCK)) + 1
-        carry.append(sum((F.coalesce(F.lag(f"_e_{name}", k).over(order), F.lit(0.0)) * step ** (k - 1) for k in range(1, blocks + 1)), F.lit(0.0)).alias(f"_c_{name}"))
-    carried = ends.select(*keys, "_block", *carry)
-    joined = out.join(carried, [*keys, "_block"], "left")
-    done = {n: F.when(F.col(pos) >= 0, F.col(f"_l_{n}") + F.col(f"_c_{n}") * F.pow(F.lit(1 - a), F.col("_j") + 1)) for n, (_, a) in averages.items()}
-    return joined.withColumns(done).drop("_block", "_j", *(f"_{k}_{n}" for n in averages for k in "lc"))
+        if rate(alpha) * BLOCK <= WIDEST:
+            weight = F.when(F.col(pos) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+            average = F.exp(-rate(alpha) * F.col("_j")) * F.sum(weight * value * F.exp(rate(alpha) * F.col("_j"))).over(past)
+        else:  # weights that fall so fast that few rows count
+            last = F.collect_list(F.when(F.col(pos) >= 0, value)).over(rows(1 - reach(alpha), 0))
+            average = F.aggregate(F.slice(last, 2, reach(alpha)), F.get(last, F.lit(0)), lambda y, x: y + alpha * (x - y))
+        done[name] = F.when(F.col(pos) >= 0, average)
+    return df.withColumns(done)

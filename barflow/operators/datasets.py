@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.sources.bars import SERIES
+from barflow.functions.blocks import scanned
+from barflow.sources.bars import SERIES, settled, with_pos
 
 QUANTILE = 0.7
 RISK = 0.02
@@ -32,19 +33,17 @@ def with_taken(scored: DataFrame, q: float = QUANTILE) -> DataFrame:
 
 
 def equity(scored: DataFrame) -> DataFrame:
-    """pnl_r (2 for a win, -1 for a loss, 0 when not taken), its running sum and that in percent at RISK each."""
+    """pnl_r (2 for a win, -1 for a loss, 0 when not taken), its running sum, that in percent at RISK each, its peak so far,
+    and the last bar's pnl_r."""
     pnl = F.when(F.col("taken") == 1, F.when(F.col("label") == 1, 2.0).otherwise(-1.0)).otherwise(0.0)
-    df = with_taken(scored).withColumn("pnl_r", pnl)
-    run = _by().orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("equity_r", F.sum("pnl_r").over(run)).withColumn("equity_pct", F.col("equity_r") * RISK)
+    df = with_taken(scored if "pos" in scored.columns else with_pos(scored)).withColumn("pnl_r", pnl)
+    df = scanned(df, {"equity_r": ("sum", "pnl_r", True), "peak_r": ("peak", "pnl_r", True), "before_r": ("last", "pnl_r", False)})
+    return df.withColumn("equity_pct", F.col("equity_r") * RISK)
 
 
 def metrics(scored: DataFrame) -> DataFrame:
     """Trades, win rate, Sharpe, Sortino, drawdown, Calmar and the in-sample Brier score of each series."""
-    order = _by().orderBy("ts")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    df = equity(scored)
-    df = df.withColumns({"ret": F.nullif(F.col("pnl_r") - F.lag("pnl_r").over(order), F.lit(0.0)), "down": F.col("equity_r") - F.max("equity_r").over(run)})
+    df = equity(scored).withColumns({"down": F.col("equity_r") - F.col("peak_r"), "ret": F.nullif(F.col("pnl_r") - F.col("before_r"), F.lit(0.0))})
     loss = F.when(F.col("ret") < 0, F.col("ret"))
     a = df.groupBy(*SERIES).agg(
         F.sum("taken").alias("trades"),
@@ -165,14 +164,24 @@ def insight_flags(scored: DataFrame, skill: DataFrame, auc: DataFrame) -> DataFr
 
 def extremes(scored: DataFrame) -> DataFrame:
     """Lowest and highest equity (the first bar of each) and the last value with a band of two R."""
-    e = equity(scored).withColumn("i", F.row_number().over(_by().orderBy("ts")) - 1)
+    e = equity(scored).withColumnRenamed("pos", "i")
     at = lambda sign: F.min_by(F.struct("i", "equity_r"), F.struct((sign * F.col("equity_r")).alias("v"), F.col("i").alias("j")))
     df = e.groupBy(*SERIES).agg(at(1).alias("lo"), at(-1).alias("hi"), F.max_by("equity_r", "i").alias("last"))
     return df.select(*SERIES, F.col("lo.i").alias("min_pos"), F.col("lo.equity_r").alias("min_r"), F.col("hi.i").alias("max_pos"), F.col("hi.equity_r").alias("max_r"), "last", (F.col("last") - 2).alias("band_low"), (F.col("last") + 2).alias("band_high"))
 
 
-def model_cards(scores: DataFrame, benchmarks: DataFrame, scored: DataFrame) -> DataFrame:
-    """The active model and the benchmarks of each series with their confidence and the last equity values."""
-    columns = [*SERIES, "model", "brier", "auc"]
-    every = scores.select(*columns, F.lit(True).alias("active")).unionByName(benchmarks.select(*columns, F.lit(False).alias("active")))
-    return every.join(last_equity(scored).select(*SERIES, "spark"), SERIES).withColumn("confidence", F.round(F.greatest(1 - F.col("brier"), F.lit(0.0)) * 100, 1))
+#: Fixed value: the active model's name on its card.
+ACTIVE = "LogReg-L1"
+
+
+def model_cards(model: DataFrame, auc: DataFrame, benchmarks: DataFrame, scored: DataFrame) -> DataFrame:
+    """A card for each series' trained model and benchmarks: scores, accuracy, training time, confidence, last equity values.
+
+    scored has the trained model's probabilities of all labelled rows, auc its area out of sample.  The model's accuracy is
+    its trades' win rate; benchmarks have none and show the last 20 of the model's 30 equity values."""
+    trained = metrics(scored).join(model.select(*SERIES, "train_s"), SERIES).join(auc, SERIES, "left")
+    active = trained.select(*SERIES, F.lit(ACTIVE).alias("model"), F.col("brier_score").alias("brier"), F.coalesce("auc", F.lit(0.5)).alias("auc"), F.round("win_rate", 3).alias("accuracy"), "train_s", F.lit(True).alias("active"))
+    others = benchmarks.select(*SERIES, "model", F.round("brier", 4).alias("brier"), F.round("auc", 4).alias("auc"), F.lit(0.0).alias("accuracy"), "train_s", F.lit(False).alias("active"))
+    every = settled(active.unionByName(others), "cards")
+    shown = F.when(F.col("active"), F.col("spark")).otherwise(F.slice("spark", F.greatest(F.size("spark") - 19, F.lit(1)), 20))
+    return every.join(last_equity(scored).select(*SERIES, "spark"), SERIES).withColumns({"spark": shown, "confidence": F.round(F.greatest(1 - F.col("brier"), F.lit(0.0)), 4)})

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.features import TECHNICAL
-from barflow.sources.bars import SERIES
+from barflow.sources.bars import SERIES, SIZE, with_pos
 
 FOLDS = 5
 ALPHA = 0.10
@@ -20,11 +21,10 @@ def heuristic(rsi: str = "rsi", cross: str = "ema_cross"):
 
 def with_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     """fold 1..folds of the rows that it tests (contiguous, at the tail, n // (folds + 1) each); 0 before."""
-    by = Window.partitionBy(*SERIES)
-    df = rows.withColumns({"_i": F.row_number().over(by.orderBy("ts")) - 1, "_n": F.count("*").over(by)})
-    size = F.floor(F.col("_n") / (folds + 1))
-    first = F.col("_n") - size * folds
-    return df.withColumn("fold", F.when(F.col("_i") < first, 0).otherwise(F.floor((F.col("_i") - first) / size) + 1).cast("int")).drop("_i", "_n")
+    df = rows if SIZE in rows.columns else with_pos(rows, SIZE)
+    size = F.floor(F.col(SIZE) / (folds + 1))
+    first = F.col(SIZE) - size * folds
+    return df.withColumn("fold", F.when(F.col("pos") < first, 0).otherwise(F.floor((F.col("pos") - first) / size) + 1).cast("int")).drop(SIZE, *([] if "pos" in rows.columns else ["pos"]))
 
 
 def fold_table(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -61,12 +61,12 @@ def brier_skill(scored: DataFrame) -> DataFrame:
     return by.select(*SERIES, "fold_brier", "brier", ref.alias("reference"), (1 - F.col("brier") / F.nullif(ref, F.lit(0.0))).alias("skill"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
+def roc_auc(scored: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Area under the ROC curve from counts by probability, so ties share their ranks."""
-    by = scored.groupBy(*SERIES, "proba").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*SERIES).orderBy("proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = scored.groupBy(*keys, "proba").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    return by.withColumn("below", below).groupBy(*SERIES).agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    return by.withColumn("below", below).groupBy(*keys).agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -78,19 +78,20 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
 def conformal(scored: DataFrame, alpha: float = ALPHA, least: int = 20) -> DataFrame:
     """q_hat of each series from the last fifth of its rows; series with fewer than `least` such rows have none."""
     by = Window.partitionBy(*SERIES)
-    df = scored.withColumns({"_i": F.row_number().over(by.orderBy("ts")) - 1, "_n": F.count("*").over(by)})
-    cal = df.where(F.col("_i") >= F.floor(F.col("_n") * 0.8)).withColumn("s", F.abs(F.col("proba") - F.col("label")))
+    df = with_pos(scored, "_n")
+    cal = df.where(F.col("pos") >= F.floor(F.col("_n") * 0.8)).withColumn("s", F.abs(F.col("proba") - F.col("label")))
     cal = cal.withColumns({"n_cal": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("s"))})
     k = F.least(F.ceil((F.col("n_cal") + 1) * (1.0 - alpha)), F.col("n_cal"))
     return cal.where((F.col("n_cal") >= least) & (F.col("_r") == k)).select(*SERIES, F.col("s").alias("q_hat"), F.lit(alpha).alias("alpha"), F.col("n_cal").cast("long").alias("n_cal"), F.lit(1 - alpha).alias("coverage"))
 
 
 def correlations(rows: DataFrame, columns: list[str] = TECHNICAL) -> DataFrame:
-    """(a, b, r): Pearson correlations of all pairs, to three decimals, nulls as 0; one pass over the rows."""
+    """(symbol, timeframe, a, b, r): Pearson correlations of each series' columns, to three decimals, nulls as 0; one pass over the rows."""
     pairs = [(a, b) for a in columns for b in columns]
-    one = rows.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs))
-    items = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.round(F.col(f"`{a}|{b}`"), 3), F.lit(0.0)).alias("r")) for a, b in pairs))
-    return one.select(F.explode(items).alias("x")).select("x.*")
+    one = rows.groupBy(*SERIES).agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i:]))
+    r = lambda a, b: F.col(f"`{a}|{b}`" if columns.index(a) <= columns.index(b) else f"`{b}|{a}`")
+    items = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.round(r(a, b), 3), F.lit(0.0)).alias("r")) for a, b in pairs))
+    return one.select(*SERIES, F.explode(items).alias("x")).select(*SERIES, "x.*")
 
 
 def high_correlations(rows: DataFrame, columns: list[str] = TECHNICAL, least: float = 0.85) -> DataFrame:
@@ -99,10 +100,21 @@ def high_correlations(rows: DataFrame, columns: list[str] = TECHNICAL, least: fl
 
 
 def vif(rows: DataFrame, columns: list[str] = TECHNICAL, warn: float = 10.0) -> DataFrame:
-    """(feature, vif, high) without a constant column: (X'X)_ii [(X'X)^-1]_ii.
-
-    Spark sums the products; only that matrix of len(columns) squared numbers comes to the driver."""
-    sums = rows.agg(*(F.sum(F.col(a).cast("double") * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
-    gram = np.array([[float(sums[f"{min(i, j)}_{max(i, j)}"] or 0) for j in range(len(columns))] for i in range(len(columns))])
-    value = np.diag(gram) * np.diag(np.linalg.pinv(gram))
-    return rows.sparkSession.createDataFrame([(c, float(v), bool(v > warn)) for c, v in zip(columns, value)], "feature string, vif double, high boolean")
+    """(symbol, timeframe, feature, vif, high) of each series, without a constant column: (X'X)_ii [(X'X)^-1]_ii.
+
+    Spark sums the products, a row of len(columns) squared numbers a series; tasks invert them."""
+    n = len(columns)
+    sums = F.array(*(F.coalesce(F.sum(F.col(a).cast("double") * F.col(b)), F.lit(0.0)) for a in columns for b in columns))
+    by = rows.groupBy(*SERIES).agg(sums.alias("gram"))
+
+    def invert(batches):
+        for b in batches:
+            out = []
+            for symbol, timeframe, gram in zip(*(b.column(c).to_pylist() for c in (*SERIES, "gram"))):
+                m = np.array(gram).reshape(n, n)
+                value = np.diag(m) * np.diag(np.linalg.pinv(m))
+                out += [{"symbol": symbol, "timeframe": timeframe, "feature": c, "vif": float(v), "high": bool(v > warn)} for c, v in zip(columns, value)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+
+    return by.mapInArrow(invert, "symbol string, timeframe string, feature string, vif double, high boolean")

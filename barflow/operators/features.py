@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.functions.ema import span, wilder, with_ema
-from barflow.operators.indicators import W, log_return, rows, true_range, with_averages, with_entropy, with_rsi
+from barflow.functions.blocks import W, in_blocks, rows, scanned
+from barflow.functions.ema import reach, span, wilder, with_ema
+from barflow.operators.indicators import log_return, true_range, with_averages, with_entropy, with_rsi
 from barflow.operators.swings import with_rolling_structure, with_zone_distance
-from barflow.sources.bars import SERIES, dedupe_last, fill, tail, with_pos
+from barflow.sources.bars import SERIES, SIZE, dedupe_last, fill, tail, with_pos
 
 TECHNICAL = ["rsi", "macd_pct", "ema_cross", "atr_pct", "ret_1", "ret_5", "entropy_20", "smc_bias", "zone_dist_atr", "at_zone"]
 MACRO = ["dxy_return_1d", "vix_level", "tnx_level"]
@@ -25,10 +26,18 @@ def attach_macro(bars: DataFrame, macro: DataFrame) -> DataFrame:
     """Macro features by the bar's day; gaps are filled over bars, so days without a bar are lost."""
     daily = macro.groupBy("day").agg(*(F.last(c, True).alias(c) for c in ("dxy", "vix", "tnx")))
     df = bars.withColumn("day", F.col("ts").cast("date")).join(daily, "day", "left").drop("day")
-    return _macro_features(fill(df, ["dxy", "vix", "tnx"], SERIES, "ts"))
+    posed = df if "pos" in df.columns else with_pos(df)
+    both = scanned(posed, {f"_{c}": ("last", c, True) for c in ("dxy", "vix", "tnx")}, {f"_n{c}": ("last", c, True) for c in ("dxy", "vix", "tnx")})
+    filled = both.withColumns({c: F.coalesce(f"_{c}", f"_n{c}") for c in ("dxy", "vix", "tnx")})
+    out = _macro_features(filled.drop(*(f"_{k}{c}" for k in ("", "n") for c in ("dxy", "vix", "tnx"))))
+    return out if "pos" in bars.columns else out.drop("pos")
 
 
-def _macro_features(df: DataFrame) -> DataFrame:
+def _macro_features(posed: DataFrame) -> DataFrame:
+    return in_blocks(posed, 1, 0, _macro_of)
+
+
+def _macro_of(df: DataFrame) -> DataFrame:
     return df.withColumns({"dxy_return_1d": F.ln(F.col("dxy") / F.lag("dxy").over(W())), "vix_level": F.least(F.col("vix") / 50, F.lit(1.0)), "tnx_level": F.col("tnx") / 10}).drop("dxy", "vix", "tnx")
 
 
@@ -41,7 +50,7 @@ def attach_macro_asof(bars: DataFrame, macro: DataFrame) -> DataFrame:
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     days = macro.select("day", "dxy", "vix", "tnx").unionByName(bars.select("day").distinct(), allowMissingColumns=True).groupBy("day").agg(*(F.max(c).alias(c) for c in ("dxy", "vix", "tnx")))
     carried = days.select("day", *(F.last(c, True).over(w).alias(c) for c in ("dxy", "vix", "tnx")))
-    return _macro_features(bars.join(carried, "day").drop("day"))
+    return _macro_features(with_pos(bars.join(carried, "day").drop("day"))).drop("pos")
 
 
 def matrix(bars: DataFrame, macro: DataFrame | None = None, drop: bool = True, seq: str | None = None) -> DataFrame:
@@ -49,13 +58,19 @@ def matrix(bars: DataFrame, macro: DataFrame | None = None, drop: bool = True, s
 
     Of bars with one timestamp the last by column seq counts, where it is given."""
     bars = dedupe_last(bars, seq) if seq else bars
-    n = F.count("*").over(Window.partitionBy(*SERIES))
-    df = with_pos(bars).withColumn("_n", n).where(F.col("_n") >= LEAST_BARS).drop("_n")
-    df = with_rsi(df)
-    df = df.withColumn("_tr", true_range())
+    df = with_pos(bars, "_n").where(F.col("_n") >= LEAST_BARS).drop("_n")
+    df = attach_macro(df, macro) if macro is not None else df
+    df = in_blocks(df, max(reach(span(50)), reach(wilder(14)) + 1), 0, _features)
+    df = df.select(*SERIES, "ts", *TECHNICAL, *(MACRO if macro is not None else []), "high", "low", "close")
+    return df.dropna() if drop else df
+
+
+def _features(df: DataFrame) -> DataFrame:
+    """TECHNICAL of a haloed frame: all windows over one shuffle."""
+    df = with_rsi(df).withColumn("_tr", true_range())
     df = with_ema(df, {"_e12": (F.col("close"), span(12)), "_e26": (F.col("close"), span(26)), "_e20": (F.col("close"), span(20)), "_e50": (F.col("close"), span(50)), "atr": (F.col("_tr"), wilder(14))})
     df = with_zone_distance(with_rolling_structure(with_entropy(df)))
-    df = df.withColumns(
+    return df.withColumns(
         {
             "rsi": F.col("rsi") / 100,
             "macd_pct": (F.col("_e12") - F.col("_e26")) / F.col("close") * 100,
@@ -65,12 +80,6 @@ def matrix(bars: DataFrame, macro: DataFrame | None = None, drop: bool = True, s
             "ret_5": log_return(5),
         }
     )
-    names = [*TECHNICAL]
-    if macro is not None:
-        df = attach_macro(df, macro)
-        names += MACRO
-    df = df.select(*SERIES, "ts", *names, "high", "low", "close")
-    return df.dropna() if drop else df
 
 
 def last_row(bars: DataFrame, macro: DataFrame | None = None, window: int = 200, exact: bool = False) -> DataFrame:
@@ -83,24 +92,25 @@ def cross_timeframe(daily: DataFrame, finer: dict[str, DataFrame]) -> DataFrame:
     """Daily bars with the last RSI and EMA cross of each finer series' day."""
     out = daily.withColumn("day", F.col("ts").cast("date"))
     for name, bars in finer.items():
-        df = with_averages(with_rsi(with_pos(bars)), {"_a": 20, "_b": 50})
+        df = in_blocks(with_pos(bars), reach(span(50)), 0, lambda df: with_averages(with_rsi(df), {"_a": 20, "_b": 50}))
         last = df.groupBy("symbol", F.col("ts").cast("date").alias("day")).agg(F.max_by("rsi", "ts").alias(f"rsi_{name}"), F.max_by(F.signum(F.col("_a") - F.col("_b")), "ts").alias(f"ema_cross_{name}"))
         out = out.join(last, ["symbol", "day"], "left")
     return out.drop("day")
 
 
-def triple_barrier(rows_: DataFrame, horizon: Column | int = 10, most: int = 10) -> DataFrame:
+def triple_barrier(rows_: DataFrame, horizon: Column | int = 10, most: int = 10, places: bool = False) -> DataFrame:
     """label and label_bars of matrix rows: which barrier the next rows touch first; both at once is a stop.
 
-    Rows count after nulls are gone.  The last `horizon` rows of a series have no label."""
+    Rows count after nulls are gone.  The last `horizon` rows of a series have no label.  places keeps the
+    position of the labelled rows (pos) and their number (SIZE)."""
     h = F.lit(horizon) if isinstance(horizon, int) else horizon
     absolute = F.col("atr_pct") / 100 * F.col("close")
-    df = with_pos(rows_).withColumns({"_up": F.col("close") + TAKE * absolute, "_down": F.col("close") - STOP * absolute, "_h": h, "_n": F.count("*").over(Window.partitionBy(*SERIES))})
-    df = df.withColumn("_next", F.collect_list(F.struct("high", "low")).over(rows(1, most)))
+    df = with_pos(rows_, "_n").withColumns({"_up": F.col("close") + TAKE * absolute, "_down": F.col("close") - STOP * absolute, "_h": h})
+    df = in_blocks(df, 0, most, lambda df: df.withColumn("_next", F.collect_list(F.struct("high", "low")).over(rows(1, most))))
     touches = F.transform(F.slice("_next", F.lit(1), F.col("_h")), lambda x, i: F.struct((i + 1).alias("bars"), F.when(x["low"] <= F.col("_down"), 0).when(x["high"] >= F.col("_up"), 1).alias("label")))
     first = F.get(F.filter(touches, lambda t: t["label"].isNotNull()), F.lit(0))
     df = df.where(F.col("pos") < F.col("_n") - F.col("_h"))
-    return df.withColumns({"label": F.coalesce(first["label"], F.lit(0)), "label_bars": F.coalesce(first["bars"], F.col("_h"))}).drop("_up", "_down", "_h", "_n", "_next", "pos")
+    return df.withColumns({"label": F.coalesce(first["label"], F.lit(0)), "label_bars": F.coalesce(first["bars"], F.col("_h")), SIZE: F.col("_n") - F.col("_h")}).drop("_up", "_down", "_h", "_n", "_next", *([] if places else ["pos", SIZE]))
 
 
 def label_balance(labeled: DataFrame) -> DataFrame:

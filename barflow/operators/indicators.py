@@ -1,24 +1,18 @@
-"""Technical indicators as window expressions over bars with a position (see sources.bars.with_pos)."""
+"""Technical indicators of bars with a position (see sources.bars.with_pos).
+
+Columns that look back over rows are expressions on haloed frames (functions.blocks); what starts with with_ takes
+bars with or without a halo."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.functions.ema import span, wilder, with_ema
-from barflow.sources.bars import SERIES, series_window
-
-W = series_window
-
-
-def previous(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(W())
-
-
-def rows(a: int, b: int):
-    return W().rowsBetween(a, b)
+from barflow.functions.blocks import in_blocks, previous, ranged, rows, scanned
+from barflow.functions.ema import reach, span, wilder, with_ema
+from barflow.sources.bars import SERIES
 
 
 def true_range() -> Column:
@@ -29,6 +23,10 @@ def true_range() -> Column:
 
 def with_rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
     """Wilder RSI: averages start at the first difference; 100 where there is no loss, or no difference."""
+    return in_blocks(bars, reach(wilder(n)) + 1, 0, lambda df: _rsi(df, n, out))
+
+
+def _rsi(bars: DataFrame, n: int, out: str) -> DataFrame:
     change = F.col("close") - previous("close")
     df = bars.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0)), "_p": F.col("pos") - 1})
     df = df.withColumns({c: F.when(F.col("_p") >= 0, F.col(c)).otherwise(F.lit(0.0)) for c in ("_up", "_down")})
@@ -38,8 +36,18 @@ def with_rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
 
 
 def with_atr(bars: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
-    df = bars.withColumn("_tr", true_range())
-    return with_ema(df, {out: (F.col("_tr"), wilder(n))}).drop("_tr")
+    atr = lambda df: with_ema(df.withColumn("_tr", true_range()), {out: (F.col("_tr"), wilder(n))}).drop("_tr")
+    return in_blocks(bars, reach(wilder(n)) + 1, 0, atr)
+
+
+def with_true_range(bars: DataFrame, out: str = "tr", long: str | None = None, n: int = 200) -> DataFrame:
+    """The true range, and its mean over n bars in column long."""
+
+    def ranges(df: DataFrame) -> DataFrame:
+        df = df.withColumn(out, true_range())
+        return df.withColumn(long, sma_atr(n, out)) if long else df
+
+    return in_blocks(bars, n if long else 1, 0, ranges)
 
 
 def sma_atr(n: int = 200, tr: str = "tr") -> Column:
@@ -47,16 +55,24 @@ def sma_atr(n: int = 200, tr: str = "tr") -> Column:
 
 
 def with_averages(bars: DataFrame, spans: dict[str, int]) -> DataFrame:
-    return with_ema(bars, {k: (F.col("close"), span(n)) for k, n in spans.items()})
+    return in_blocks(bars, max(reach(span(n)) for n in spans.values()), 0, lambda df: with_ema(df, {k: (F.col("close"), span(n)) for k, n in spans.items()}))
 
 
 def with_macd(bars: DataFrame) -> DataFrame:
     """macd is EMA12 less EMA26 of the close, macd_signal its EMA9."""
-    df = with_averages(bars, {"_fast": 12, "_slow": 26}).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return with_ema(df, {"macd_signal": (F.col("macd"), span(9))})
+
+    def signal(df: DataFrame) -> DataFrame:
+        df = with_averages(df, {"_fast": 12, "_slow": 26}).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+        return with_ema(df, {"macd_signal": (F.col("macd"), span(9))})
+
+    return in_blocks(bars, reach(span(26), span(9)), 0, signal)
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
+    return in_blocks(bars, n - 1, 0, lambda df: _bollinger(df, n, k))
+
+
+def _bollinger(bars: DataFrame, n: int, k: float) -> DataFrame:
     w = rows(-(n - 1), 0)
     full = F.count("close").over(w) == n
     df = bars.withColumns({"bb_mid": F.when(full, F.avg("close").over(w)), "_sd": F.when(full, F.stddev_pop("close").over(w))})
@@ -89,20 +105,30 @@ def log_return(n: int) -> Column:
     return F.ln("close") - F.ln(previous("close", n))
 
 
+def with_returns(bars: DataFrame, lags: dict[str, int]) -> DataFrame:
+    return in_blocks(bars, max(lags.values()), 0, lambda df: df.withColumns({c: log_return(n) for c, n in lags.items()}))
+
+
 def with_entropy(bars: DataFrame, n: int = 20, bins: int = 10, out: str = "entropy_20", causal: bool = False) -> DataFrame:
     """Shannon entropy of the n log-returns before a bar, over equal bins of the series' range, from 0 to 1.
 
     The bins span the whole series' returns, as the published definition has it; causal takes only
     returns before the bar."""
-    series = Window.partitionBy(*SERIES) if not causal else rows(Window.unboundedPreceding, -1)
-    df = bars.withColumn("_r", log_return(1))
-    df = df.withColumns({"_lo": F.min("_r").over(series), "_hi": F.max("_r").over(series)})
+    if causal:
+        bars = in_blocks(bars, 1, 0, lambda df: df.withColumn("_r", log_return(1)))
+        bars = scanned(bars, {"_lo": ("min", "_r", False), "_hi": ("max", "_r", False)})
+    return in_blocks(bars, n + 1, 0, lambda df: _entropy(df, n, bins, out, causal))
+
+
+def _entropy(df: DataFrame, n: int, bins: int, out: str, causal: bool) -> DataFrame:
+    if not causal:
+        df = ranged(df.withColumn("_r", log_return(1)), "_r", "_lo", "_hi")
     before = rows(-n, -1)
     width = (F.col("_hi") - F.col("_lo")) / bins
     if causal:
         values = F.filter(F.collect_list("_r").over(before), lambda x: x.isNotNull())
         df = df.withColumn("_v", values)
-        bucket = lambda x: F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))
+        bucket = lambda x: F.least(F.floor((x - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
         counts = [F.size(F.filter("_v", lambda x, k=k: bucket(x) == k)) for k in range(bins)]
     else:
         edge = lambda k: F.col("_lo") + width * k

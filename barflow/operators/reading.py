@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from barflow.operators.evaluation import heuristic
 from barflow.operators.features import TECHNICAL, last_row
-from barflow.operators.indicators import previous, simple_rsi
+from barflow.functions.blocks import in_blocks, previous
+from barflow.operators.indicators import simple_rsi
 from barflow.operators.swings import nearest_zone, structure_bias, with_swings, zones_of
+from barflow.operators.training import score
 from barflow.sources.bars import SERIES, tail, with_pos
 
 AT_ZONE = 0.003
@@ -44,14 +46,18 @@ def tier_b(bars: DataFrame, n: int = 100) -> DataFrame:
     return df.join(structure_bias(last).select(*SERIES, name.alias("bias")), SERIES)
 
 
-def predictions(bars: DataFrame) -> DataFrame:
-    """The heuristic probability of each series' last bar."""
-    return last_row(bars).withColumn("proba", heuristic()).withColumn("is_probability", F.lit(False))
+def predictions(bars: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """The probability of each series' last bar: the trained model's (operators.training) where it has one, else the heuristic's."""
+    last = last_row(bars)
+    if model is None:
+        return last.withColumn("proba", heuristic()).withColumn("is_probability", F.lit(False))
+    known = score(last, model, how="left").withColumn("is_probability", F.col("proba").isNotNull())
+    return known.withColumn("proba", F.coalesce("proba", heuristic()))
 
 
-def readings(bars: DataFrame, conformal: DataFrame, news: DataFrame, timeframes: DataFrame) -> DataFrame:
+def readings(bars: DataFrame, conformal: DataFrame, news: DataFrame, timeframes: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """One row for each series: prediction, interval, structure, news, sizing and the feature map."""
-    p = sizing(intervals(predictions(bars), conformal))
+    p = sizing(intervals(predictions(bars, model), conformal))
     h = F.broadcast(timeframes.select(F.col("id").alias("timeframe"), F.col("horizon").alias("horizon_bars")))
     df = p.join(tier_b(bars).withColumnRenamed("at_zone", "b_at_zone"), SERIES).join(h, "timeframe").join(news, "symbol", "left")
     return df.select(
@@ -92,7 +98,7 @@ def news_overlay(headlines: DataFrame) -> DataFrame:
 
 def market(bars: DataFrame) -> DataFrame:
     """Per series its last price and volume, change and closes over 30 bars, and a signal from a plain RSI."""
-    df = bars.withColumn("_change", F.col("close") - previous("close")).withColumn("rsi", simple_rsi())
+    df = in_blocks(bars, 15, 0, lambda df: df.withColumn("_change", F.col("close") - previous("close")).withColumn("rsi", simple_rsi()))
     df = tail(df, 30).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("c"), F.max_by("volume", "ts").alias("volume"), F.max_by("rsi", "ts").alias("rsi"))
     first, last = F.get("c", F.lit(0))["close"], F.element_at("c", -1)["close"]
     return df.select(*SERIES, F.round(last, 2).alias("price"), F.round((last - first) / first * 100, 2).alias("change"), F.transform("c", lambda x: F.round(x["close"], 2)).alias("spark"), F.col("volume").cast("long").alias("volume"), F.when(F.col("rsi") > 55, "bullish").when(F.col("rsi") < 45, "bearish").otherwise("neutral").alias("signal"))

@@ -5,46 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.indicators import previous, rows, sma_atr, true_range
+from barflow.functions.blocks import in_blocks, previous, rows, scanned, sized
+from barflow.operators.indicators import with_true_range
 from barflow.sources.bars import SERIES
 
 SCOPES = {"swing": 10, "internal": 4}
+LONG = 200  # bars of the long ATR
 EQUAL = 0.1  # of the long ATR: two pivots within it are equal
 KEEP_BLOCKS, KEEP_GAPS = 12, 20
 
 
 def prepared(bars: DataFrame) -> DataFrame:
     """Bars of series that are long enough, with the long ATR and its parsed highs and lows."""
-    n = F.count("*").over(Window.partitionBy(*SERIES))
-    df = bars.withColumn("_n", n).where(F.col("_n") >= max(SCOPES.values()) + 3).drop("_n").withColumn("tr", true_range()).withColumn("atr_long", sma_atr(200))
     wild = F.col("high") - F.col("low") >= 2 * F.col("atr_long")
-    return df.withColumns({"parsed_high": F.when(wild, F.col("low")).otherwise(F.col("high")), "parsed_low": F.when(wild, F.col("high")).otherwise(F.col("low"))})
+    parsed = {"parsed_high": F.when(wild, F.col("low")).otherwise(F.col("high")), "parsed_low": F.when(wild, F.col("high")).otherwise(F.col("low"))}
+    return in_blocks(bars, LONG, 0, lambda df: with_true_range(_long_enough(df), long="atr_long", n=LONG).withColumns(parsed))
 
 
-def with_leg(df: DataFrame, size: int) -> DataFrame:
-    """leg is 1 from a low, 0 from a high that the next `size` bars stay within; carried on, 0 at first."""
+def _long_enough(df: DataFrame) -> DataFrame:
+    """The rows of a haloed frame whose series have as many bars as the widest scope and three more."""
+    return sized(df).where(F.col("_n") >= max(SCOPES.values()) + 3).drop("_n")
+
+
+def with_leg(bars: DataFrame, size: int) -> DataFrame:
+    """leg is 1 from a low, 0 from a high that the next `size` bars stay within; carried on, 0 at first.
+
+    _leg is the leg before the bar; _high, _low and _atr are of the bar `size` before, _close of the last one."""
     w = rows(-(size - 1), 0)
     signal = F.when(previous("high", size) > F.max("high").over(w), 0).when(previous("low", size) < F.min("low").over(w), 1)
-    return df.withColumn("_s", signal).withColumn("leg", F.coalesce(F.last("_s", True).over(rows(Window.unboundedPreceding, 0)), F.lit(0))).drop("_s")
+    back = {"_s": signal, "_high": previous("high", size), "_low": previous("low", size), "_atr": previous("atr_long", size), "_close": previous("close")}
+    df = in_blocks(bars, LONG + size, 0, lambda df: prepared(df).withColumns(back))
+    df = scanned(df, {"leg": ("last", "_s", True), "_leg": ("last", "_s", False)})
+    return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("leg", "_leg")}).drop("_s")
 
 
 def legs(bars: DataFrame, scope: str) -> DataFrame:
-    return with_leg(prepared(bars), SCOPES[scope]).select(*SERIES, "pos", "leg")
+    return with_leg(bars, SCOPES[scope]).select(*SERIES, "pos", "leg")
 
 
-def _with_pivots(df: DataFrame, size: int) -> DataFrame:
+def _with_pivots(bars: DataFrame, size: int) -> DataFrame:
     """pivot_high / pivot_low: the price of the pivot that the bar confirms; pivot_pos its place."""
-    df = with_leg(df, size)
-    flip = F.col("leg") != F.coalesce(previous("leg"), F.lit(0))
-    at = {"pivot_pos": F.when(flip, F.col("pos") - size), "pivot_high": F.when(flip & (F.col("leg") == 0), previous("high", size)), "pivot_low": F.when(flip & (F.col("leg") == 1), previous("low", size)), "pivot_atr": F.when(flip, previous("atr_long", size))}
+    df = with_leg(bars, size)
+    flip = F.col("leg") != F.col("_leg")
+    at = {"pivot_pos": F.when(flip, F.col("pos") - size), "pivot_high": F.when(flip & (F.col("leg") == 0), F.col("_high")), "pivot_low": F.when(flip & (F.col("leg") == 1), F.col("_low")), "pivot_atr": F.when(flip, F.col("_atr"))}
     return df.withColumns(at)
 
 
 def pivots(bars: DataFrame, scope: str = "swing") -> DataFrame:
     """(pos, confirmed, price, kind, label): the first of a kind is HH or LL."""
-    df = _with_pivots(prepared(bars), SCOPES[scope]).where("pivot_pos is not null")
+    df = _with_pivots(bars, SCOPES[scope]).where("pivot_pos is not null")
     df = df.select(*SERIES, F.col("pivot_pos").alias("pos"), F.col("pos").alias("confirmed"), F.coalesce("pivot_high", "pivot_low").alias("price"), F.when(F.col("pivot_high").isNotNull(), "high").otherwise("low").alias("kind"), "pivot_atr")
-    df = df.withColumn("last", F.lag("price").over(Window.partitionBy(*SERIES, "kind").orderBy("confirmed")))
+    df = scanned(df, {"last": ("last", "price", False)}, order=("confirmed",), keys=[*SERIES, "kind"])
     high = F.when(F.col("last").isNull() | (F.col("price") > F.col("last")), "HH").otherwise("LH")
     low = F.when(F.col("last").isNull() | (F.col("price") < F.col("last")), "LL").otherwise("HL")
     return df.withColumn("label", F.when(F.col("kind") == "high", high).otherwise(low))
@@ -58,20 +69,20 @@ def equal_levels(bars: DataFrame) -> DataFrame:
 
 def breaks(bars: DataFrame, scope: str) -> DataFrame:
     """(pos, pivot_pos, level, side, tag): the first crossing of each pivot's level, once a pivot."""
-    df = _with_pivots(prepared(bars), SCOPES[scope])
-    past = rows(Window.unboundedPreceding, 0)
-    close, last = F.col("close"), previous("close")
+    both = (("bull", "pivot_high"), ("bear", "pivot_low"))
+    df = _with_pivots(bars, SCOPES[scope])
+    df = scanned(df, {f"_{side}": ("last", F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("level"), "pivot_pos")), True) for side, c in both})
+    close, last = F.col("close"), F.col("_close")
     sides = []
-    for side, column in (("bull", "pivot_high"), ("bear", "pivot_low")):
-        level, of = F.last(column, True).over(past), F.last(F.when(F.col(column).isNotNull(), F.col("pivot_pos")), True).over(past)
+    for side, _ in both:
+        level, of = F.col(f"_{side}.level"), F.col(f"_{side}.pivot_pos")
         crossed = (close > level) & (last <= level) if side == "bull" else (close < level) & (last >= level)
         sides.append(F.when(crossed, F.struct(of.alias("pivot_pos"), level.alias("level"), F.lit(side).alias("side"))))
     hit = df.select(*SERIES, "pos", F.array_compact(F.array(*sides)).alias("_s")).select(*SERIES, "pos", F.explode("_s").alias("_s")).select(*SERIES, "pos", "_s.*")
     first = Window.partitionBy(*SERIES, "side", "pivot_pos").orderBy("pos")
     out = hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    order = Window.partitionBy(*SERIES).orderBy("pos", F.when(F.col("side") == "bull", 0).otherwise(1))
-    last = F.lag("side").over(order)
-    return out.withColumn("tag", F.when(last.isNotNull() & (last != F.col("side")), "CHoCH").otherwise("BOS"))
+    out = scanned(out.withColumn("_bear", F.col("side") == "bear"), {"_last": ("last", "side", False)}, order=("pos", "_bear"))
+    return out.withColumn("tag", F.when(F.col("_last").isNotNull() & (F.col("_last") != F.col("side")), "CHoCH").otherwise("BOS")).drop("_last", "_bear")
 
 
 def order_blocks(bars: DataFrame, scope: str, bucket: int = 512) -> DataFrame:
@@ -88,7 +99,7 @@ def order_blocks(bars: DataFrame, scope: str, bucket: int = 512) -> DataFrame:
 
 def fair_gaps(bars: DataFrame) -> DataFrame:
     """Gaps over two bars, stored at the middle one."""
-    df = prepared(bars).withColumns({"_h": previous("high", 2), "_l": previous("low", 2)})
+    df = in_blocks(bars, 2, 0, lambda df: _long_enough(df).withColumns({"_h": previous("high", 2), "_l": previous("low", 2)}))
     up, down = F.col("low") > F.col("_h"), F.col("high") < F.col("_l")
     df = df.withColumns({"side": F.when(up, "bull").when(down, "bear"), "top": F.when(up, F.col("low")).when(down, F.col("_l")), "bottom": F.when(up, F.col("_h")).when(down, F.col("high"))})
     return df.where("side is not null").select(*SERIES, "side", (F.col("pos") - 1).alias("x"), "top", "bottom")
@@ -96,8 +107,8 @@ def fair_gaps(bars: DataFrame) -> DataFrame:
 
 def with_future(bars: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
     """Least low and greatest high of all later bars."""
-    w = rows(1, Window.unboundedFollowing)
-    return bars.select(*SERIES, "pos", F.min(low).over(w).alias("later_low"), F.max(high).over(w).alias("later_high"))
+    later = scanned(bars.select(*SERIES, "pos", low, high), {}, {"later_low": ("min", low, False), "later_high": ("max", high, False)})
+    return later.select(*SERIES, "pos", "later_low", "later_high")
 
 
 def _dead(side: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.indicators import previous, rows, sma_atr, true_range
+from barflow.functions.blocks import in_blocks, previous, scanned, sized
+from barflow.operators.indicators import with_true_range
 from barflow.sources.bars import SERIES
 
 LEAST_BARS = 200
@@ -16,17 +17,24 @@ LATEST = 5
 
 def with_spike(bars: DataFrame) -> DataFrame:
     """spike: the bar before traded more than the mean of all bars up to it."""
-    mean = F.avg("volume").over(rows(Window.unboundedPreceding, -1))
-    return bars.withColumn("spike", F.coalesce((mean > 0) & (previous("volume") > mean), F.lit(False)))
+    df = in_blocks(bars, 1, 0, lambda df: df.withColumn("_volume", previous("volume")))
+    df = scanned(df, {"_sum": ("sum", "volume", False), "_count": ("count", "volume", False)})
+    mean = F.col("_sum") / F.nullif("_count", F.lit(0))
+    return df.withColumn("spike", F.coalesce((mean > 0) & (F.col("_volume") > mean), F.lit(False))).drop("_volume", "_sum", "_count")
 
 
 def _found(bars: DataFrame) -> DataFrame:
     """Candidates with the greatest and least later close (hi, lo): one pass over a series for both sides."""
-    n = F.count("*").over(Window.partitionBy(*SERIES))
-    later = rows(1, Window.unboundedFollowing)
-    df = with_spike(bars.withColumn("_n", n).where(F.col("_n") >= LEAST_BARS).withColumn("tr", true_range())).withColumn("wide", 2 * sma_atr(200))
-    df = df.withColumns({"bear": F.col("close") < F.col("open"), "bull": F.col("close") > F.col("open"), "hi": F.max("close").over(later), "lo": F.min("close").over(later)})
-    df = df.withColumns({f"{c}{k}": previous(c, k) if k else F.col(c) for c in ("bear", "bull", "low", "high", "volume") for k in range(LOOKBACK + 1)})
+
+    def back(df: DataFrame) -> DataFrame:
+        df = with_true_range(sized(df).where(F.col("_n") >= LEAST_BARS), long="_long").withColumn("wide", 2 * F.col("_long"))
+        df = df.withColumns({"bear": F.col("close") < F.col("open"), "bull": F.col("close") > F.col("open")})
+        return df.withColumns({f"{c}{k}": previous(c, k) if k else F.col(c) for c in ("bear", "bull", "low", "high", "volume") for k in range(LOOKBACK + 1)})
+
+    df = in_blocks(bars, LEAST_BARS, 0, back)
+    df = scanned(df, {"_sum": ("sum", "volume", False), "_count": ("count", "volume", False)}, {"hi": ("max", "close", False), "lo": ("min", "close", False)})
+    mean = F.col("_sum") / F.nullif("_count", F.lit(0))
+    df = df.withColumn("spike", F.coalesce((mean > 0) & (F.col("volume1") > mean), F.lit(False)))
     sides = []
     for kind, mine, other, edge in (("supply", "bear", "bull", "low"), ("demand", "bull", "bear", "high")):
         back = F.coalesce(*(F.when(F.col(f"{other}{k}"), k) for k in range(LOOKBACK + 1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.indicators import W, previous, rows
+from barflow.functions.blocks import W, in_blocks, previous, rows
 from barflow.sources.bars import SERIES
 
 HALF = 5  # bars on each side of a swing
@@ -19,12 +19,11 @@ def with_swings(bars: DataFrame, half: int = HALF) -> DataFrame:
     """swing_high and swing_low hold the price where the bar is the extreme of its centred window."""
     w = rows(-half, half)
     full = F.count("high").over(w) == 2 * half + 1
-    return bars.withColumns(
-        {
-            "swing_high": F.when(full & (F.col("high") == F.max("high").over(w)), F.col("high")),
-            "swing_low": F.when(full & (F.col("low") == F.min("low").over(w)), F.col("low")),
-        }
-    )
+    extremes = {
+        "swing_high": F.when(full & (F.col("high") == F.max("high").over(w)), F.col("high")),
+        "swing_low": F.when(full & (F.col("low") == F.min("low").over(w)), F.col("low")),
+    }
+    return in_blocks(bars, half, half, lambda df: df.withColumns(extremes))
 
 
 def swings(bars: DataFrame) -> DataFrame:
@@ -124,6 +123,10 @@ def with_rolling_structure(bars: DataFrame, trail: int = TRAIL) -> DataFrame:
 
     Swings are found once; the ones whose whole window lies in bars pos-trail .. pos are those at
     pos-trail+HALF .. pos-HALF, and at a series' start no window is clipped."""
+    return in_blocks(bars, trail, 0, lambda df: _rolling(df, trail))
+
+
+def _rolling(bars: DataFrame, trail: int) -> DataFrame:
     df = with_swings(bars)
     w = rows(-(trail - HALF), -HALF)
     df = df.withColumns({"_h": F.collect_list("swing_high").over(w), "_l": F.collect_list("swing_low").over(w)})
@@ -145,8 +148,9 @@ def with_zone_distance(df: DataFrame, atr: str = "atr") -> DataFrame:
 def order_blocks_basic(bars: DataFrame, most: int = 3) -> DataFrame:
     """The first blocks of a series: the bar before one whose body is BODY times the last body."""
     body = F.abs(F.col("close") - F.col("open"))
-    df = bars.withColumns({"_body": body, "_last": F.lag(body).over(W())})
-    df = df.withColumns({"top": previous("high"), "bottom": previous("low"), "at": F.col("pos") - 1, "kind": F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish")})
+    before = {"_body": body, "_last": F.lag(body).over(W()), "top": previous("high"), "bottom": previous("low")}
+    df = in_blocks(bars, 1, 0, lambda df: df.withColumns(before))
+    df = df.withColumns({"at": F.col("pos") - 1, "kind": F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish")})
     hit = df.where("_last > 0").where(F.col("_body") >= BODY * F.col("_last"))
     first = Window.partitionBy(*SERIES).orderBy("at")
     return hit.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select(*SERIES, "at", "kind", "top", "bottom")
@@ -154,7 +158,8 @@ def order_blocks_basic(bars: DataFrame, most: int = 3) -> DataFrame:
 
 def fair_gaps_basic(bars: DataFrame, most: int = 10) -> DataFrame:
     """The first gaps of a series, by their middle bar."""
-    df = bars.withColumns({"_ph": previous("high"), "_pl": previous("low"), "_nh": F.lead("high").over(W()), "_nl": F.lead("low").over(W())})
+    beside = {"_ph": previous("high"), "_pl": previous("low"), "_nh": F.lead("high").over(W()), "_nl": F.lead("low").over(W())}
+    df = in_blocks(bars, 1, 1, lambda df: df.withColumns(beside))
     up, down = F.col("_ph") < F.col("_nl"), F.col("_pl") > F.col("_nh")
     df = df.withColumns({"kind": F.when(up, "bullish").when(down, "bearish"), "top": F.when(up, F.col("_nl")).when(down, F.col("_pl")), "bottom": F.when(up, F.col("_ph")).when(down, F.col("_nh"))})
     hit = df.where("kind is not null").withColumn("price", (F.col("top") + F.col("bottom")) / 2)

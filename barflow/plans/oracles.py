@@ -365,12 +365,12 @@ def _renamed(sql: str, suffix: str) -> str:
 
 
 def _gauss(n: int) -> str:
-    """Inverse of the n x n matrix in g(m), a list of rows with the unit matrix beside it, row by row."""
+    """Inverse of each series' n x n matrix in g(symbol, timeframe, m), a list of rows with the unit matrix beside it, row by row."""
     return f"""gj AS (
-  SELECT 1 AS k, m FROM g
+  SELECT 1 AS k, symbol, timeframe, m FROM g
   UNION ALL
-  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {n}
-), inv AS (SELECT m FROM gj WHERE k = {n + 1})"""
+  SELECT k + 1, symbol, timeframe, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {n}
+), inv AS (SELECT symbol, timeframe, m FROM gj WHERE k = {n + 1})"""
 
 
 _SCOPES = {"s": (_SWING, BREAKS.format(z=10), BLOCKS), "i": (_INNER, BREAKS.format(z=4), BLOCKS)}
@@ -487,9 +487,9 @@ u AS (SELECT symbol, 2 AS rank, ts::DATE AS day, low, high FROM daily UNION ALL
     "ob_mitigation_swing": _with(BARS, _pos(), _SWING, BREAKS.format(z=10), BLOCKS, select=f"SELECT {KEYS}, side, break_pos, x, {_r('top', 'bottom')}, mitigated FROM mit"),
     "vif": _with(
         MATRIX,
-        "g AS (SELECT [" + ", ".join("[" + ", ".join([f"sum(CAST({a} AS DOUBLE) * {b} ORDER BY symbol, ts)" for b in NAMES] + [f"CAST({int(i == j)} AS DOUBLE)" for j in range(len(NAMES))]) + "]" for i, a in enumerate(NAMES)) + "] AS m FROM fm)",
+        "g AS (SELECT symbol, timeframe, [" + ", ".join("[" + ", ".join([f"sum(CAST({a} AS DOUBLE) * {b} ORDER BY symbol, ts)" for b in NAMES] + [f"CAST({int(i == j)} AS DOUBLE)" for j in range(len(NAMES))]) + "]" for i, a in enumerate(NAMES)) + "] AS m FROM fm GROUP BY symbol, timeframe)",
         _gauss(len(NAMES)),
-        select=" UNION ALL ".join(f"SELECT '{c}' AS feature, round(g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}], 6) AS vif, g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}] > 10 AS high FROM g, inv" for i, c in enumerate(NAMES)),
+        select=" UNION ALL ".join(f"SELECT symbol, timeframe, '{c}' AS feature, round(g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}], 6) AS vif, g.m[{i + 1}][{i + 1}] * inv.m[{i + 1}][{len(NAMES) + i + 1}] > 10 AS high FROM g JOIN inv USING (symbol, timeframe)" for i, c in enumerate(NAMES)),
     ),
     "chart_overlays": _with(
         *_CHART,
@@ -512,8 +512,8 @@ FROM pred_p p JOIN tier_t t ON t.symbol = p.symbol AND t.timeframe = p.timeframe
     "stream_reading": _with(_M200, _PRED, select=f"SELECT {KEYS}, ts, {_r('close', 'proba')} FROM pred"),
     "triple_barrier": _with(LABELED, select=f"SELECT {KEYS}, ts, {_r('close', 'atr_pct')}, label, label_bars FROM sc"),
     "label_balance": _with(LABELED, select=f"SELECT {KEYS}, count(*) AS n, round(avg(label), 6) AS positive_rate, round(avg(label_bars), 6) AS mean_bars FROM sc GROUP BY ALL"),
-    "feature_corr": _with(MATRIX, select=" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(round(corr({a}, {b}), 3), 0) AS r FROM fm" for a in NAMES for b in NAMES)),
-    "high_corr_pairs": _with(MATRIX, "cc AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, coalesce(round(corr({a}, {b}), 3), 0) AS r FROM fm" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]) + ")", select="SELECT * FROM cc WHERE abs(r) > 0.25"),
+    "feature_corr": _with(MATRIX, select=" UNION ALL ".join(f"SELECT symbol, timeframe, '{a}' AS a, '{b}' AS b, coalesce(round(corr({a}, {b}), 3), 0) AS r FROM fm GROUP BY symbol, timeframe" for a in NAMES for b in NAMES)),
+    "high_corr_pairs": _with(MATRIX, "cc AS (" + " UNION ALL ".join(f"SELECT symbol, timeframe, '{a}' AS a, '{b}' AS b, coalesce(round(corr({a}, {b}), 3), 0) AS r FROM fm GROUP BY symbol, timeframe" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]) + ")", select="SELECT * FROM cc WHERE abs(r) > 0.25"),
     "time_series_folds": _with(LABELED, "t AS (SELECT symbol, timeframe, fold, count(*) AS n_test, min(ts) AS test_from, max(ts) AS test_to FROM sc GROUP BY ALL)", select=f"SELECT * FROM (SELECT {KEYS}, fold, n_test, test_from, test_to, CAST(coalesce(sum(n_test) OVER (PARTITION BY symbol, timeframe ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_train FROM t) WHERE fold > 0"),
     "standardize": _with(LABELED, "st AS (SELECT a.symbol, a.timeframe, k.f AS fold, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("rsi", "atr_pct", "ret_1")) + " FROM sc a, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS f) k WHERE a.fold < k.f GROUP BY ALL)", select=f"SELECT sc.symbol, sc.timeframe, ts, sc.fold, " + ", ".join(f"round(({c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1), 6) AS {c}" for c in ("rsi", "atr_pct", "ret_1")) + " FROM sc JOIN st USING (symbol, timeframe, fold)"),
     "training_gate": _with(LABELED, _TABLES, select="SELECT symbol, timeframe, count(label) AS n, CAST(min(min_bars) AS INTEGER) AS min_bars, count(label) >= min(min_bars) AS trained FROM sc JOIN tf ON tf.id = timeframe GROUP BY symbol, timeframe"),
@@ -580,5 +580,6 @@ ORACLES |= {
     "metrics_log": _with(LABELED, _SKILL, select=f"SELECT {KEYS}, {_r('brier', 'skill')} FROM bs"),
     "trade_log_append": ORACLES["trade_log_valid"],
     "vif_report": ORACLES["vif"],
+    "high_corr_pairs_published": ORACLES["high_corr_pairs"].replace("abs(r) > 0.25", "abs(r) > 0.85"),
     "lower_names": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
 }

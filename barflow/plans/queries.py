@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.blocks import in_blocks
+from barflow.functions.ema import reach, wilder
 from barflow.operators import datasets as D
 from barflow.operators import evaluation as E
 from barflow.operators import features as X
@@ -39,7 +41,7 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1H") -> DataFrame:
 
 
 def posed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.with_pos(bars(spark, sf_dir))
+    return B.with_pos(bars(spark, sf_dir), B.SIZE)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with the heuristic probability and their folds, settled: what follows reads them more than once."""
-    return B.settled(E.with_folds(X.triple_barrier(X.matrix(bars(spark, sf_dir)))).withColumn("proba", E.heuristic()), "scored")
+    return B.settled(E.with_folds(X.triple_barrier(X.matrix(bars(spark, sf_dir)), places=True)).withColumn("proba", E.heuristic()), "scored")
 
 
 @query
@@ -91,7 +93,7 @@ def trade_log_append(spark, d):
 def vif_report(spark, d):
     path = B.folder(spark, "report")
     B.write_report(E.vif(X.matrix(bars(spark, d))), path, "vif")
-    return spark.read.schema("feature string, vif double, high boolean").option("header", True).csv(path)
+    return spark.read.schema("symbol string, timeframe string, feature string, vif double, high boolean").option("header", True).csv(path)
 
 
 @query
@@ -205,7 +207,7 @@ def rsi_14(spark, d):
 
 @query
 def true_range(spark, d):
-    return posed(spark, d).withColumn("tr", I.true_range()).select(*AT, "tr")
+    return I.with_true_range(posed(spark, d)).select(*AT, "tr")
 
 
 @query
@@ -215,7 +217,7 @@ def atr_14(spark, d):
 
 @query
 def atr_sma_200(spark, d):
-    return posed(spark, d).withColumn("tr", I.true_range()).withColumn("atr_long", I.sma_atr(200)).select(*AT, "atr_long")
+    return I.with_true_range(posed(spark, d), long="atr_long").select(*AT, "atr_long")
 
 
 @query
@@ -243,7 +245,7 @@ def mtf_confluence(spark, d):
 
 @query
 def log_returns(spark, d):
-    return posed(spark, d).withColumns({"ret_1": I.log_return(1), "ret_5": I.log_return(5)}).select(*AT, "ret_1", "ret_5")
+    return I.with_returns(posed(spark, d), {"ret_1": 1, "ret_5": 5}).select(*AT, "ret_1", "ret_5")
 
 
 @query
@@ -289,7 +291,8 @@ def nearest_zone(spark, d):
 
 @query
 def zone_distance(spark, d):
-    return S.with_zone_distance(S.with_rolling_structure(I.with_atr(posed(spark, d)))).select(*AT, "zone_dist_atr", "at_zone")
+    df = in_blocks(posed(spark, d), reach(wilder(14)) + 1, 0, lambda df: S.with_rolling_structure(I.with_atr(df)))
+    return S.with_zone_distance(df).select(*AT, "zone_dist_atr", "at_zone")
 
 
 @query
@@ -446,6 +449,11 @@ def high_corr_pairs(spark, d):
     return E.high_correlations(X.matrix(bars(spark, d)), least=0.25)
 
 
+@query
+def high_corr_pairs_published(spark, d):
+    return E.high_correlations(X.matrix(bars(spark, d)))
+
+
 @query
 def vif(spark, d):
     return E.vif(X.matrix(bars(spark, d)))
@@ -619,49 +627,65 @@ def labeled(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
 def train_logreg(spark, d):
     from barflow.operators import training as T
 
-    scored = T.each_pair(labeled(spark, d, "15m"), lambda _, rows: B.settled(T.out_of_sample(rows).select(*KEY, "fold", "label", "proba"), "scored"))
-    return E.brier_skill(T.union(scored))
+    rows, model = T.out_of_sample(labeled(spark, d, "15m"))
+    return E.brier_skill(B.settled(rows, "scored")).join(model.select(*KEY, (F.col("residual") <= T.OPTIMAL).alias("optimal")), KEY)
 
 
 @query
 def platt(spark, d):
     from barflow.operators import training as T
 
-    scored = T.each_pair(labeled(spark, d, "15m"), lambda _, rows: B.settled(T.Calibrated(rows).score(rows).select(*AT, "label", "proba"), "scored"))
-    return T.union(scored)
+    rows = labeled(spark, d, "15m")
+    return T.score(rows, T.calibrated(rows)).select(*AT, "label", "proba")
 
 
 @query
 def benchmarks(spark, d):
-    """The last fold of five with one inner calibration: the whole protocol is 16 fits a model and pair."""
-    from barflow.operators.training import benchmark_pairs
+    from barflow.operators import training as T
+    from barflow.operators import trees
 
-    return benchmark_pairs(spark, labeled(spark, d, "15m"), B.timeframes(spark), first_fold=5, inner=1)
+    return trees.benchmarks(T.trained_pairs(labeled(spark, d, "15m"), B.timeframes(spark)))
 
 
 @query
 def feature_importance(spark, d):
     from barflow.operators import training as T
 
-    items = T.each_pair(labeled(spark, d, "15m"), lambda pair, rows: [(pair["symbol"], pair["timeframe"], i + 1, f, v) for i, (f, v) in enumerate(T.Calibrated(rows).importance())])
-    return spark.createDataFrame([r for part in items for r in part], "symbol string, timeframe string, rank int, feature string, coefficient double")
+    rows = labeled(spark, d, "15m")
+    return T.importance(T.calibrated(rows), rows)
 
 
 @query
 def run_index(spark, d):
     from barflow.operators.training import run_pairs
 
-    return run_pairs(spark, labeled(spark, d, "15m", "1H"), B.timeframes(spark))
+    return run_pairs(labeled(spark, d, "15m", "1H"), B.timeframes(spark))
 
 
 @query
 def model_cards(spark, d):
-    from barflow.operators.training import benchmark_pairs
+    from barflow.operators import training as T
+    from barflow.operators import trees
 
-    rows = labeled(spark, d, "15m")
-    s = B.settled(E.with_folds(rows).withColumn("proba", E.heuristic()), "scored")
-    active = E.brier_skill(s).select(*KEY, "brier").join(E.roc_auc(s.where("fold > 0")), KEY).withColumn("model", F.lit("heuristic"))
-    return D.model_cards(active, benchmark_pairs(spark, rows, B.timeframes(spark), first_fold=5, inner=1), s)
+    rows = T.trained_pairs(labeled(spark, d, "15m"), B.timeframes(spark))
+    model = T.calibrated(rows)
+    scored = B.settled(T.score(rows, model), "scored")
+    tested, _ = T.out_of_sample(rows)
+    auc = E.roc_auc(B.settled(tested.where("fold > 0"), "tested"))
+    return D.model_cards(model, auc, trees.benchmarks(rows), scored).drop("train_s")
+
+
+@query
+def reading_trained(spark, d):
+    """Readings of the trained pairs by their model and its interval, of the others by the heuristic."""
+    from barflow.operators import training as T
+
+    rows, b = T.trained_pairs(labeled(spark, d, "15m"), B.timeframes(spark)), bars(spark, d, "15m").unionByName(bars(spark, d))
+    tested, _ = T.out_of_sample(rows)
+    q_hat = E.conformal(B.settled(tested.where("fold > 0"), "tested"))
+    news = R.news_overlay(R.recent_headlines(B.headlines(spark, d, ("click", "view", "purchase", "signup", "error"))))
+    r = R.readings(B.settled(b, "bars"), q_hat, news, B.timeframes(spark), T.calibrated(rows))
+    return r.select(*KEY, "asof", "price", "tier_a.*", "tier_b.bias", "sizing.final_pct")
 
 
 def _ticks_stream(spark, d):

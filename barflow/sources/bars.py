@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SERIES = ["symbol", "timeframe"]
+SIZE = "_size"  # column of a series' number of rows, where positions leave it
+SPAN = 4096  # bars of a timeframe that are numbered together
 BAR_SCHEMA = "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double"
 CSV_SCHEMA = "ts timestamp, open double, high double, low double, close double, volume double"
 #: The Spark interval of each timeframe.
@@ -41,10 +43,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def series_window() -> Window:
-    return Window.partitionBy(*SERIES).orderBy("ts")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -151,8 +149,21 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def with_pos(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("pos", (F.row_number().over(series_window()) - 1).cast("long"))
+def with_pos(rows: DataFrame, size: str | None = None) -> DataFrame:
+    """rows with pos, their place in the series from 0, and with the series' number of rows in column size.
+
+    Rows are numbered inside spans of time that hold SPAN bars of the timeframe; a span starts where the counts of
+    those before it end.  So a long series is numbered by many tasks, and a window over series sees a row a span."""
+    rows = settled(rows, "rows")  # read twice: counted and numbered
+    seconds = F.create_map(*(x for k, v in RULES.items() for x in (F.lit(k), F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {v}")))))
+    width = F.coalesce(F.try_element_at(seconds, F.col("timeframe")), F.lit(86400)) * SPAN
+    cut = rows.withColumn("_span", F.floor(F.unix_seconds("ts") / width))
+    numbered = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*SERIES, "_span").orderBy("ts")))
+    whole = Window.partitionBy(*SERIES)
+    counts = cut.groupBy(*SERIES, "_span").agg(F.count("*").alias("_c"))
+    starts = F.coalesce(F.sum("_c").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.join(counts.select(*SERIES, "_span", starts.alias("_start"), *([F.sum("_c").over(whole).alias(size)] if size else [])), [*SERIES, "_span"])
+    return placed.withColumn("pos", F.col("_start") + F.col("_i") - 1).drop("_span", "_i", "_start")
 
 
 def macro_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 import datetime as dt
+import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barflow.operators import indicators as I
 from barflow.operators import training as T
+from barflow.operators import trees
 from barflow.plans.queries import QUERIES, bars
 from barflow.sources import bars as B
 
@@ -62,7 +66,7 @@ def test_readings_keep_only_the_tails(spark, tmp_path):
 
 def test_models(spark):
     r = QUERIES["train_logreg"](spark, SMALL).collect()
-    assert len(r) == 5 and all(0 < x.brier < 0.3 for x in r)
+    assert len(r) == 5 and all(0 < x.brier < 0.3 and x.optimal for x in r)
     p = QUERIES["platt"](spark, SMALL)
     assert p.where("proba < 0 or proba > 1 or proba is null").count() == 0
     imp = QUERIES["feature_importance"](spark, SMALL).collect()
@@ -72,12 +76,68 @@ def test_models(spark):
         assert own == sorted(own, reverse=True)
 
 
+def series(n, of, names="ab", timeframe="15m"):
+    """n labelled rows (x, y, label) of each name; of(i, name) gives them."""
+    return [(s, timeframe, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), *of(i, s)) for s in names for i in range(n)]
+
+
+LABELED = "symbol string, timeframe string, ts timestamp, x double, y double, label int"
+
+
 def test_a_pairs_model_is_fitted_on_its_own_rows(spark):
-    rows = spark.createDataFrame([(s, "15m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), float(i % 7), int((i % 7 > 3) == (s == "a"))) for s in "ab" for i in range(120)], "symbol string, timeframe string, ts timestamp, x double, label int")
-    scores = T.each_pair(rows, lambda pair, r: (pair["symbol"], dict(T.Calibrated(r, ["x"]).importance())["x"], {(v.x, round(v.proba, 6)) for v in T.Calibrated(r, ["x"]).score(r).select("x", "proba").collect()}))
-    (_, up, first), (_, down, second) = sorted(scores, key=lambda v: v[0])
+    rows = spark.createDataFrame(series(120, lambda i, s: (float(i % 7), 0.0, int((i % 7 > 3) == (s == "a")))), LABELED)
+    model = T.calibrated(rows, ["x"])
+    (up,), (down,) = ([r.coefficient for r in T.importance(model, rows, ["x"]).where(F.col("symbol") == s).collect()] for s in "ab")
     assert up > 0 > down
-    assert all((p > 0.5) == (x > 3) for x, p in first) and all((p > 0.5) == (x <= 3) for x, p in second)
+    got = T.score(rows, model, ["x"]).collect()
+    assert len(got) == 240 and all((r.proba > 0.5) == (r.label == 1) for r in got)
+
+
+def test_probabilities_minimise_the_penalised_loss(spark, tmp_path):
+    """Each fold's model of the rows before it, intercept penalised: no coordinate move is better, and its probabilities follow from it."""
+    rnd = random.Random(4)
+    draw = lambda i, s: (x := rnd.gauss(0, 1), y := rnd.gauss(5, 3), int(rnd.random() < 1 / (1 + math.exp(-(x + 0.1 * y - 0.2)))))  # noqa: E731, F841
+    rows = spark.createDataFrame(series(300, draw), LABELED)
+    scored, model = T.out_of_sample(rows, ["x", "y"])
+    assert model.where("residual > 1e-9").count() == 0
+    parts = {r.symbol: r.parts for r in model.collect()}
+    for s in "ab":
+        data = [(r.fold, r.x, r.y, r.label, r.proba) for r in scored.where(F.col("symbol") == s).orderBy("ts").collect()]
+        assert [d[0] for d in data] == [max(0, (i - 50) // 50 + 1) if i >= 50 else 0 for i in range(300)]
+        for k in range(1, 6):
+            train = [d for d in data if d[0] < k]
+            n, p = len(train), parts[s][k - 1]
+            scale = []
+            for c in (1, 2):
+                m = sum(d[c] for d in train) / n
+                scale.append((m, math.sqrt(sum((d[c] - m) ** 2 for d in train) / n)))
+            w = [p.w[j] * scale[j][1] for j in range(2)]
+            w.append(p.bias + sum(p.w[j] * scale[j][0] for j in range(2)))
+            z = lambda d, w: sum(w[j] * (d[1 + j] - scale[j][0]) / scale[j][1] for j in range(2)) + w[2]  # noqa: B023, E731
+            loss = lambda w: sum(map(abs, w)) + T.C * sum(math.log1p(math.exp(-z(d, w) if d[3] else z(d, w))) for d in train)  # noqa: B023, E731
+            best = loss(w)
+            for j in range(3):
+                for e in (1e-3, -1e-3):
+                    assert loss([v + e * (i == j) for i, v in enumerate(w)]) > best - 1e-10
+            for d in data:
+                if d[0] == k:
+                    assert abs(d[4] - 1 / (1 + math.exp(-z(d, w)))) < 1e-9
+    T.save(model, str(tmp_path / "model"))
+    assert sorted(map(str, T.load(spark, str(tmp_path / "model")).collect())) == sorted(map(str, model.collect()))
+
+
+def test_calibration_minimises_the_smoothed_loss(spark):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame(series(240, lambda i, s: (x := rnd.gauss(0, 1), 0.0, int(rnd.random() < 1 / (1 + math.exp(-2 * x)))), "a"), LABELED)
+    (parts,) = [r.parts for r in T.calibrated(rows, ["x"]).collect()]
+    data = [(r.x, r.label) for r in rows.orderBy("ts").collect()]
+    for k, p in enumerate(parts):
+        test = data[40 * (k + 1) : 40 * (k + 2)]
+        ones = sum(y for _, y in test)
+        hi, lo = (ones + 1) / (ones + 2), 1 / (len(test) - ones + 2)
+        loss = lambda a, b: sum(math.log1p(math.exp(z)) - (hi if y else lo) * z for x, y in test for z in [a * (p.bias + p.w[0] * x) + b])  # noqa: B023, E731
+        best = loss(p.slope, p.shift)
+        assert all(loss(p.slope + e, p.shift + f) > best - 1e-10 for e, f in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)))
 
 
 def test_run_index_has_every_pair(spark):
@@ -86,25 +146,90 @@ def test_run_index_has_every_pair(spark):
     assert all(r.status == ("skipped" if t == "1H" else "ok") and r.rows > 0 for (_, t), r in got.items())  # 1H has some 600 rows of 1500
 
 
-def test_benchmarks_run_every_fold(spark):
-    rows = spark.createDataFrame([("a", "1m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(i % 11), float(i % 5), int(i % 11 > 5)) for i in range(400)], "symbol string, timeframe string, ts timestamp, x double, y double, label int")
-    brier, auc, seconds = T.each_pair(rows, lambda pair, r: T.benchmark(r, "naive_bayes", ["x", "y"]))[0]
-    assert 0 <= brier < 0.15 and auc > 0.9 and seconds > 0
-
-
-def test_benchmarks_are_fitted_per_series(spark, monkeypatch):
-    asked = []
-
-    def fast(rows, name, columns=T.TECHNICAL, first_fold=1, inner=3, rounds=50):
-        series = [tuple(r) for r in rows.select("symbol", "timeframe").distinct().collect()]
-        asked.append((*series, name, rounds))
-        return 0.01 * len(asked), 0.5, 1.0
-
-    monkeypatch.setattr(T, "benchmark", fast)
-    cards = QUERIES["model_cards"](spark, SMALL).collect()
-    series = {(r.symbol, "15m") for r in bars(spark, SMALL).select("symbol").distinct().collect()}
-    every = {(s, name, 50) for s in series for name in T.BENCHMARKS}
-    assert len(series) == 5 and set(asked) == every and len(asked) == 20
-    assert {((r.symbol, r.timeframe), r.model) for r in cards} == {(s, m) for s in series for m in (*T.BENCHMARKS, "heuristic")}
-    asked.clear()
-    assert len(QUERIES["benchmarks"](spark, SMALL).collect()) == 20 and set(asked) == every
+def test_run_index_without_a_trained_pair(spark):
+    few = spark.createDataFrame(series(30, lambda i, s: (0.0, 0.0, i % 2)), LABELED).selectExpr("symbol", "timeframe", "ts", "label", *(f"cast(x as double) as {c}" for c in T.TECHNICAL))
+    assert {(r.symbol, r.status) for r in T.run_pairs(few, B.timeframes(spark)).collect()} == {("a", "skipped"), ("b", "skipped")}
+
+
+def test_inner_fits_are_the_published_splits():
+    fits = trees.inner_fits([("a", "15m", 100)], 5, 3)
+    assert len(fits) == 15 and [f["slot"] for f in fits] == list(range(15))
+    # outer folds of 16 rows test from 20 on; inner ones are a quarter of the rows before
+    assert [(f["fold"], f["a"], f["b"]) for f in fits[:4]] == [(1, 5, 10), (1, 10, 15), (1, 15, 20), (2, 9, 18)]
+    assert all(f["b"] <= 20 + 16 * (f["fold"] - 1) for f in fits)
+
+
+def grown_alone(codes, label, w, depth, columns):
+    """One tree by looking at every split of every node: rows -> value."""
+    total, ones = sum(w), sum(a * b for a, b in zip(w, label))
+    mixed = lambda n, y: 2 * y * (n - y) / n
+    best = (1e-10, None)
+    for c in columns if depth else ():
+        for cut in range(trees.BINS - 1):
+            left = [i for i in range(len(w)) if codes[i][c] <= cut]
+            n, y = sum(w[i] for i in left), sum(w[i] * label[i] for i in left)
+            if 0 < n < total and (gain := mixed(total, ones) - mixed(n, y) - mixed(total - n, ones - y)) > best[0] + 1e-9:
+                best = (gain, (c, cut))
+    if not best[1]:
+        return lambda row: ones / total
+    c, cut = best[1]
+    sides = [[i for i in range(len(w)) if (codes[i][c] <= cut) == side and w[i]] for side in (True, False)]
+    yes, no = (grown_alone([codes[i] for i in s], [label[i] for i in s], [w[i] for i in s], depth - 1, columns) for s in sides)
+    return lambda row: (yes if row[c] <= cut else no)(row)
+
+
+def test_trees_grow_as_one_by_one(spark, monkeypatch):
+    """A forest whose nodes may split on all columns, against trees grown node by node on the same samples; pairs, fits and parts apart."""
+    rnd = random.Random(6)
+    rows = spark.createDataFrame(series(90, lambda i, s: (x := rnd.gauss(0, 1), y := rnd.gauss(0, 1), int(x * y + rnd.gauss(0, 0.3) > 0))), LABELED).repartition(5)  # noqa: F841
+    monkeypatch.setattr(trees, "_drawn", lambda q, t, nodes, width: np.tile(np.arange(width), (nodes, 1)))
+    table, pairs = T.training_rows(rows, ["x", "y"])
+    table = trees.binned(table, pairs, 2)
+    fits = trees.inner_fits(pairs, 5, 3)
+    done = trees.fitted(table, fits, "random_forest", 2, {"trees": 3, "depth": 3})
+    data = {p: sorted((r.pos, r.label, list(r.codes)) for r in table.where(F.col("pair") == p).collect()) for p in (0, 1)}
+    for q in (0, 7, 14, 15, 29):
+        mine = [d for d in data[fits[q]["pair"]] if d[0] < fits[q]["a"]]
+        every = np.array([d[2] for d in data[fits[q]["pair"]]], np.uint8)
+        for t in range(3):
+            w = trees._bootstrap(np.array([d[0] for d in mine]), q, t).astype(float)
+            drawn = [(d, v) for d, v in zip(mine, w) if v]
+            alone = grown_alone([d[2] for d, _ in drawn], [d[1] for d, _ in drawn], [v for _, v in drawn], 3, (0, 1))
+            assert np.allclose(done.trees.scores(q, t, every), [alone(c) for c in every], atol=1e-6)
+
+
+def test_boosting_with_settled_margins_is_the_same(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = spark.createDataFrame(series(90, lambda i, s: (x := rnd.gauss(0, 1), y := rnd.gauss(0, 1), int(x + y * y + rnd.gauss(0, 0.3) > 1))), LABELED)  # noqa: F841
+    table, pairs = T.training_rows(rows, ["x", "y"])
+    table, fits = trees.binned(table, pairs, 2), trees.inner_fits(pairs, 5, 3)
+    codes = np.array([list(r.codes) for r in table.collect()], np.uint8)
+    for kind, size in (("gradient_boost", {"rounds": 5, "depth": 2}), ("ada_boost", {"rounds": 6})):
+        got = []
+        for every in (100, 2):
+            monkeypatch.setattr(trees, "SETTLED", every)
+            done = trees.fitted(table, fits, kind, 2, size)
+            got.append([done.scores(q, codes, None) for q in range(len(fits))])
+        assert np.allclose(got[0], got[1], atol=1e-9) and np.std(got[0]) > 0.01
+
+
+def test_isotonic_and_benchmarks(spark):
+    x, p = trees._isotonic([(0, 2, 0), (10, 2, 2), (20, 2, 0), (30, 1, 1)])
+    assert x == [0, 0.001, 0.002, 0.003] and p == [0, 0.5, 0.5, 1]
+    rows = spark.createDataFrame(series(400, lambda i, s: (float(i % 11), float(i % 5), int((i % 11 > 5) == (s == "a")))), LABELED)
+    got = {(r.symbol, r.model): r for r in trees.benchmarks(rows, ["x", "y"], rounds={"random_forest": {"trees": 8}, "gradient_boost": {"rounds": 5}, "ada_boost": {"rounds": 3}}).collect()}
+    assert set(got) == {(s, m) for s in "ab" for m in trees.BENCHMARKS}
+    assert all(r.brier < 0.15 and r.auc > 0.9 and r.train_s > 0 and abs(r.confidence + r.brier - 1) < 1e-9 for r in got.values())
+
+
+def test_cards_and_readings_come_from_the_trained_model(spark, monkeypatch):
+    monkeypatch.setattr(trees, "benchmarks", lambda rows: rows.select(*B.SERIES).distinct().selectExpr("*", "'naive_bayes' as model", "0.2 as brier", "0.6 as auc", "0.8 as confidence", "1.0D as train_s"))
+    cards = {(r.symbol, r.model): r for r in QUERIES["model_cards"](spark, SMALL).collect()}
+    assert len(cards) == 10 and {m for _, m in cards} == {"LogReg-L1", "naive_bayes"}
+    assert all(len(r.spark) == (30 if r.active else 20) and r.accuracy >= 0 for r in cards.values())
+    assert all(0.1 < r.brier < 0.25 and 0.6 < r.auc < 1 for r in cards.values() if r.active)
+    got = QUERIES["reading_trained"](spark, SMALL).collect()
+    assert {(r.timeframe, r.is_probability) for r in got} == {("15m", True), ("1H", False)} and len(got) == 10
+    for r in got:
+        assert (r.probability_lo < r.probability < r.probability_hi or r.probability in (0, 1)) if r.is_probability else r.probability_lo == r.probability == r.probability_hi
+        assert r.ev_positive == (r.probability_lo > 1 / 3)
