@@ -6,7 +6,7 @@ and rounded up to their group's longest; the few sizes that are left get fractio
 configurations by column generation; whole multiples of them are filled with actual lengths, each
 place with the longest that it holds; what is left over and the small lengths then go best-fit,
 longest first, into the room of the configurations too.  The plan says which ranks of each length go
-to which sequences, and Spark ranks the pieces within their length.
+to which sequences, and Spark ranks the pieces within their length.  Other columns of the documents are never read.
 
 Nulls: a null text is empty, so it has the end id alone; a null doc_id stays null.  A very long text
 is encoded whole and cut into pieces.  Repeated rows are packed each, pieces of equal length in the
@@ -24,19 +24,17 @@ from barflow.llm.common import crc, each_batch, parts_for, texts, written
 from barflow.llm.pretoken import encoder
 
 CAPACITY = 2048
-GROUPS = 192  # sizes that large lengths are rounded up to
+GROUPS = 96  # sizes that large lengths are rounded up to
 LARGE = 4  # lengths over capacity / LARGE are large
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_BITS = 44
+STEPS = 16  # of room, from which on configurations are tried without
 
 
 def packed_pieces(docs: DataFrame, path: str = "", kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents' ids and the end id, cut where over capacity.
 
-    A longer document has a first piece of what is over whole multiples, then full pieces.  A
-    frame that has these columns already stays as it is."""
-    if set(docs.columns) >= {"piece", "start", "length", "ids_crc32"}:
-        return docs.select("doc_id", "piece", "start", "length", "ids_crc32")
+    A longer document has a first piece of what is over whole multiples, then full pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,28 +132,8 @@ def _substituted(left: np.ndarray, places: list[int], times: int, capacity: int,
     return done
 
 
-def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Classes of equal sequences: (how many, [(length, copies), ...]) for counts[length] pieces.
-
-    The classes are bounded by lengths, groups and configurations, not by the pieces."""
-    left = np.array(counts, np.int64).copy()
-    done: list[tuple[int, list]] = []
-    if left[capacity]:
-        done.append((int(left[capacity]), [(capacity, 1)]))
-        left[capacity] = 0
-    by_room: list[list] = [[] for _ in range(capacity + 1)]  # [how many, room, items]
-    least = capacity // LARGE + 1
-    lengths = [n for n in range(capacity - 1, least - 1, -1) if left[n]]
-    if lengths:
-        sizes, demand = rounded_sizes(left, lengths, groups)
-        chosen = []
-        for config, times in configurations(sizes, demand, capacity):
-            places = [sizes[j] for j in np.flatnonzero(config) for _ in range(int(config[j]))]
-            if times >= 1 - 1e-6:
-                chosen.append((places, int(times + 1e-6)))
-        for places, times in sorted(chosen, reverse=True):  # long places first: they have fewest lengths to choose from
-            for b in _substituted(left, places, times, capacity, least):
-                by_room[b[1]].append(b)
+def _best_fit(left: np.ndarray, by_room: list[list], capacity: int) -> list[list]:
+    """All sequences, once what is left is put, longest first, where the room is least; by_room is used up."""
     for n in range(capacity - 1, 0, -1):
         c = int(left[n])
         room = n
@@ -176,7 +154,45 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = G
             by_room[capacity - n * per].append([c // per, capacity - n * per, [(n, per)]])
         if c % per:
             by_room[capacity - n * (c % per)].append([1, capacity - n * (c % per), [(n, c % per)]])
-    return done + [(many, items) for row in by_room for many, _, items in row]
+    return [b for row in by_room for b in row]
+
+
+def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Classes of equal sequences: (how many, [(length, copies), ...]) for counts[length] pieces.
+
+    The classes are bounded by lengths, groups and configurations, not by the pieces.  Configurations that their
+    lengths fill worst are dissolved as long as that saves sequences, at the end all of them: never more than best fit."""
+    left = np.array(counts, np.int64).copy()
+    full: list[tuple[int, list]] = []
+    if left[capacity]:
+        full.append((int(left[capacity]), [(capacity, 1)]))
+        left[capacity] = 0
+    filled: list[list] = []  # [how many, room, items]
+    least = capacity // LARGE + 1
+    lengths = [n for n in range(capacity - 1, least - 1, -1) if left[n]]
+    if lengths:
+        sizes, demand = rounded_sizes(left, lengths, groups)
+        chosen = []
+        for config, times in configurations(sizes, demand, capacity):
+            places = [sizes[j] for j in np.flatnonzero(config) for _ in range(int(config[j]))]
+            if times >= 1 - 1e-6:
+                chosen.append((places, int(times + 1e-6)))
+        for places, times in sorted(chosen, reverse=True):  # long places first: they have fewest lengths to choose from
+            filled += _substituted(left, places, times, capacity, least)
+    rooms = sorted({room for _, room, _ in filled}, reverse=True)
+    best: list[list] | None = None
+    for most in [capacity, *(rooms[i] for i in np.unique(np.linspace(0, len(rooms) - 1, STEPS).astype(int)) if rooms), -1]:
+        loose, by_room = left.copy(), [[] for _ in range(capacity + 1)]
+        for many, room, items in filled:
+            if room <= most:
+                by_room[room].append([many, room, items])
+            else:
+                for n, copies in items:
+                    loose[n] += many * copies
+        plan = _best_fit(loose, by_room, capacity)
+        if best is None or sum(b[0] for b in plan) < sum(b[0] for b in best):
+            best = plan
+    return full + [(many, items) for many, _, items in best or []]
 
 
 def places(classes: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
@@ -197,11 +213,16 @@ def places(classes: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nda
 
 
 def pack_documents(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece."""
-    chunks = parts_for(docs, 12 << 20)
-    base = docs if "piece" in docs.columns else texts(docs, id_col, text_col)
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
+
+    Only the id and the text of docs are read: other columns, whatever their names, change nothing."""
+    return pack_pieces(packed_pieces(texts(docs, id_col, text_col), path, kind, end_id, capacity), capacity, parts_for(docs, 12 << 20))
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, chunks: int = 12) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, ids_crc32) with their sequence_id and offset."""
     dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int")
-    pieces = written(packed_pieces(base, path, kind, end_id, capacity).withColumn("chunk", dealt), "pieces")
+    pieces = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("chunk", dealt), "pieces")
     cells = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
