@@ -58,7 +58,7 @@ def search_brute(rows, every, k):
     sound = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in {(i, tuple(v)) for i, v in sound if i % every == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))
+        scored = sorted((-max(-(1 << 63) + 1, min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in sound if j != i and len(v) == len(q))
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -77,3 +77,51 @@ def test_search(spark, monkeypatch):
         assert got == search_brute(rows, 10, 10)
     assert top_k(df.limit(0), F.lit(True)).count() == 0
     assert top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+
+
+def searched(spark, rows, every=10):
+    return sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % every == 0).collect())
+
+
+def test_repeated_query_ids_have_a_list_each(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    rows += [(0, [float(x) for x in rng.normal(size=6)]), (10, rows[10][1]), (3, rows[4][1])]
+    got = searched(spark, rows)
+    assert got == search_brute(rows, 10, 10)
+    assert sum(r[0] == 0 for r in got) == 20 and sum(r[0] == 10 for r in got) == 10
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e6, 1e9):  # beyond 2**53, beyond 64 bits
+        rows = [(i, [float(x) for x in size * rng.normal(size=5)]) for i in range(60)]
+        assert searched(spark, rows) == search_brute(rows, 10, 10)
+
+
+def test_shards_and_leaves_are_left_out(spark, monkeypatch):
+    """On clustered vectors a query goes to few blocks, and in a tree scores under half of the rows."""
+    from barflow.llm import vector_search as search
+
+    rng = np.random.default_rng(4)
+    centres = 4 * rng.normal(size=(24, 12))
+    x = np.floor(search.SCALE * (centres[np.arange(6000) % 24] + 0.3 * rng.normal(size=(6000, 12))))
+    seen = []
+    search.tree_search(search.BallTree(x), np.arange(6000), x[:100], np.arange(100), np.full(100, search.LOWEST), 10, seen)
+    assert sum(seen) < 0.5 * 100 * 6000
+    monkeypatch.setattr(search, "SHARD_BYTES", 12 * 8 * 250)
+    rows = [(i, [float(v) / search.SCALE for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("_asks", F.lit(False))
+    held, known, _, _ = search.dealt_shards(search.vectors(df))
+    sizes = [r["count"] for r in held.groupBy("shard").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000 and len(sizes) >= 12
+    blocks = [len(known[12].reached(q, float(np.sort(x @ q)[-11]))) for q in x[:100]]
+    assert np.mean(blocks) < 0.5 * sum(known[12].blocks)
+
+
+def test_a_shard_of_equal_vectors_goes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("barflow.llm.vector_search.SHARD_BYTES", 8 * 6 * 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    rows += [(1001 + i, rows[0][1]) for i in range(300)]
+    assert searched(spark, rows) == search_brute(rows, 10, 10)
