@@ -86,10 +86,15 @@ def last_equity(scored: DataFrame, n: int = 30) -> DataFrame:
 
 
 def kpis(scored: DataFrame, live: DataFrame | None = None) -> DataFrame:
-    """The ten headline numbers, one row for each: (id, value, text, change, up).  live (proba) overrides the last probability."""
+    """The ten headline numbers, one row for each: (id, value, text, change, up, sparkline).
+
+    live (proba) overrides the value of the two that show the last probability."""
     df = metrics(scored).join(last_equity(scored), SERIES)
+    shown = F.col("last_proba")
     if live is not None:
-        df = df.join(live.select(*SERIES, F.col("proba").alias("_live")), SERIES, "left").withColumn("last_proba", F.coalesce("_live", "last_proba"))
+        df = df.join(live.select(*SERIES, F.round("proba", 4).alias("_live")), SERIES, "left")
+        shown = F.coalesce("_live", "last_proba")
+    score = F.round(shown * 100, 1)
     p, today, win = F.col("last_proba"), F.round("today_r", 2), F.col("win_rate")
     up, edge, ev, none = p >= 0.5, F.round((p - 0.5) * 100, 1), F.round(win * 2 - (1 - win), 3), F.lit(None).cast("string")
     zero = F.lit(0.0)
@@ -97,15 +102,17 @@ def kpis(scored: DataFrame, live: DataFrame | None = None) -> DataFrame:
         ("total_profit", F.col("total_profit_r"), none, today, F.col("today_r") >= 0),
         ("win_rate", F.round(win * 100, 2), none, zero, F.lit(None).cast("boolean")),
         ("current_position", F.lit(None).cast("double"), F.when(up, "LONG").otherwise("SHORT"), zero, up),
-        ("ai_confidence", F.round(p * 100, 1), none, edge, up),
+        ("ai_confidence", score, none, edge, up),
         ("prediction", F.lit(None).cast("double"), F.when(up, "BULLISH").otherwise("BEARISH"), zero, up),
         ("today_profit", today, none, zero, F.col("today_r") >= 0),
         ("sharpe", F.col("sharpe"), none, zero, F.col("sharpe") > 0),
         ("max_dd", F.col("max_drawdown_r"), none, zero, F.lit(False)),
         ("expected_value", ev, none, zero, ev > 0),
-        ("probability_score", F.round(p * 100, 1), none, edge, up),
+        ("probability_score", score, none, edge, up),
     ]
-    rows = F.array(*(F.struct(F.lit(i).alias("id"), v.cast("double").alias("value"), t.alias("text"), c.alias("change"), u.alias("up")) for i, v, t, c, u in cards))
+    none_shown, week = F.array().cast("array<double>"), F.slice("spark", F.greatest(F.size("spark") - 6, F.lit(1)), 7)
+    lines = {i: F.col("spark") for i in ("total_profit", "win_rate", "ai_confidence", "probability_score")} | {"today_profit": week}
+    rows = F.array(*(F.struct(F.lit(i).alias("id"), v.cast("double").alias("value"), t.alias("text"), c.alias("change"), u.alias("up"), lines.get(i, none_shown).alias("sparkline")) for i, v, t, c, u in cards))
     return df.select(*SERIES, F.explode(rows).alias("k")).select(*SERIES, "k.*")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +87,51 @@ def recent_headlines(headlines: DataFrame, hours: int = 72, most: int = 20, keyw
     return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
 
 
+#: A term of a news query: a quoted phrase, or a word that is not OR.
+_TERM = re.compile(r'"([^"]+)"|(\S+)')
+
+
+def query_terms(news_query: str | None) -> list[str]:
+    """The lower-case terms of a query that joins words and quoted phrases by OR."""
+    found = (phrase or word for phrase, word in _TERM.findall(news_query or ""))
+    return list(dict.fromkeys(t.lower() for t in found if t != "OR"))
+
+
+def matched_headlines(headlines: DataFrame, catalog: DataFrame) -> DataFrame:
+    """headlines once for each symbol of the catalog (id, news_query) whose query has a term in the title, as symbol.
+
+    Terms are whole words or phrases in any case.  One automaton of all symbols' terms reads each title once; the
+    catalog is a table of few rows, read by the driver.  A null title matches nothing."""
+    import ahocorasick
+
+    owners: dict[str, list[str]] = {}
+    for symbol, query in catalog.select("id", "news_query").collect():
+        for term in query_terms(query):
+            owners.setdefault(term, []).append(symbol)
+    terms = headlines.sparkSession.sparkContext.broadcast(owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for term in terms.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for b in batches:
+            row, symbol = [], []
+            for i, title in enumerate(b.column("title").to_pylist()):
+                text, own = (title or "").lower(), set()
+                for end, term in automaton.iter(text) if len(automaton) else ():
+                    start = end - len(term) + 1
+                    if not text[start - 1 : start].isalnum() and not text[end + 1 : end + 2].isalnum():
+                        own.update(terms.value[term])
+                row += [i] * len(own)
+                symbol += sorted(own)
+            out = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.string()) if n == "symbol" else out.column(n) for n in b.schema.names], b.schema.names)
+
+    rows = headlines.withColumn("symbol", F.lit(None).cast("string"))
+    return rows.mapInArrow(run, rows.schema)
+
+
 def parsed_score(text):
     """The first number in a text, held to [-1, 1]; 0 without one."""
     found = F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0)

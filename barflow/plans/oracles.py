@@ -284,6 +284,15 @@ HEADS = """heads AS (
 KEYS = "symbol, timeframe"
 
 
+#: Patterns of the registered news queries' terms, each a whole word or phrase.
+_TERMS = {"XAUUSD": "gold|xauusd|gold price", "BTCUSD": "bitcoin|btc", "ETHUSD": "ethereum|eth", "NAS100": "nasdaq", "SPX500": "s&p 500|spx", "click": "the|of the", "view": "der|die der|und", "purchase": "les|de la", "signup": "que|nothing", "error": "the the|con|the"}
+_MATCHED = (
+    "matched AS (SELECT t.symbol, doc_id, title, published_at, score FROM heads JOIN (VALUES "
+    + ", ".join(f"('{s}', '(^|[^\\pL\\pN])({p})([^\\pL\\pN]|$)')" for s, p in _TERMS.items())
+    + ") AS t(symbol, pattern) ON regexp_matches(lower(title), t.pattern))"
+)
+
+
 def _with(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -545,6 +554,47 @@ FROM pred_p p JOIN tier_t t ON t.symbol = p.symbol AND t.timeframe = p.timeframe
             ]
         ),
     ),
+    "kpis_live": _with(
+        LABELED,
+        EQUITY,
+        METRICS,
+        _TODAY,
+        _renamed(_M200 + ",\n" + _PRED, "_p"),
+        select=" UNION ALL ".join(
+            f"SELECT {KEYS}, '{i}' AS id, CAST({v} AS DOUBLE) AS value, CAST({t} AS VARCHAR) AS text, CAST({c} AS DOUBLE) AS change, CAST({u} AS BOOLEAN) AS up FROM m JOIN td USING (symbol, timeframe) LEFT JOIN (SELECT symbol, timeframe, proba AS lp FROM pred_p) USING (symbol, timeframe)"
+            for i, v, t, c, u in [
+                ("total_profit", "total_profit_r", "NULL", "round(today_r, 2)", "today_r >= 0"),
+                ("win_rate", "round(win_rate * 100, 2)", "NULL", "0", "NULL"),
+                ("current_position", "NULL", "CASE WHEN last_proba >= 0.5 THEN 'LONG' ELSE 'SHORT' END", "0", "last_proba >= 0.5"),
+                ("ai_confidence", "round(round(lp, 4) * 100, 1)", "NULL", "round((last_proba - 0.5) * 100, 1)", "last_proba >= 0.5"),
+                ("prediction", "NULL", "CASE WHEN last_proba >= 0.5 THEN 'BULLISH' ELSE 'BEARISH' END", "0", "last_proba >= 0.5"),
+                ("today_profit", "round(today_r, 2)", "NULL", "0", "today_r >= 0"),
+                ("sharpe", "sharpe", "NULL", "0", "sharpe > 0"),
+                ("max_dd", "max_drawdown_r", "NULL", "0", "false"),
+                ("expected_value", "round(win_rate * 2 - (1 - win_rate), 3)", "NULL", "0", "round(win_rate * 2 - (1 - win_rate), 3) > 0"),
+                ("probability_score", "round(round(lp, 4) * 100, 1)", "NULL", "round((last_proba - 0.5) * 100, 1)", "last_proba >= 0.5"),
+            ]
+        ),
+    ),
+    "kpi_sparklines": _with(
+        LABELED,
+        EQUITY,
+        "sl AS (SELECT symbol, timeframe, equity_r, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS rn, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM eq)",
+        select=f"SELECT {KEYS}, id, CAST(least(n, size) - rn AS INTEGER) AS i, equity_r FROM sl JOIN (VALUES ('total_profit', 30), ('win_rate', 30), ('ai_confidence', 30), ('probability_score', 30), ('today_profit', 7)) AS v(id, size) ON rn <= size",
+    ),
+    "market_sparklines": _with(
+        BARS,
+        "sl AS (SELECT symbol, timeframe, close, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS rn, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM bars)",
+        select=f"SELECT {KEYS}, CAST(least(n, 30) - rn AS INTEGER) AS i, round(close, 2) AS close FROM sl WHERE rn <= 30",
+    ),
+    "headlines_matched": _with(HEADS, _MATCHED, select="SELECT symbol, doc_id, title, published_at, score FROM matched"),
+    "news_overlay_matched": _with(
+        HEADS,
+        _MATCHED,
+        "hit AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY published_at DESC, doc_id) AS n FROM matched WHERE published_at >= (SELECT max(published_at) FROM matched) - INTERVAL 72 HOUR QUALIFY n <= 20)",
+        "g AS (SELECT symbol, coalesce(avg(score), 0) AS s, count(*) AS news_count FROM hit GROUP BY symbol)",
+        select=f"SELECT symbol, round(s, 4) AS news_score, news_count, {_TAG} AS tag FROM g",
+    ),
     "probability_hist": _with(LABELED, "h AS (SELECT symbol, timeframe, CAST(greatest(least(floor(proba * 20), 19), 0) AS INTEGER) AS bin, count(*) AS c FROM sc GROUP BY ALL)", "g AS (SELECT k.symbol, k.timeframe, r.bin, coalesce(h.c, 0) AS n FROM (SELECT DISTINCT symbol, timeframe FROM h) k CROSS JOIN (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) r LEFT JOIN h USING (symbol, timeframe, bin))", select=f"SELECT {KEYS}, bin, n, round(sum(n) OVER (PARTITION BY symbol, timeframe ORDER BY bin) / sum(n) OVER (PARTITION BY symbol, timeframe) * 100, 6) AS cumulative_pct FROM g"),
     "probability_stats": _with(LABELED, select=f"SELECT {KEYS}, " + ", ".join(f"round(quantile_cont(proba, {q}), 3) AS p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", round(arg_max(proba, ts), 4) AS current, round(avg(proba), 4) AS mean, round(stddev_pop(proba), 4) AS std FROM sc GROUP BY ALL"),
     "trades_recent": _with(LABELED, EQUITY, "t AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS INTEGER) AS rn FROM eq WHERE taken = 1)", select=f"SELECT {KEYS}, rn AS n, ts, round(close, 2) AS entry, round(close * (1 + pnl_r * atr_pct / 100 / 2), 2) AS exit, pnl_r AS pnl, CASE WHEN label = 1 THEN 'TP' ELSE 'SL' END AS status, label_bars, round(proba, 3) AS confidence FROM t WHERE rn <= 50"),

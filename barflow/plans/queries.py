@@ -135,7 +135,7 @@ def catalog_defaulting(spark, d):
 @query
 def pairs_available(spark, d):
     e = B.table(spark, d, "events")
-    trained = e.select(F.element_at(F.array(*(F.lit(s) for s, _ in B.SYMBOLS)), (F.col("user_id") % 5 + 1).cast("int")).alias("symbol"), F.element_at(F.array(*(F.lit(t) for t, _, _ in B.TIMEFRAMES)), (F.col("user_id") % 4 + 1).cast("int")).alias("timeframe")).distinct()
+    trained = e.select(F.element_at(F.array(*(F.lit(s) for s, *_ in B.SYMBOLS)), (F.col("user_id") % 5 + 1).cast("int")).alias("symbol"), F.element_at(F.array(*(F.lit(t) for t, _, _ in B.TIMEFRAMES)), (F.col("user_id") % 4 + 1).cast("int")).alias("timeframe")).distinct()
     return B.available_pairs(B.symbols(spark), B.timeframes(spark), trained)
 
 
@@ -511,7 +511,18 @@ def backtest_metrics(spark, d):
 
 @query
 def kpis(spark, d):
-    return D.kpis(scored(spark, d))
+    return D.kpis(scored(spark, d)).drop("sparkline")
+
+
+@query
+def kpis_live(spark, d):
+    """Headline numbers with the last bar's reading, which labelled rows don't have yet."""
+    return D.kpis(scored(spark, d), R.predictions(bars(spark, d))).drop("sparkline")
+
+
+@query
+def kpi_sparklines(spark, d):
+    return D.kpis(scored(spark, d)).select(*KEY, "id", F.posexplode("sparkline").alias("i", "equity_r"))
 
 
 @query
@@ -592,6 +603,25 @@ def headlines_recent(spark, d):
     return R.recent_headlines(B.headlines(spark, d)).select("symbol", "doc_id", "title", "published_at", "score", "n")
 
 
+#: News queries of the ticks' series, in words that the given titles have.
+NEWS_QUERIES = [("click", 'the OR "of the"'), ("view", 'der OR "die der" OR und'), ("purchase", 'les OR "de la"'), ("signup", "que OR nothing"), ("error", '"the the" OR con OR the')]
+
+
+def news_catalog(spark):
+    return B.symbols(spark).select("id", "news_query").unionByName(spark.createDataFrame(NEWS_QUERIES, "id string, news_query string"))
+
+
+@query
+def headlines_matched(spark, d):
+    found = R.matched_headlines(B.headlines(spark, d), news_catalog(spark))
+    return found.select("symbol", "doc_id", "title", "published_at", "score")
+
+
+@query
+def news_overlay_matched(spark, d):
+    return R.news_overlay(R.recent_headlines(R.matched_headlines(B.headlines(spark, d), news_catalog(spark))))
+
+
 @query
 def sentiment_parse(spark, d):
     return B.table(spark, d, "documents").select("doc_id", R.parsed_score(F.col("text")).alias("score"))
@@ -608,6 +638,11 @@ def market_overview(spark, d):
     return m.select(*KEY, "price", "change", F.size("spark").alias("n"), "volume", "signal")
 
 
+@query
+def market_sparklines(spark, d):
+    return R.market(posed(spark, d)).select(*KEY, F.posexplode("spark").alias("i", "close"))
+
+
 @query
 def stale_series(spark, d):
     from barflow.streaming.live import stale

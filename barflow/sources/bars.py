@@ -20,8 +20,14 @@ RULES = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1H": "1 hour
 TIMEFRAMES = [("1m", 300, 10), ("5m", 1000, 10), ("15m", 1000, 10), ("1H", 1500, 10), ("4H", 800, 10), ("1D", 400, 10), ("1W", 200, 5)]
 #: The default symbol and timeframe for unknown ones.
 DEFAULT_SYMBOL, DEFAULT_TIMEFRAME = "XAUUSD", "1D"
-#: The catalog's symbols and whether macro series belong to them.
-SYMBOLS = [("XAUUSD", True), ("BTCUSD", False), ("ETHUSD", False), ("SPX500", False), ("NAS100", False)]
+#: The catalog's symbols with their names, sources in order, macro series and their sources, and news queries.
+SYMBOLS = [
+    ("XAUUSD", "Gold", ["GC=F", "XAUUSD=X"], True, {"dxy": ["DX-Y.NYB", "UUP"], "vix": ["^VIX"], "tnx": ["^TNX"]}, 'gold OR XAUUSD OR "gold price"'),
+    ("BTCUSD", "Bitcoin", ["BTC-USD"], False, None, "bitcoin OR BTC"),
+    ("ETHUSD", "Ethereum", ["ETH-USD"], False, None, "ethereum OR ETH"),
+    ("NAS100", "Nasdaq 100", ["^NDX", "^IXIC"], False, None, "nasdaq"),
+    ("SPX500", "S&P 500", ["^GSPC"], False, None, '"S&P 500" OR SPX'),
+]
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -205,7 +211,14 @@ def first_source(rows: DataFrame, rank: str = "rank") -> DataFrame:
 
 
 def symbols(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SYMBOLS, "id string, has_macro boolean")
+    return spark.createDataFrame(SYMBOLS, "id string, name string, tickers array<string>, has_macro boolean, macro map<string, array<string>>, news_query string")
+
+
+def sources(symbol_ids: DataFrame) -> DataFrame:
+    """(symbol, series, ticker, rank) of a catalog: price and macro sources in the order in which they are tried."""
+    every = F.map_concat(F.create_map(F.lit("price"), "tickers"), F.coalesce("macro", F.create_map().cast("map<string, array<string>>")))
+    named = symbol_ids.select(F.col("id").alias("symbol"), F.explode(every).alias("series", "of"))
+    return named.select("symbol", "series", F.posexplode("of").alias("rank", "ticker")).select("symbol", "series", "ticker", "rank")
 
 
 def timeframes(spark: SparkSession) -> DataFrame:
