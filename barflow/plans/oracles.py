@@ -630,6 +630,7 @@ ORACLES |= {
     "metrics_log": _with(LABELED, _SKILL, select=f"SELECT {KEYS}, {_r('brier', 'skill')} FROM bs"),
     "trade_log_append": ORACLES["trade_log_valid"],
     "vif_report": ORACLES["vif"],
+    "stream_stale": ORACLES["stale_series"],
     "high_corr_pairs_published": ORACLES["high_corr_pairs"].replace("abs(r) > 0.25", "abs(r) > 0.85"),
     "lower_names": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
 }

@@ -737,6 +737,26 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def _bar_stream(spark, rows: DataFrame, files: int = 4) -> DataFrame:
+    """rows as a stream of files in time order, one a trigger."""
+    path = B.folder(spark, "bars")
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    width = (span["b"] - span["a"]).total_seconds() / files + 1 if span["a"] else 1
+    part = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit(span["a"]))) / width)
+    settled = B.settled(rows.withColumn("_part", part), "bars")
+    for k in range(files):
+        settled.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(B.BAR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_stale(spark, d):
+    from barflow.streaming.live import stream_stale as live
+
+    events = _drained(live(_bar_stream(spark, bars(spark, d, "15m"))))
+    return events.groupBy(*KEY).agg(F.max("last_ts").alias("last_ts"), F.max_by("stale", F.struct("last_ts", "stale")).alias("stale"))
+
+
 @query
 def stream_bars(spark, d):
     from barflow.streaming.live import stream_bars as live
@@ -748,9 +768,7 @@ def stream_bars(spark, d):
 def stream_ema(spark, d):
     from barflow.streaming.live import stream_averages
 
-    path = B.folder(spark, "bars")
-    bars(spark, d).write.parquet(path)
-    return _drained(stream_averages(spark.readStream.schema(B.BAR_SCHEMA).parquet(path)))
+    return _drained(stream_averages(_bar_stream(spark, bars(spark, d))))
 
 
 @query
@@ -758,7 +776,5 @@ def stream_reading(spark, d):
     from barflow.streaming.live import stream_readings
 
     path = B.folder(spark, "reading")
-    bars(spark, d).write.parquet(f"{path}/in")
-    source = spark.readStream.schema(B.BAR_SCHEMA).parquet(f"{path}/in")
-    stream_readings(source, f"{path}/history", f"{path}/readings", lambda b: R.predictions(b).select(*AT, "close", "proba"), f"{path}/state").awaitTermination()
+    stream_readings(_bar_stream(spark, bars(spark, d)), f"{path}/readings", lambda b: R.predictions(b).select(*AT, "close", "proba"), f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/readings").select(*AT, "close", "proba")

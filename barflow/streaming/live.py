@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from barflow.sources.bars import BAR_SCHEMA, RULES, SERIES, tail
+from barflow.sources.bars import BAR_SCHEMA, RULES, SERIES
 
 LATE = "2 hours"
 
@@ -56,37 +55,100 @@ class Averages(StatefulProcessor):
         pass
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed(bars: DataFrame, processor: StatefulProcessor, shape: str, time: str = "None") -> DataFrame:
+    """A processor over a stream's series.  Keyed state of this kind needs the RocksDB store: set it, or have it set."""
+    conf = bars.sparkSession.conf
+    if conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKS:
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return bars.groupBy(*SERIES).transformWithStateInPandas(statefulProcessor=processor, outputStructType=shape, outputMode="append", timeMode=time)
+
+
 def stream_averages(bars: DataFrame, span: int = 20) -> DataFrame:
     """Per bar of a stream its position in the series, EMA, RSI and ATR.
 
-    Keyed state of this kind needs the RocksDB store, which is set for the session."""
-    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    shape = "symbol string, timeframe string, ts timestamp, pos long, ema double, rsi double, atr double"
-    return bars.groupBy(*SERIES).transformWithStateInPandas(statefulProcessor=Averages(span), outputStructType=shape, outputMode="append", timeMode="None")
+    A trigger's bars of a series are put in order together: bound triggers (maxFilesPerTrigger) over files in time order."""
+    return _keyed(bars, Averages(span), "symbol string, timeframe string, ts timestamp, pos long, ema double, rsi double, atr double")
+
+
+class Tail(StatefulProcessor):
+    """The last bars of each series as keyed state of bounded size; a trigger gives them for the series that it touches."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bars = handle.getListState("bars", "ts timestamp, open double, high double, low double, close double, volume double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = [pd.DataFrame(list(self.bars.get()), columns=BAR)] if self.bars.exists() else []
+        for part in rows:  # never more than the window and one part
+            kept = [pd.concat([*kept, part[BAR]]).drop_duplicates("ts", keep="last").sort_values("ts").tail(self.window)]
+        out = kept[0]
+        self.bars.put([tuple(r) for r in out.itertuples(index=False)])
+        yield out.assign(symbol=key[0], timeframe=key[1])[["symbol", "timeframe", *BAR]]
+
+    def close(self) -> None:
+        pass
+
+
+BAR = ["ts", "open", "high", "low", "close", "volume"]
+
 
+def stream_tails(bars: DataFrame, window: int = 200) -> DataFrame:
+    """In every trigger the last `window` bars of each series that got bars; of bars with one timestamp the last counts."""
+    return _keyed(bars, Tail(window), BAR_SCHEMA)
 
-def stream_readings(bars: DataFrame, history: str, sink: str, reading: Callable[[DataFrame], DataFrame], checkpoint: str, window: int = 200) -> StreamingQuery:
+
+def stream_readings(bars: DataFrame, sink: str, reading: Callable[[DataFrame], DataFrame], checkpoint: str, window: int = 200) -> StreamingQuery:
     """On every batch of closed bars: rewrites the readings of the batch's series from their last `window` bars.
 
-    history keeps the last bars of all series after each batch, so a batch reads no more than the tails
-    before it, however long the series have become."""
+    Those bars are keyed state, so a batch reads nothing but itself and the state of its series."""
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        if not batch.isEmpty():
+            # a batch that is run again after a failure gives the same readings again
+            reading(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(sink)
+
+    return stream_tails(bars, window).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Silence(StatefulProcessor):
+    """An event-time timer a series: it fires where the newest bar of all is too far from the series' last."""
+
+    def __init__(self, seconds: dict[str, int], intervals: int):
+        self.limit = {k: intervals * v for k, v in seconds.items()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ts timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = max(r["ts"].max() for r in rows)
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is not None and pd.Timestamp(before) >= last:
             return
-        spark, seen = batch.sparkSession, batch
-        try:
-            before = spark.read.schema(f"{BAR_SCHEMA}, batch long").parquet(history).where(F.col("batch") < batch_id)
-            seen = before.where(F.col("batch") == (before.agg(F.max("batch")).first()[0] or 0)).drop("batch").unionByName(batch)
-        except AnalysisException:  # the first batch
-            pass
-        # a batch that is run again after a failure overwrites its own folder
-        tail(seen, window).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
-        kept = spark.read.schema(BAR_SCHEMA).parquet(f"{history}/batch={batch_id}")
-        touched = kept.join(batch.select(*SERIES).distinct(), SERIES, "left_semi")
-        reading(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(sink)
-
-    return bars.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update((last.to_pydatetime(),))
+        if key[1] in self.limit:  # past the limit, not at it
+            self.handle.registerTimer(int(last.timestamp() * 1000) + 1000 * self.limit[key[1]] + 1)
+        yield pd.DataFrame([(*key, last, False)], columns=["symbol", "timeframe", "last_ts", "stale"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(*key, pd.Timestamp(self.last.get()[0]), True)], columns=["symbol", "timeframe", "last_ts", "stale"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stale(bars: DataFrame, intervals: int = 2, late: str = "0 seconds") -> DataFrame:
+    """(symbol, timeframe, last_ts, stale) events: not stale with every newer bar, stale when its timer fires.
+
+    What a series is, is its last event."""
+    seconds = {r.k: r.s for r in bars.sparkSession.createDataFrame([(k, v) for k, v in RULES.items()], "k string, v string").select("k", F.expr("case v " + " ".join(f"when '{v}' then unix_seconds(timestamp_seconds(0) + interval {v})" for v in RULES.values()) + " end").alias("s")).collect()}
+    return _keyed(bars.withWatermark("ts", late), Silence(seconds, intervals), "symbol string, timeframe string, last_ts timestamp, stale boolean", "EventTime")
 
 
 def stale(bars: DataFrame, intervals: int = 2) -> DataFrame:

@@ -55,7 +55,7 @@ def test_readings_keep_only_the_tails(spark, tmp_path):
         part = every.where((F.col("ts") >= F.lit(dt.datetime(2024, 1, 1 + 9 * k))) & (F.col("ts") < F.lit(dt.datetime(2024, 1, 10 + 9 * k))))
         part.where("symbol = 'click'" if k == 1 else "true").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(B.BAR_SCHEMA).parquet(str(tmp_path / "in"))
-        stream_readings(source, str(tmp_path / "history"), str(tmp_path / "readings"), lambda b: b.groupBy(*B.SERIES).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), str(tmp_path / "state"), window=150).awaitTermination()
+        stream_readings(source, str(tmp_path / "readings"), lambda b: b.groupBy(*B.SERIES).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), str(tmp_path / "state"), window=150).awaitTermination()
     got = {r.symbol: r for r in spark.read.parquet(str(tmp_path / "readings")).collect()}
     seen = every.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 28)))
     click, view = seen.where("symbol = 'click'"), seen.where("symbol = 'view'").where((F.dayofmonth("ts") < 10) | (F.dayofmonth("ts") >= 19))
@@ -64,6 +64,37 @@ def test_readings_keep_only_the_tails(spark, tmp_path):
         assert (got[name].n, got[name].first, got[name].last) == tuple(want)
 
 
+def test_silent_series_become_stale_and_come_back(spark, tmp_path):
+    from barflow.streaming.live import stream_stale
+
+    bar = lambda s, m: (s, "1m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), 1.0, 1.0, 1.0, 1.0, 1.0)
+    got, seen = {}, []
+    for k, rows in enumerate([[bar("a", 0), bar("b", 0)], [bar("a", 1), bar("a", 2)], [bar("a", 3)], [bar("b", 4), bar("a", 4)], [bar("a", 9)]]):
+        spark.createDataFrame(rows, B.BAR_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_stale(spark.readStream.schema(B.BAR_SCHEMA).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        last = spark.read.parquet(str(tmp_path / "out")).groupBy("symbol").agg(F.max_by("stale", F.struct("last_ts", "stale")).alias("stale")).collect()
+        got = {r.symbol: r.stale for r in last}
+        seen.append((got["a"], got["b"]))
+    # at minute 2 b is 2 behind: not more than two bars; at 3 it is; at 9 again
+    assert seen == [(False, False), (False, False), (False, True), (False, False), (False, True)]
+
+
+def test_state_of_tails_does_not_grow(spark, tmp_path):
+    from barflow.streaming.live import stream_tails
+
+    sizes = []
+    for k in range(6):
+        rows = [("a", "1m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=60 * k + i), *([float(i)] * 5)) for i in range(60)]
+        spark.createDataFrame(rows, B.BAR_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream_tails(spark.readStream.schema(B.BAR_SCHEMA).parquet(str(tmp_path / "in")), 100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(sum(op["numRowsTotal"] for p in query.recentProgress[-1:] for op in p["stateOperators"]))
+    assert sizes[-1] == sizes[2]
+    out = spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()
+    assert sorted(r["count"] for r in out if r["count"]) == [60, 100, 100, 100, 100, 100]
+
+
 def test_models(spark):
     r = QUERIES["train_logreg"](spark, SMALL).collect()
     assert len(r) == 5 and all(0 < x.brier < 0.3 and x.optimal for x in r)
