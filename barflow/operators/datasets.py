@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.blocks import scanned
+from barflow.functions.ranks import quantiles
 from barflow.sources.bars import SERIES, settled, with_pos
 
 QUANTILE = 0.7
@@ -24,7 +25,7 @@ def bars_per_year() -> Column:
 
 
 def thresholds(scored: DataFrame, q: float = QUANTILE) -> DataFrame:
-    return scored.groupBy(*SERIES).agg(F.percentile("proba", q).alias("threshold"))
+    return quantiles(scored, "proba", [q]).select(*SERIES, F.col("q")[0].alias("threshold"))
 
 
 def with_taken(scored: DataFrame, q: float = QUANTILE) -> DataFrame:
@@ -127,7 +128,8 @@ def histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
 
 def probability_stats(scored: DataFrame) -> DataFrame:
     q = [0.1, 0.25, 0.5, 0.75, 0.9]
-    df = scored.groupBy(*SERIES).agg(F.percentile("proba", q).alias("q"), F.max_by("proba", "ts").alias("current"), F.avg("proba").alias("mean"), F.stddev_pop("proba").alias("std"))
+    df = scored.groupBy(*SERIES).agg(F.max_by("proba", "ts").alias("current"), F.avg("proba").alias("mean"), F.stddev_pop("proba").alias("std"))
+    df = df.join(quantiles(scored, "proba", q), SERIES)
     return df.select(*SERIES, *(F.round(F.col("q")[i], 3).alias(f"p{int(x * 100)}") for i, x in enumerate(q)), *(F.round(c, 4).alias(c) for c in ("current", "mean", "std")))
 
 
@@ -149,7 +151,8 @@ def gauges(scored: DataFrame) -> DataFrame:
 
 def insight_flags(scored: DataFrame, skill: DataFrame, auc: DataFrame) -> DataFrame:
     """What the insight cards say, as flags of each series' last row."""
-    last = scored.groupBy(*SERIES).agg(F.max_by(F.struct("proba", "entropy_20", "atr_pct", "rsi", "smc_bias", "at_zone"), "ts").alias("r"), F.percentile("proba", 0.5).alias("median"))
+    last = scored.groupBy(*SERIES).agg(F.max_by(F.struct("proba", "entropy_20", "atr_pct", "rsi", "smc_bias", "at_zone"), "ts").alias("r"))
+    last = last.join(quantiles(scored, "proba", [0.5]).select(*SERIES, F.col("q")[0].alias("median")), SERIES)
     df = last.join(skill.select(*SERIES, "skill"), SERIES, "left").join(auc, SERIES, "left").select(*SERIES, "r.*", "median", "skill", "auc")
     p = F.col("proba")
     pick = lambda *cases: F.coalesce(*(F.when(c, v) for c, v in cases))

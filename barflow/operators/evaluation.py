@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.ranks import below, order_statistics
 from barflow.operators.features import TECHNICAL
 from barflow.sources.bars import SERIES, SIZE, with_pos
 
@@ -64,9 +65,8 @@ def brier_skill(scored: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Area under the ROC curve from counts by probability, so ties share their ranks."""
     by = scored.groupBy(*keys, "proba").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    return by.withColumn("below", below).groupBy(*keys).agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    return below(by, "proba", "neg", keys).groupBy(*keys).agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -77,12 +77,12 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def conformal(scored: DataFrame, alpha: float = ALPHA, least: int = 20) -> DataFrame:
     """q_hat of each series from the last fifth of its rows; series with fewer than `least` such rows have none."""
-    by = Window.partitionBy(*SERIES)
     df = with_pos(scored, "_n")
     cal = df.where(F.col("pos") >= F.floor(F.col("_n") * 0.8)).withColumn("s", F.abs(F.col("proba") - F.col("label")))
-    cal = cal.withColumns({"n_cal": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("s"))})
+    sizes = cal.groupBy(*SERIES).agg(F.count("s").alias("n_cal")).where(F.col("n_cal") >= least)
     k = F.least(F.ceil((F.col("n_cal") + 1) * (1.0 - alpha)), F.col("n_cal"))
-    return cal.where((F.col("n_cal") >= least) & (F.col("_r") == k)).select(*SERIES, F.col("s").alias("q_hat"), F.lit(alpha).alias("alpha"), F.col("n_cal").cast("long").alias("n_cal"), F.lit(1 - alpha).alias("coverage"))
+    q_hat = order_statistics(cal, "s", sizes.select(*SERIES, F.lit("q_hat").alias("name"), (k - 1).alias("rank")))
+    return sizes.join(q_hat, SERIES).select(*SERIES, F.col("found").alias("q_hat"), F.lit(alpha).alias("alpha"), F.col("n_cal").cast("long").alias("n_cal"), F.lit(1 - alpha).alias("coverage"))
 
 
 def correlations(rows: DataFrame, columns: list[str] = TECHNICAL) -> DataFrame:
