@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.blocks import in_blocks, previous, scanned, sized
+from barflow.functions.spaced import spaced
 from barflow.operators.indicators import with_true_range
 from barflow.sources.bars import SERIES
 
@@ -54,19 +55,8 @@ def candidates(bars: DataFrame) -> DataFrame:
 
 
 def cooled(found: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
-    """The candidates that come at least cooldown - 1 bars after the last accepted one of their side.
-
-    One that comes so long after the last candidate is accepted whatever came before: runs start there,
-    and only within a run are candidates taken one after the other."""
-    gap = max(1, cooldown - 1)
-    w = Window.partitionBy(*SERIES, "kind").orderBy("x2")
-    head = F.coalesce(F.col("x2") - F.lag("x2").over(w) >= gap, F.lit(True))
-    numbered = found.withColumn("_head", head.cast("int")).withColumn("_run", F.sum("_head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = [c for c in found.columns if c not in (*SERIES, "kind")]
-    by = numbered.groupBy(*SERIES, "kind", "_run").agg(F.array_sort(F.collect_list(F.struct("x2", *(c for c in rest if c != "x2")))).alias("all"))
-    start = F.slice("all", 1, 1)
-    fold = F.aggregate(F.slice("all", 2, F.size("all")), start, lambda kept, x: F.when(x["x2"] - F.element_at(kept, -1)["x2"] >= gap, F.concat(kept, F.array(x))).otherwise(kept))
-    return by.select(*SERIES, "kind", F.explode(fold).alias("z")).select(*SERIES, "kind", *(F.col(f"z.{c}") for c in rest))
+    """The candidates that come at least cooldown - 1 bars after the last accepted one of their side."""
+    return spaced(found, [*SERIES, "kind"], "x2", cooldown - 1)
 
 
 def standing(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.blocks import W, in_blocks, previous, rows
-from barflow.sources.bars import SERIES
+from barflow.sources.bars import SERIES, settled
 
 HALF = 5  # bars on each side of a swing
 TRAIL = 150  # bars that a rolling reading looks back
@@ -52,42 +52,56 @@ def structure_bias(bars: DataFrame) -> DataFrame:
     return last.join(levels, SERIES, "left").select(*SERIES, F.when(up, 1).when(down, -1).otherwise(0).alias("bias"))
 
 
+def _clusters(points: Column, tolerance: float) -> Column:
+    """Array of zones from pieces (first, last, total, n, low) of prices that lie together, lowest first."""
+    empty = F.expr("cast(array() as array<struct<first:double,last:double,total:double,n:bigint,low:bigint>>)")
+
+    def step(clusters: Column, x: Column) -> Column:
+        last = F.get(clusters, F.size(clusters) - 1)
+        joins = (F.size(clusters) > 0) & (x["first"] - last["last"] <= last["first"] * tolerance)
+        grown = F.struct(last["first"].alias("first"), x["last"].alias("last"), *((last[c] + x[c]).alias(c) for c in ("total", "n", "low")))
+        return F.when(joins, F.concat(F.slice(clusters, 1, F.greatest(F.size(clusters) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(clusters, F.array(x)))
+
+    kind = lambda c: F.when(c["low"] * 2 >= c["n"], "support").otherwise("resistance")
+    zone = lambda c: F.struct((c["total"] / c["n"]).alias("price"), c["last"].alias("top"), c["first"].alias("bottom"), kind(c).alias("kind"), c["n"].cast("int").alias("touches"))
+    return F.transform(F.aggregate(points, empty, step), zone)
+
+
 def zones_of(highs: Column, lows: Column, tolerance: float = TOLERANCE) -> Column:
     """Array of zones (price, top, bottom, kind, touches) from swing prices, lowest first.
 
     Sorted prices join the open cluster while their gap to its last member is within the
     tolerance of its first member.  A cluster with at least as many lows as highs is support."""
-    tag = lambda prices, low: F.transform(prices, lambda p: F.struct(p.alias("p"), F.lit(low).alias("low")))
-    points = F.array_sort(F.concat(tag(highs, 0), tag(lows, 1)))
-    empty = F.expr("cast(array() as array<struct<first:double,last:double,total:double,n:int,low:int>>)")
-
-    def step(clusters: Column, x: Column) -> Column:
-        last = F.element_at(clusters, -1)
-        joins = (F.size(clusters) > 0) & (x.p - F.get(clusters, F.size(clusters) - 1)["last"] <= F.get(clusters, F.size(clusters) - 1)["first"] * tolerance)
-        grown = F.struct(last["first"].alias("first"), x.p.alias("last"), (last["total"] + x.p).alias("total"), (last["n"] + 1).alias("n"), (last["low"] + x.low).alias("low"))
-        fresh = F.struct(x.p.alias("first"), x.p.alias("last"), x.p.alias("total"), F.lit(1).alias("n"), x.low.alias("low"))
-        return F.when(joins, F.concat(F.slice(clusters, 1, F.greatest(F.size(clusters) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(clusters, F.array(fresh)))
-
-    clusters = F.aggregate(points, empty, step)
-    return F.transform(
-        clusters,
-        lambda c: F.struct((c["total"] / c["n"]).alias("price"), c["last"].alias("top"), c["first"].alias("bottom"), F.when(c["low"] * 2 >= c["n"], "support").otherwise("resistance").alias("kind"), c["n"].alias("touches")),
-    )
+    alone = lambda p, low: F.struct(p.alias("first"), p.alias("last"), p.alias("total"), F.lit(1).cast("long").alias("n"), F.lit(low).cast("long").alias("low"))
+    pieces = F.concat(F.transform(highs, lambda p: alone(p, 0)), F.transform(lows, lambda p: alone(p, 1)))
+    return _clusters(F.array_sort(pieces), tolerance)
+
+
+def price_runs(points: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Swings (price, kind) as runs (_low, its least price) of pieces: prices that share a zone whatever lies below them.
+
+    A cluster's tolerance is that of its first price, which is never below the run's, so prices in a cell narrower
+    than the tolerance of the least price stay together: rows add up by cell.  A gap wider
+    than the tolerance of the price before it always starts a zone, and a run.  A run has at most (top / low - 1) / (0.9 tolerance)
+    pieces, 370 for each time its least price fits in its height, however many swings there are."""
+    points = settled(points.select(*SERIES, "price", "kind"), "swings")  # read twice: the least price and the cells
+    pieces = [F.min("first").alias("first"), F.max("last").alias("last"), *(F.sum(c).alias(c) for c in ("total", "n", "low"))]
+    each = points.select(*SERIES, *(F.col("price").alias(c) for c in ("first", "last", "total")), F.lit(1).cast("long").alias("n"), (F.col("kind") == "low").cast("long").alias("low"))
+    cell = lambda least: F.when(F.col(least) > 0, F.floor((F.col("first") - F.col(least)) / (F.col(least) * 0.9 * tolerance)).cast("double")).otherwise(F.col("first"))
+    least = points.groupBy(*SERIES).agg(F.min("price").alias("_least"))
+    cells = each.join(least, SERIES).groupBy(*SERIES, cell("_least").alias("_cell")).agg(*pieces)
+    by_price = Window.partitionBy(*SERIES).orderBy("first")  # a row a cell
+    before = F.lag("last").over(by_price)
+    cells = cells.withColumn("_new", F.coalesce(F.col("first") - before > before * tolerance, F.lit(True)))
+    cells = cells.withColumn("_low", F.last(F.when(F.col("_new"), F.col("first")), True).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    wider = cells.groupBy(*SERIES, "_low", cell("_low").alias("_cell")).agg(*pieces)
+    return wider.groupBy(*SERIES, "_low").agg(F.array_sort(F.collect_list(F.struct("first", "last", "total", "n", "low"))).alias("pieces"))
 
 
 def zones(bars: DataFrame) -> DataFrame:
-    """One row for each zone of a series' swings.
-
-    A gap wider than the tolerance of the price before it always starts a zone (the first member's
-    tolerance is no wider), so only the prices between such gaps are clustered together."""
-    by_price = Window.partitionBy(*SERIES).orderBy("price", "pos", "kind")
-    last = F.lag("price").over(by_price)
-    points = swings(bars).withColumn("_new", F.coalesce(F.col("price") - last > last * TOLERANCE, F.lit(True)).cast("int"))
-    points = points.withColumn("_run", F.sum("_new").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    side = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("price")))
-    by = points.groupBy(*SERIES, "_run").agg(side("high").alias("h"), side("low").alias("l"))
-    each = by.select(*SERIES, "_run", F.posexplode(zones_of(F.col("h"), F.col("l"))).alias("_i", "z"))
-    return each.select(*SERIES, (F.row_number().over(Window.partitionBy(*SERIES).orderBy("_run", "_i")) - 1).alias("zone"), "z.*")
+    """One row for each zone of a series' swings, clustered inside runs of prices."""
+    each = price_runs(swings(bars)).select(*SERIES, "_low", F.posexplode(_clusters(F.col("pieces"), TOLERANCE)).alias("_i", "z"))
+    return each.select(*SERIES, (F.row_number().over(Window.partitionBy(*SERIES).orderBy("_low", "_i")) - 1).alias("zone"), "z.*")
 
 
 def nearest_zone(zone_array: Column, price: Column, kind: str | None = None) -> Column:

@@ -587,6 +587,8 @@ FROM pred_p p JOIN tier_t t ON t.symbol = p.symbol AND t.timeframe = p.timeframe
         "sl AS (SELECT symbol, timeframe, close, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) AS rn, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM bars)",
         select=f"SELECT {KEYS}, CAST(least(n, 30) - rn AS INTEGER) AS i, round(close, 2) AS close FROM sl WHERE rn <= 30",
     ),
+    "asof_ticks": _with(TICKS, _ohlc("bars", "15m", "time_bucket(INTERVAL '15 minutes', ts)"), HEADS, _MATCHED, "n AS (SELECT symbol, published_at, max(doc_id) AS doc_id, arg_max(struct_pack(s := score), doc_id).s AS score FROM matched GROUP BY 1, 2)", select=f"SELECT b.symbol, b.timeframe, b.ts, round(b.close, 6) AS close, n.doc_id, n.score, n.published_at, CAST(epoch(b.ts) - epoch(n.published_at) AS BIGINT) AS age FROM bars b ASOF LEFT JOIN n ON b.symbol = n.symbol AND b.ts >= n.published_at"),
+    "asof_quotes": _with(TICKS, HEADS, _MATCHED, "q AS (SELECT symbol, ts, arg_max(price, event_id) AS price FROM ticks GROUP BY 1, 2)", "k AS (SELECT m.symbol, m.doc_id, m.published_at, q.price, q.ts AS qts, q.ts >= m.published_at - INTERVAL 10 MINUTE AS fresh FROM matched m ASOF LEFT JOIN q ON m.symbol = q.symbol AND m.published_at >= q.ts)", select="SELECT symbol, doc_id, published_at, CASE WHEN fresh THEN round(price, 6) END AS price, CASE WHEN fresh THEN qts END AS quoted_at FROM k"),
     "headlines_matched": _with(HEADS, _MATCHED, select="SELECT symbol, doc_id, title, published_at, score FROM matched"),
     "news_overlay_matched": _with(
         HEADS,

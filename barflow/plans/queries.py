@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.asof import asof
 from barflow.functions.blocks import in_blocks
 from barflow.functions.ema import reach, wilder
 from barflow.operators import datasets as D
@@ -622,6 +623,22 @@ def news_overlay_matched(spark, d):
     return R.news_overlay(R.recent_headlines(R.matched_headlines(B.headlines(spark, d), news_catalog(spark))))
 
 
+@query
+def asof_ticks(spark, d):
+    """The last matched headline at or before each 15-minute bar."""
+    news = R.matched_headlines(B.headlines(spark, d), news_catalog(spark)).select("symbol", "published_at", "doc_id", "score")
+    df = asof(bars(spark, d, "15m"), news, ["symbol"], "ts", "published_at", ["doc_id", "score"], "doc_id")
+    return df.select(*AT, "close", "doc_id", "score", F.col("asof_ts").alias("published_at"), (F.unix_seconds("ts") - F.unix_seconds("asof_ts")).alias("age"))
+
+
+@query
+def asof_quotes(spark, d):
+    """The last tick at or before each matched headline, unless it is older than ten minutes."""
+    news = R.matched_headlines(B.headlines(spark, d), news_catalog(spark)).select("symbol", "published_at", "doc_id")
+    ticks = B.ticks_from_events(spark, d).select("symbol", "ts", "price", "seq")
+    return asof(news, ticks, ["symbol"], "published_at", "ts", ["price"], "seq", within="10 minutes").select("symbol", "doc_id", "published_at", "price", F.col("asof_ts").alias("quoted_at"))
+
+
 @query
 def sentiment_parse(spark, d):
     return B.table(spark, d, "documents").select("doc_id", R.parsed_score(F.col("text")).alias("score"))
