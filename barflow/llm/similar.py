@@ -1,9 +1,11 @@
-"""Near-duplicates by similarity of word shingles, found exactly by rare shingles that both texts have.
+"""Near-duplicates by SimHash fingerprints and, for links that these miss, by rare shingles that both texts have.
 
-Texts of similarity t or more share at least t of the shingles of either.  So a text of which fewer
+Texts are first linked as op6 does, by fingerprints that differ in few bits and meet at anchors; a link counts if the
+exact similarity of the two texts is reached.  Fingerprints of appended or cut copies differ in more bits, so an exact way
+follows for the rest.  Texts of similarity t or more share at least t of the shingles of either.  So a text of which fewer
 are in other texts has no partner; of the rest, with shingles taken rarest first, both of a pair have
 a common one among their first (1 - t) n + 1, and l common ones among l - 1 more.  No pair is lost.
-A text is first decided against the hub that most of its shingles lead to, then against the one of each other
+There a text is first decided against the hub that most of its shingles lead to, then against the one of each other
 group that it shares most with; at last every candidate pair that is not yet in one group is decided, all by
 the exact similarity.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import each_batch, parts_for, runs, stored_bytes, texts, written
 from barflow.llm.components import components
-from barflow.llm.simhash import SEED, shingle_hashes
+from barflow.llm.simhash import SEED, fingerprints, links, shingle_hashes
 
 BUCKET_BITS, BUCKET_BYTES = 10, 64 << 20  # of a shingle's hash, by which the first count is dealt: at least, and stored bytes of a bucket
 HELD = 1 << 21  # hashes held at once there
@@ -175,6 +177,17 @@ def _sizes_fit(n, other, least: float):
     return F.least(n, other) >= F.greatest(n, other) * least - 1e-6
 
 
+def print_pairs(named: DataFrame, words: int = 3, threshold: int = 3) -> DataFrame:
+    """(a, b): texts with one SimHash fingerprint, and ones whose fingerprints the anchors link; a forest connects each component."""
+    prints = written(fingerprints(named, words, "node"), "prints").withColumnRenamed("doc_id", "node")
+    firsts = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    same = prints.join(firsts, "fp").where("node != first").select("first", "node")
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab"]
+    near = links(firsts, threshold).distinct().join(ends[0], "a").join(ends[1], "b").select("of_a", "of_b")
+    both = same.union(near).toDF("x", "y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def hub_pairs(lists: DataFrame, least: float) -> DataFrame:
     """(a, b): each text with the text of most common shingles that most of its lists lead to."""
     hubs = lists.groupBy("h").agg(F.max(F.struct("core", "node", "n")).alias("hub"))
@@ -308,10 +321,11 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     alive = nodes.withColumn("low", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared_counts(docs, words), "low").where(F.col("c") >= _needed(least)).select("node", F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"))
     named = written(docs.join(alive, docs.doc_id.eqNullSafe(F.col("d")) & (docs.key == F.col("k"))).groupBy("node").agg(F.first("text").alias("text")), "named")
     lists = written(rare_lists(named, words, least), "lists")
-    first = written(decided(hub_pairs(lists, least), named, words, least), "links")
-    links = written(decided(open_pairs(lists, written(components(first), "labels"), least, best=True), named, words, least).union(first), "links")
-    rest = written(decided(open_pairs(lists, written(components(links), "labels"), least), named, words, least), "links")
-    found = components(links.union(rest)).withColumnRenamed("node", "name")
+    printed = written(decided(print_pairs(named), named, words, least), "links")
+    first = written(decided(hub_pairs(lists, least).join(printed, ["a", "b"], "left_anti"), named, words, least).union(printed), "links")
+    second = written(decided(open_pairs(lists, written(components(first), "labels"), least, best=True), named, words, least).union(first), "links")
+    rest = written(decided(open_pairs(lists, written(components(second), "labels"), least), named, words, least), "links")
+    found = components(second.union(rest)).withColumnRenamed("node", "name")
     rooted = nodes.join(found, nodes.node == found.name, "left").select("row", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("row").alias("row"))
     return best.select(F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"))

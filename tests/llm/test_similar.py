@@ -122,3 +122,24 @@ def test_open_pairs_are_rows_only_where_they_share_enough(spark):
                 common = [(sets[a][h], sets[b][h]) for h in sets[a].keys() & sets[b].keys()]
                 can = [1 for (n, _, p), (m, _, q) in common if min(p, q) + min(n - p, m - q) >= 0.8 / 1.8 * (n + m) - 1e-6 and min(n, m) >= 0.8 * max(n, m) - 1e-6]
                 assert ((a, b) in pairs) == bool(can and len(can) >= min(common[0][0][1], common[0][1][1]))
+
+
+def test_fingerprints_link_near_copies_before_shared_shingles_do(spark, monkeypatch):
+    """Copies with a few changed words are one group by SimHash and the exact check alone; other texts of like fingerprints are not."""
+    from barflow.llm import similar
+
+    rnd = random.Random(12)
+    v = [f"w{i}" for i in range(5000)]
+    docs = []
+    for _ in range(20):
+        base = rnd.choices(v, k=1500)
+        docs += [" ".join(base), " ".join(base[:700] + ["changed"] + base[701:])]
+    want = brute_force(docs)
+    assert want == list(range(0, 40, 2)) and kept(spark, docs) == want
+    none = lambda *_, **__: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(similar, "hub_pairs", none)
+    monkeypatch.setattr(similar, "open_pairs", none)
+    assert kept(spark, docs) == want
+    assert similar.print_pairs(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "node long, text string")).count() == 20
+    monkeypatch.setattr(similar, "similarity", lambda *_: 0.0)
+    assert kept(spark, docs) == list(range(40))
