@@ -24,6 +24,7 @@ from barflow.sources.bars import SERIES, SIZE, settled, with_pos
 
 C = 0.3
 PASSES = 80  # over the rows, at most; about ten are used
+PART_ROWS, LEAST_ROWS = 1 << 17, 1 << 12  # of a file of training rows: at most, and worth a task of its own
 OPTIMAL = 1e-9  # violation of the optimality conditions, a row, at which a model is done
 MODEL = "symbol string, timeframe string, parts array<struct<bias: double, w: array<double>, slope: double, shift: double>>, residual double, train_s double"
 
@@ -35,7 +36,10 @@ def training_rows(labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int
     pairs = [tuple(r) for r in labeled.groupBy(*SERIES).count().orderBy(*SERIES).collect()]  # the catalog's few
     spark = labeled.sparkSession
     named = spark.createDataFrame([(s, t, i) for i, (s, t, _) in enumerate(pairs)], "symbol string, timeframe string, _pair int")
-    return settled(placed.join(F.broadcast(named), SERIES).withColumn("_x", x), "training"), pairs
+    # the rows are read many times: dealt anew, since adaptively coalesced shuffles leave a few large files and so few tasks
+    total = sum(n for *_, n in pairs)
+    parts = max(-(-total // PART_ROWS), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
+    return settled(placed.join(F.broadcast(named), SERIES).withColumn("_x", x).repartition(parts, "_pair", "pos"), "training"), pairs
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:

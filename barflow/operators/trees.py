@@ -23,6 +23,7 @@ from barflow.operators.training import each_pair, matrix_of, sigmoid, training_r
 from barflow.sources.bars import SERIES, settled
 
 BINS = 32
+HELD = 1 << 17  # rows that a task sums at once
 GRID = 10_000  # steps of scores between 0 and 1 that a calibration tells apart
 SETTLED = 20  # rounds of boosting after which margins are written
 #: Trees, depth and learning rate of the published benchmarks.
@@ -50,7 +51,7 @@ def inner_fits(pairs: list, folds: int, inner: int) -> list[dict]:
 
 
 def binned(rows: DataFrame, pairs: list, width: int) -> DataFrame:
-    """(pair, pos, fold, label, codes one byte a column, x, margins) of training rows, settled."""
+    """(pair, pos, fold, label, codes one byte a column, x, margins as packed doubles) of training rows, settled."""
     steps = [i / BINS for i in range(1, BINS)]
     by = rows.groupBy("_pair").agg(*(F.percentile_approx(F.get("_x", F.lit(j)), steps, 20_000).alias(f"c{j}") for j in range(width))).collect()
     edges = rows.sparkSession.sparkContext.broadcast({r["_pair"]: [np.unique(np.array(r[f"c{j}"], float)) for j in range(width)] for r in by})
@@ -63,10 +64,10 @@ def binned(rows: DataFrame, pairs: list, width: int) -> DataFrame:
             for p, of in each_pair(b, "pair"):
                 for j, e in enumerate(edges.value[p]):
                     codes[of, j] = np.searchsorted(e, x[of, j])
-            none = pa.array([[]] * b.num_rows, pa.list_(pa.float64()))
+            none = pa.array([b""] * b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), none], [*b.schema.names, "codes", "margins"])
 
-    shape = "pair int, pos long, fold int, label int, x array<double>, codes binary, margins array<double>"
+    shape = "pair int, pos long, fold int, label int, x array<double>, codes binary, margins binary"
     return settled(rows.select(F.col("_pair").alias("pair"), "pos", "fold", F.col("label").cast("int").alias("label"), F.col("_x").alias("x")).mapInArrow(run, shape), "binned")
 
 
@@ -80,13 +81,12 @@ class Trees:
         self.wrong = np.zeros((fits, trees))  # of a stump: the weighted share that it gets wrong
 
     def node(self, fit: int, tree: int, codes: np.ndarray) -> np.ndarray:
-        """The leaf, or open node, that each row is in."""
-        column, cut, at, every = self.column[fit, tree], self.bin[fit, tree], np.zeros(len(codes), np.int64), np.arange(len(codes))
-        for _ in range(self.depth):
-            c = column[at]
-            if (c < 0).all():
-                break
-            at = np.where(c >= 0, 2 * at + 1 + (codes[every, np.maximum(c, 0)] > cut[at]), at)
+        """The leaf, or open node, that each row is in; nodes are fewer than 256."""
+        at = np.zeros(len(codes), np.uint8)
+        for i, (column, cut) in enumerate(zip(self.column[fit, tree, : 2**self.depth - 1].tolist(), self.bin[fit, tree].tolist())):
+            if column >= 0:  # children follow their parent, so a row moves on from where it is
+                step = (codes[:, column] > cut).view(np.uint8) + np.uint8(i + 1)
+                at += step if not i else step * (at == i)
         return at
 
     def scores(self, fit: int, tree: int, codes: np.ndarray) -> np.ndarray:
@@ -104,18 +104,46 @@ def _bootstrap(pos: np.ndarray, fit: int, tree: int) -> np.ndarray:
     h = pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((fit * 1_000_003 + tree) * 2_654_435_761 % (1 << 63))
     for s in (30, 27, 31):
         h = (h ^ (h >> np.uint64(s))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) / float(1 << 53))
+    u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
+    return sum((u > p).view(np.uint8) for p in _POISSON)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in larger ones, of about HELD rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= HELD:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _packed(column: pa.Array, width: int, kind: str) -> np.ndarray | None:
+    """Binary values of one length as a matrix, without a copy; None where they are empty."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(column.type) else "<i4")
+    first, last = int(ends[column.offset]), int(ends[column.offset + len(column)])
+    return np.frombuffer(data, np.uint8)[first:last].view(kind).reshape(-1, width) if last > first else None
 
 
 def _read(b: pa.RecordBatch, width: int):
-    codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, width)
-    return b.column("pos").to_numpy(), b.column("fold").to_numpy(), b.column("label").to_numpy().astype(float), codes
+    """Positions, labels and codes, which lie column by column."""
+    return b.column("pos").to_numpy(), b.column("label").to_numpy().astype(float), np.asfortranarray(_packed(b.column("codes"), width, "u1"))
+
+
+def _some(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Rows of codes, again column by column."""
+    return codes.T[:, of].T
 
 
 def _margins(b: pa.RecordBatch, of: np.ndarray, slots: int) -> np.ndarray:
     """What earlier rounds gave the rows in each of the pair's fits; nothing was settled yet where the arrays are empty."""
-    m = b.column("margins").take(pa.array(of))
-    return matrix_of(m, slots) if len(m.flatten()) else np.zeros((len(of), slots))
+    m = _packed(b.column("margins").take(pa.array(of)), slots, "<f8")
+    return np.zeros((len(of), slots)) if m is None else m
 
 
 def _row_values(kind: str, fit: dict, q: int, tree: int, pos: np.ndarray, label: np.ndarray, margin: np.ndarray):
@@ -154,6 +182,18 @@ def _grown(hist: np.ndarray, kind: str, columns: np.ndarray):
     return column, cut, value(whole[:, 0, 0]), value(left[every, slot, cut]), value(right[every, slot, cut]), share
 
 
+def _cells(codes: np.ndarray, rows: np.ndarray, local: np.ndarray, columns: np.ndarray, values: list[np.ndarray], counted: bool) -> np.ndarray:
+    """Sums of the rows' values by (node, its slot of columns, bin), a column a channel; counted: the first one's values are all 1."""
+    nodes, slots = columns.shape
+    out, base, size = np.zeros((nodes, slots, BINS, len(values))), local * BINS, nodes * BINS
+    for s in range(slots):
+        one = (columns[:, s] == columns[0, s]).all()
+        cell = base + (codes[:, columns[0, s]][rows] if one else codes[rows, columns[local, s]])
+        for k, v in enumerate(values):
+            out[:, s, :, k] = (np.bincount(cell, minlength=size) if counted and not k else np.bincount(cell, v, size)).reshape(nodes, BINS)
+    return out.reshape(-1, len(values))
+
+
 def _level(table: DataFrame, fits: list[dict], trees: Trees, kind: str, level: int, width: int, first: int, now: list[int], weights: np.ndarray, active: np.ndarray) -> None:
     """Splits the open nodes of a level of the trees `now` of the active fits; margins are settled up to tree first."""
     nodes, offset, channels = 2**level, 2**level - 1, 3 if kind == "gradient_boost" else 2
@@ -170,10 +210,8 @@ def _level(table: DataFrame, fits: list[dict], trees: Trees, kind: str, level: i
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits_, own_, slots_, trees_, weights_ = model.value
         found: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            pos, _, label, codes = _read(b, width)
+        for b in _gathered(batches):
+            pos, label, codes = _read(b, width)
             for p, of in each_pair(b, "pair"):
                 margins = None if kind == "random_forest" else _margins(b, of, slots_[p])
                 for q in own_.get(p, []):
@@ -181,18 +219,18 @@ def _level(table: DataFrame, fits: list[dict], trees: Trees, kind: str, level: i
                     at = of[mine]
                     if not len(at):
                         continue
-                    margin = None if margins is None else scored(kind, trees_, q, codes[at], margins[mine, fits_[q]["slot"]], label[at], first, now[0], weights_)
+                    c, y = _some(codes, at), label[at]
+                    margin = None if margins is None else scored(kind, trees_, q, c, margins[mine, fits_[q]["slot"]], y, first, now[0], weights_)
                     for t in now:
-                        node = trees_.node(q, t, codes[at])
-                        fits_here = (trees_.column[q, t][node] == OPEN) & (node >= offset)
-                        if not fits_here.any():
+                        node = trees_.node(q, t, c)
+                        rows = np.flatnonzero((trees_.column[q, t] == OPEN)[node] & (node >= offset))
+                        if not len(rows):
                             continue
-                        rows = at[fits_here]
-                        local, columns = node[fits_here] - offset, drawn(q, t)
-                        slot = np.arange(columns.shape[1])
-                        cell = ((local[:, None] * len(slot) + slot) * BINS + codes[rows[:, None], columns[local]]).ravel()
-                        values = _row_values(kind, fits_[q], q, t, pos[at], label[at], margin)
-                        part = np.stack([np.bincount(cell, np.repeat(v[fits_here], len(slot)), nodes * len(slot) * BINS) for v in values], 1).astype(np.float64 if channels == 3 or kind == "ada_boost" else np.float32)
+                        values = _row_values(kind, fits_[q], q, t, pos[at], y, margin)
+                        if kind == "random_forest":  # rows that the tree's sample leaves out add nothing
+                            rows = rows[values[0][rows] > 0]
+                        part = _cells(c, rows, node[rows].astype(np.intp) - offset, drawn(q, t), [v[rows] for v in values], kind == "gradient_boost")
+                        part = part.astype(np.float64 if channels == 3 or kind == "ada_boost" else np.float32)
                         found[q, t] = found[q, t] + part if (q, t) in found else part
         items = list(found.items())
         for a in range(0, len(items), 256):
@@ -225,7 +263,8 @@ def _level(table: DataFrame, fits: list[dict], trees: Trees, kind: str, level: i
         if out:
             yield batch()
 
-    parts = table.mapInArrow(sums, "fit int, tree int, hist binary").repartition("fit", "tree").sortWithinPartitions("fit", "tree")
+    needs = ["pair", "pos", "label", "codes", *([] if kind == "random_forest" else ["margins"])]
+    parts = table.select(*needs).mapInArrow(sums, "fit int, tree int, hist binary").repartition("fit", "tree").sortWithinPartitions("fit", "tree")
     numbers = "array<double>"
     for r in parts.mapInArrow(choose, f"fit int, tree int, column {numbers}, bin {numbers}, value {numbers}, left {numbers}, right {numbers}, share {numbers}").toArrow().to_pylist():
         q, t = r["fit"], r["tree"]
@@ -264,19 +303,18 @@ def _settle(table: DataFrame, fits: list[dict], trees: Trees, kind: str, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_, trees_, weights_ = model.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            _, _, label, codes = _read(b, width)
-            out: list = [[]] * b.num_rows
+        for b in _gathered(batches):
+            _, label, codes = _read(b, width)
+            out = [b""] * b.num_rows
             for p, of in each_pair(b, "pair"):
                 mine = own_.get(p, [])
-                before = _margins(b, of, len(mine)) if mine else np.zeros((len(of), 0))
-                after = [scored(kind, trees_, q, codes[of], before[:, s], label[of], first, last, weights_) for s, q in enumerate(mine)]
-                for row, values in zip(of, np.array(after).T if after else np.zeros((len(of), 0))):
-                    out[row] = values
+                if mine:
+                    c, before = _some(codes, of), _margins(b, of, len(mine))
+                    after = [scored(kind, trees_, q, c, before[:, s], label[of], first, last, weights_) for s, q in enumerate(mine)]
+                    for row, values in zip(of.tolist(), np.array(after, "<f8").T):
+                        out[row] = values.tobytes()
             columns = [b.column(c) for c in b.schema.names if c != "margins"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([np.asarray(o).tolist() for o in out], pa.list_(pa.float64()))], [*(c for c in b.schema.names if c != "margins"), "margins"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], [*(c for c in b.schema.names if c != "margins"), "margins"])
 
     shape = table.select(*(c for c in table.columns if c != "margins"), "margins")
     return settled(shape.mapInArrow(run, shape.schema), "margins")
@@ -398,19 +436,17 @@ def _calibrations(table: DataFrame, fits: list[dict], score: Fitted, width: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_, own_ = model.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            pos, _, label, codes = _read(b, width)
+        for b in _gathered(batches):
+            pos, label, codes = _read(b, width)
             x = matrix_of(b.column("x"), width)
             for p, of in each_pair(b, "pair"):
                 for q in own_.get(p, []):
                     at = of[(pos[of] >= fits[q]["a"]) & (pos[of] < fits[q]["b"])]
                     if len(at):
-                        step = np.rint(score_.scores(q, codes[at], x[at]) * GRID).astype(np.int32)
+                        step = np.rint(score_.scores(q, _some(codes, at), x[at]) * GRID).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int32)), pa.array(step), pa.array(label[at].astype(np.int64))], ["fit", "step", "y"])
 
-    steps = table.mapInArrow(run, "fit int, step int, y long").groupBy("fit", "step").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    steps = table.drop("margins").mapInArrow(run, "fit int, step int, y long").groupBy("fit", "step").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
 
     def knots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out = [], None, []
@@ -440,22 +476,20 @@ def tested(table: DataFrame, pairs: list, fits: list[dict], kind: str, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_, knots_, own_ = model.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            _, fold, label, codes = _read(b, width)
-            x = matrix_of(b.column("x"), width)
+        for b in _gathered(batches):
+            _, label, codes = _read(b, width)
+            fold, x = b.column("fold").to_numpy(), matrix_of(b.column("x"), width)
             for p, of in each_pair(b, "pair"):
                 for k in np.unique(fold[of]):
                     mine = own_.get((p, int(k)), [])
                     if not mine:
                         continue
                     at = of[fold[of] == k]
-                    proba = sum(np.interp(score_.scores(q, codes[at], x[at]), *knots_[q]) for q in mine) / len(mine)
+                    proba = sum(np.interp(score_.scores(q, _some(codes, at), x[at]), *knots_[q]) for q in mine) / len(mine)
                     names = [pa.array([v] * len(at), t) for v, t in ((pairs[p][0], pa.string()), (pairs[p][1], pa.string()), (int(k), pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*names, pa.array(label[at].astype(np.int32)), pa.array(proba)], ["symbol", "timeframe", "fold", "label", "proba"])
 
-    return table.mapInArrow(run, "symbol string, timeframe string, fold int, label int, proba double")
+    return table.drop("margins").mapInArrow(run, "symbol string, timeframe string, fold int, label int, proba double")
 
 
 def benchmarks(labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int = E.FOLDS, inner: int = 3, names: tuple[str, ...] = BENCHMARKS, rounds: dict[str, dict] | None = None) -> DataFrame:

@@ -264,3 +264,29 @@ def test_cards_and_readings_come_from_the_trained_model(spark, monkeypatch):
     for r in got:
         assert (r.probability_lo < r.probability < r.probability_hi or r.probability in (0, 1)) if r.is_probability else r.probability_lo == r.probability == r.probability_hi
         assert r.ev_positive == (r.probability_lo > 1 / 3)
+
+
+def test_rows_walk_trees_by_columns_of_codes():
+    rng = np.random.default_rng(3)
+    codes, grown = rng.integers(0, trees.BINS, (500, 4)).astype(np.uint8), trees.Trees(1, 1, 5)
+    grown.column[0, 0, :31] = rng.integers(-1, 4, 31)
+    grown.bin[0, 0, :31] = rng.integers(0, trees.BINS, 31)
+    want = []
+    for c in codes:
+        at = 0
+        while at < 31 and grown.column[0, 0, at] >= 0:
+            at = 2 * at + 1 + int(c[grown.column[0, 0, at]] > grown.bin[0, 0, at])
+        want.append(at)
+    assert grown.node(0, 0, codes).tolist() == want
+
+
+def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """Adaptive shuffles leave a few files; the passes of training read as many parts as the rows deserve, whatever the input's."""
+    rows = [("s", "15m", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), float(i % 7), float(i % 5), i % 2) for i in range(600)]
+    labeled = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, a double, b double, label int").coalesce(1)
+    monkeypatch.setattr(T, "LEAST_ROWS", 100)
+    few, pairs = T.training_rows(labeled, ["a", "b"], 5)
+    assert pairs == [("s", "15m", 600)] and few.count() == 600
+    assert len({r.f for r in few.selectExpr("input_file_name() as f").collect()}) == 6
+    monkeypatch.setattr(T, "PART_ROWS", 50)
+    assert len({r.f for r in T.training_rows(labeled, ["a", "b"], 5)[0].selectExpr("input_file_name() as f").collect()}) == 12
