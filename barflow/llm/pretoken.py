@@ -9,7 +9,6 @@ worker and a bounded cache keeps the ids.
 from __future__ import annotations
 
 import functools
-import re
 import sys
 import unicodedata
 from array import array
@@ -109,9 +108,9 @@ def byte_level_pieces(text: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def newer_letters() -> tuple[dict[int, str], re.Pattern]:
-    """The characters that this Python's tables normalize otherwise than the library (younger scripts), and a pattern
-    that finds them.  Case is only in the first two planes."""
+def newer_letters() -> tuple[dict[int, str], int, np.ndarray]:
+    """The characters that this Python's tables normalize otherwise than the library (younger scripts), the first of
+    them, and which code points they are.  Case is only in the first two planes."""
     from tokenizers import normalizers
 
     every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and c != 10]
@@ -119,15 +118,18 @@ def newer_letters() -> tuple[dict[int, str], re.Pattern]:
     own = "\n".join(every)
     own = unicodedata.normalize("NFC", own).replace("Σ", "σ").lower().split("\n")
     table = {ord(c): t for c, t, o in zip(every, theirs, own) if t != o}
-    return table, re.compile("[" + "".join(map(chr, table)) + "]" if table else r"(?!)")
+    among = np.zeros(sys.maxunicode + 1, bool)
+    among[list(table)] = True
+    return table, min(table, default=sys.maxunicode + 1), among
 
 
 def word_normal(text: str) -> str:
     """NFC and lower case, character by character, as the word file's normalizer has it."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        table, found = newer_letters()
-        text = text.translate(table) if found.search(text) else text
+        table, first, among = newer_letters()
+        points = code_points(text)
+        text = text.translate(table) if points.max() >= first and among[points].any() else text
     return text.lower()
 
 

@@ -7,6 +7,8 @@ decode() unpacks all words of one selector at once.  Empty input gives no words.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 BLOCK = 4096
@@ -26,9 +28,16 @@ def blocks_of(lengths: np.ndarray) -> np.ndarray:
 
 #: The widths that words can hold, ascending; PAD zeros after a block let its last word be filled up.
 WIDTHS = sorted(b for _, b in PACKED)
+LIMITS = np.array([1 << b for b in WIDTHS], np.uint64)
 PAD = 60
 
 
+@functools.lru_cache(maxsize=1)
+def _narrow() -> np.ndarray:
+    """How many of WIDTHS are too narrow for each value of up to 20 bits."""
+    return np.searchsorted(LIMITS, np.arange(1 << 20, dtype=np.uint64), "right").astype(np.uint8)
+
+
 def _most(x: np.ndarray) -> dict[int, np.ndarray]:
     """Maximum of each `count` values from every place on, for every count of PACKED."""
     out = {1: x}
@@ -54,28 +63,23 @@ def encode(values: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndar
     # blocks are laid out with zeros between them, so no word sees the next block
     firsts = np.cumsum(sizes + PAD) - sizes - PAD
     total = int(firsts[-1] + sizes[-1]) + PAD
-    padded, real = np.zeros(total, np.uint64), np.zeros(total, bool)
+    padded = np.zeros(total, np.uint64)
     place = np.arange(n) + np.repeat(np.arange(len(sizes)) * PAD, sizes)
     padded[place] = v
-    real[place] = True
     need = np.zeros(total, np.uint8)  # how many of WIDTHS are too narrow
-    for bits in WIDTHS:
-        need += padded >= np.uint64(1 << bits)
+    need[place] = _narrow()[v.astype(np.intp)] if int(v.max()) < 1 << 20 else np.searchsorted(LIMITS, v, "right")
     most = _most(need)
-    best = np.zeros(total, np.uint8)  # the selector that takes most values from here; 0: escape
-    for s in range(len(PACKED), 0, -1):
-        count, bits = PACKED[s - 1]
-        best[most[count] <= WIDTHS.index(bits)] = s
-    follow = np.arange(total) + np.array([1, *(c for c, _ in PACKED)])[best]
-    ends = firsts + sizes
-    follow[(ends[:, None] + np.arange(PAD)).ravel()] = np.repeat(ends + PAD, PAD)  # from behind a block to the next one
-    follow = follow.tolist()
-    at, i = [], 0
-    while i < total:
-        at.append(i)
-        i = follow[i]
+    # a later selector takes fewer and wider values, so what fits one fits all later ones
+    best = np.ones(total, np.uint8)  # the selector that takes most values from here; 0: escape
+    for count, bits in PACKED:
+        best += most[count] > WIDTHS.index(bits)
+    best[best > len(PACKED)] = 0
+    step, codes, at = [1, *(c for c, _ in PACKED)], best.tobytes(), []
+    for i, end in zip(firsts.tolist(), (firsts + sizes).tolist()):
+        while i < end:
+            at.append(i)
+            i += step[codes[i]]
     at = np.array(at)
-    at = at[real[at]]
     chosen = best[at]
     escapes = np.cumsum(chosen == 0)
     place = np.arange(len(at)) + escapes - (chosen == 0)
@@ -122,8 +126,13 @@ def decode(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = Non
             out[at[here]] = words[here + 1]
             continue
         count, bits = PACKED[s - 1]
-        mask = np.uint64((1 << bits) - 1)
+        mask, word, base, room = np.uint64((1 << bits) - 1), words[here], at[here], end[here] - at[here]
+        whole = int(room.min())
         for k in range(count):
-            ok = at[here] + k < end[here]
-            out[at[here][ok] + k] = (words[here][ok] >> np.uint64(bits * k)) & mask
+            values = (word >> np.uint64(bits * k)) & mask
+            if k < whole:
+                out[base + k] = values
+            else:  # only the last word of a block is not full
+                ok = room > k
+                out[base[ok] + k] = values[ok]
     return out

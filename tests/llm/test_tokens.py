@@ -1,5 +1,6 @@
 import functools
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -33,6 +34,21 @@ def test_ids_are_the_librarys(name, kind, text):
     assert np.frombuffer(encoder(public_tokenizers.path(name), kind).ids(text), "<u4").tolist() == library(name)(text)
 
 
+def test_normalizing_costs_little_more_than_lower_case():
+    text = "ñandú über Straße œuvre " * 100_000
+
+    def cost(f):
+        def once():
+            began = time.process_time()
+            f(text)
+            return time.process_time() - began
+
+        return min(once() for _ in range(5))
+
+    word_normal(text)  # its tables are made once a worker
+    assert cost(word_normal) < 15 * cost(str.lower)
+
+
 def test_every_character_is_normalized_as_by_the_library():
     text = " ".join(f"a{chr(c)}É" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
     want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer.normalize_str(text)
