@@ -50,8 +50,13 @@ def inner_fits(pairs: list, folds: int, inner: int) -> list[dict]:
     return out
 
 
+#: A block's columns, each packed into one binary value; codes lie column by column, margins have one number a fit.
+PACKED = {"pos": "<i8", "fold": "<i4", "label": "u1", "codes": "u1", "x": "<f8", "margins": "<f8"}
+BLOCK = "pair int, " + ", ".join(f"{c} binary" for c in PACKED)
+
+
 def binned(rows: DataFrame, pairs: list, width: int) -> DataFrame:
-    """(pair, pos, fold, label, codes one byte a column, x, margins as packed doubles) of training rows, settled."""
+    """(pair, pos, fold, label, codes one byte a column, x) of training rows."""
     steps = [i / BINS for i in range(1, BINS)]
     by = rows.groupBy("_pair").agg(*(F.percentile_approx(F.get("_x", F.lit(j)), steps, 20_000).alias(f"c{j}") for j in range(width))).collect()
     edges = rows.sparkSession.sparkContext.broadcast({r["_pair"]: [np.unique(np.array(r[f"c{j}"], float)) for j in range(width)] for r in by})
@@ -64,11 +69,41 @@ def binned(rows: DataFrame, pairs: list, width: int) -> DataFrame:
             for p, of in each_pair(b, "pair"):
                 for j, e in enumerate(edges.value[p]):
                     codes[of, j] = np.searchsorted(e, x[of, j])
-            none = pa.array([b""] * b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), none], [*b.schema.names, "codes", "margins"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*b.schema.names, "codes"])
+
+    shape = "pair int, pos long, fold int, label int, x array<double>, codes binary"
+    return rows.select(F.col("_pair").alias("pair"), "pos", "fold", F.col("label").cast("int").alias("label"), F.col("_x").alias("x")).mapInArrow(run, shape)
+
+
+def packed(table: DataFrame, width: int) -> DataFrame:
+    """Binned rows in blocks of one pair, of about HELD rows at most, settled; blocks stay as they are.
 
-    shape = "pair int, pos long, fold int, label int, x array<double>, codes binary, margins binary"
-    return settled(rows.select(F.col("_pair").alias("pair"), "pos", "fold", F.col("label").cast("int").alias("label"), F.col("_x").alias("x")).mapInArrow(run, shape), "binned")
+    Every level of every tree reads all rows, and Spark hands over a few large values far faster than as many rows."""
+    if dict(table.dtypes)["pos"] == "binary":
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches):
+            x, codes = matrix_of(b.column("x"), width), np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, width)
+            pos, fold, label = (b.column(c).to_numpy() for c in ("pos", "fold", "label"))
+            for p, of in each_pair(b, "pair"):
+                yield _block(p, {"pos": pos[of], "fold": fold[of], "label": label[of], "codes": codes[of].T, "x": x[of], "margins": np.zeros(0)})
+
+    return settled(table.mapInArrow(run, BLOCK), "blocks")
+
+
+def _block(pair: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    values = [pa.array([columns[c].astype(kind).tobytes()], pa.binary()) for c, kind in PACKED.items()]
+    return pa.RecordBatch.from_arrays([pa.array([pair], pa.int32()), *values], ["pair", *PACKED])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(pair, its rows' columns) of each block, of the columns that were selected."""
+    for b in batches:
+        for i in range(b.num_rows):
+            out = {c: np.frombuffer(b.column(c)[i].as_buffer(), PACKED[c]) for c in b.schema.names if c != "pair"}
+            shapes = {"codes": lambda v: v.reshape(width, -1).T, "x": lambda v: v.reshape(-1, width), "label": lambda v: v.astype(float)}
+            yield b.column("pair")[i].as_py(), {c: shapes[c](v) if c in shapes else v for c, v in out.items()}
 
 
 class Trees:
@@ -82,15 +117,23 @@ class Trees:
 
     def node(self, fit: int, tree: int, codes: np.ndarray) -> np.ndarray:
         """The leaf, or open node, that each row is in; nodes are fewer than 256."""
-        at = np.zeros(len(codes), np.uint8)
-        for i, (column, cut) in enumerate(zip(self.column[fit, tree, : 2**self.depth - 1].tolist(), self.bin[fit, tree].tolist())):
-            if column >= 0:  # children follow their parent, so a row moves on from where it is
-                step = (codes[:, column] > cut).view(np.uint8) + np.uint8(i + 1)
-                at += step if not i else step * (at == i)
-        return at
+        column, cut, inner = self.column[fit, tree].tolist(), self.bin[fit, tree].tolist(), 2**self.depth - 1
+
+        def below(i: int):
+            """The node under i that each row reaches; i itself where it isn't split."""
+            if i >= inner or column[i] < 0:
+                return np.uint8(i)
+            right = np.negative((codes[:, column[i]] > cut[i]).view(np.uint8))  # all bits, or none
+            lo, hi = below(2 * i + 1), below(2 * i + 2)
+            right &= lo ^ hi
+            right ^= lo
+            return right
+
+        at = below(0)
+        return at if at.ndim else np.full(len(codes), at)
 
     def scores(self, fit: int, tree: int, codes: np.ndarray) -> np.ndarray:
-        return self.value[fit, tree][self.node(fit, tree, codes)]
+        return self.value[fit, tree].take(self.node(fit, tree, codes))
 
 
 def _drawn(fit: int, tree: int, nodes: int, width: int) -> np.ndarray:
@@ -103,8 +146,10 @@ def _bootstrap(pos: np.ndarray, fit: int, tree: int) -> np.ndarray:
     """How often each row is in a tree's sample (Poisson of mean 1), the same wherever it is computed."""
     h = pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((fit * 1_000_003 + tree) * 2_654_435_761 % (1 << 63))
     for s in (30, 27, 31):
-        h = (h ^ (h >> np.uint64(s))) * np.uint64(0xBF58476D1CE4E5B9)
-    u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
+        h ^= h >> np.uint64(s)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(11)
+    u = h / float(1 << 53)
     return sum((u > p).view(np.uint8) for p in _POISSON)
 
 
@@ -122,28 +167,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _packed(column: pa.Array, width: int, kind: str) -> np.ndarray | None:
-    """Binary values of one length as a matrix, without a copy; None where they are empty."""
-    _, ends, data = column.buffers()
-    ends = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(column.type) else "<i4")
-    first, last = int(ends[column.offset]), int(ends[column.offset + len(column)])
-    return np.frombuffer(data, np.uint8)[first:last].view(kind).reshape(-1, width) if last > first else None
-
-
-def _read(b: pa.RecordBatch, width: int):
-    """Positions, labels and codes, which lie column by column."""
-    return b.column("pos").to_numpy(), b.column("label").to_numpy().astype(float), np.asfortranarray(_packed(b.column("codes"), width, "u1"))
-
-
 def _some(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Rows of codes, again column by column."""
-    return codes.T[:, of].T
+    return codes.T.take(of, axis=1).T
 
 
-def _margins(b: pa.RecordBatch, of: np.ndarray, slots: int) -> np.ndarray:
-    """What earlier rounds gave the rows in each of the pair's fits; nothing was settled yet where the arrays are empty."""
-    m = _packed(b.column("margins").take(pa.array(of)), slots, "<f8")
-    return np.zeros((len(of), slots)) if m is None else m
+def _margins(block: dict[str, np.ndarray], slots: int) -> np.ndarray:
+    """What earlier rounds gave the rows in each of the pair's fits; nothing was settled yet where they are empty."""
+    m = block["margins"]
+    return m.reshape(-1, slots) if len(m) else np.zeros((len(block["label"]), slots))
 
 
 def _row_values(kind: str, fit: dict, q: int, tree: int, pos: np.ndarray, label: np.ndarray, margin: np.ndarray):
@@ -186,9 +218,10 @@ def _cells(codes: np.ndarray, rows: np.ndarray, local: np.ndarray, columns: np.n
     """Sums of the rows' values by (node, its slot of columns, bin), a column a channel; counted: the first one's values are all 1."""
     nodes, slots = columns.shape
     out, base, size = np.zeros((nodes, slots, BINS, len(values))), local * BINS, nodes * BINS
+    every = len(rows) == len(codes)
     for s in range(slots):
         one = (columns[:, s] == columns[0, s]).all()
-        cell = base + (codes[:, columns[0, s]][rows] if one else codes[rows, columns[local, s]])
+        cell = base + ((codes[:, columns[0, s]] if every else codes[:, columns[0, s]].take(rows)) if one else codes[rows, columns[local, s]])
         for k, v in enumerate(values):
             out[:, s, :, k] = (np.bincount(cell, minlength=size) if counted and not k else np.bincount(cell, v, size)).reshape(nodes, BINS)
     return out.reshape(-1, len(values))
@@ -210,28 +243,26 @@ def _level(table: DataFrame, fits: list[dict], trees: Trees, kind: str, level: i
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits_, own_, slots_, trees_, weights_ = model.value
         found: dict[tuple[int, int], np.ndarray] = {}
-        for b in _gathered(batches):
-            pos, label, codes = _read(b, width)
-            for p, of in each_pair(b, "pair"):
-                margins = None if kind == "random_forest" else _margins(b, of, slots_[p])
-                for q in own_.get(p, []):
-                    mine = pos[of] < fits_[q]["a"]
-                    at = of[mine]
-                    if not len(at):
+        for p, block in _blocks(batches, width):
+            pos, label, codes = block["pos"], block["label"], block["codes"]
+            margins = None if kind == "random_forest" else _margins(block, slots_[p])
+            for q in own_.get(p, []):
+                at = np.flatnonzero(pos < fits_[q]["a"])
+                if not len(at):
+                    continue
+                c, y = _some(codes, at), label[at]
+                margin = None if margins is None else scored(kind, trees_, q, c, margins[at, fits_[q]["slot"]], y, first, now[0], weights_)
+                for t in now:
+                    node = trees_.node(q, t, c)
+                    rows = np.flatnonzero((trees_.column[q, t] == OPEN)[node] & (node >= offset))
+                    if not len(rows):
                         continue
-                    c, y = _some(codes, at), label[at]
-                    margin = None if margins is None else scored(kind, trees_, q, c, margins[mine, fits_[q]["slot"]], y, first, now[0], weights_)
-                    for t in now:
-                        node = trees_.node(q, t, c)
-                        rows = np.flatnonzero((trees_.column[q, t] == OPEN)[node] & (node >= offset))
-                        if not len(rows):
-                            continue
-                        values = _row_values(kind, fits_[q], q, t, pos[at], y, margin)
-                        if kind == "random_forest":  # rows that the tree's sample leaves out add nothing
-                            rows = rows[values[0][rows] > 0]
-                        part = _cells(c, rows, node[rows].astype(np.intp) - offset, drawn(q, t), [v[rows] for v in values], kind == "gradient_boost")
-                        part = part.astype(np.float64 if channels == 3 or kind == "ada_boost" else np.float32)
-                        found[q, t] = found[q, t] + part if (q, t) in found else part
+                    values = _row_values(kind, fits_[q], q, t, pos[at], y, margin)
+                    if kind == "random_forest":  # rows that the tree's sample leaves out add nothing
+                        rows = rows[values[0][rows] > 0]
+                    part = _cells(c, rows, node[rows].astype(np.intp) - offset, drawn(q, t), [v[rows] for v in values], kind == "gradient_boost")
+                    part = part.astype(np.float64 if channels == 3 or kind == "ada_boost" else np.float32)
+                    found[q, t] = found[q, t] + part if (q, t) in found else part
         items = list(found.items())
         for a in range(0, len(items), 256):
             some = items[a : a + 256]
@@ -303,21 +334,14 @@ def _settle(table: DataFrame, fits: list[dict], trees: Trees, kind: str, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_, trees_, weights_ = model.value
-        for b in _gathered(batches):
-            _, label, codes = _read(b, width)
-            out = [b""] * b.num_rows
-            for p, of in each_pair(b, "pair"):
-                mine = own_.get(p, [])
-                if mine:
-                    c, before = _some(codes, of), _margins(b, of, len(mine))
-                    after = [scored(kind, trees_, q, c, before[:, s], label[of], first, last, weights_) for s, q in enumerate(mine)]
-                    for row, values in zip(of.tolist(), np.array(after, "<f8").T):
-                        out[row] = values.tobytes()
-            columns = [b.column(c) for c in b.schema.names if c != "margins"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], [*(c for c in b.schema.names if c != "margins"), "margins"])
+        for p, block in _blocks(batches, width):
+            mine = own_.get(p, [])
+            if mine:
+                c, before = np.asfortranarray(block["codes"]), _margins(block, len(mine))
+                block["margins"] = np.array([scored(kind, trees_, q, c, before[:, s], block["label"], first, last, weights_) for s, q in enumerate(mine)]).T
+            yield _block(p, block | {"codes": block["codes"].T})
 
-    shape = table.select(*(c for c in table.columns if c != "margins"), "margins")
-    return settled(shape.mapInArrow(run, shape.schema), "margins")
+    return settled(table.mapInArrow(run, BLOCK), "margins")
 
 
 def _classes(table: DataFrame, fits: list[dict], width: int) -> np.ndarray:
@@ -329,15 +353,12 @@ def _classes(table: DataFrame, fits: list[dict], width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((len(fits), 2, size))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            pos, x, label = b.column("pos").to_numpy(), matrix_of(b.column("x"), width), b.column("label").to_numpy()
-            for p, of in each_pair(b, "pair"):
-                for q in own.get(p, []):
-                    for y in (0, 1):
-                        at = of[(pos[of] < fits[q]["a"]) & (label[of] == y)]
-                        found[q, y] += np.concatenate(([len(at)], x[at].sum(0), (x[at] ** 2).sum(0)))
+        for p, block in _blocks(batches, width):
+            pos, x, label = block["pos"], block["x"], block["label"]
+            for q in own.get(p, []):
+                for y in (0, 1):
+                    at = np.flatnonzero((pos < fits[q]["a"]) & (label == y))
+                    found[q, y] += np.concatenate(([len(at)], x[at].sum(0), (x[at] ** 2).sum(0)))
         at = np.flatnonzero(found[:, :, 0].sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at].reshape(len(at), -1).tolist(), pa.list_(pa.float64()))], ["fit", "s"])
 
@@ -384,6 +405,7 @@ class Fitted:
 
 def fitted(table: DataFrame, fits: list[dict], kind: str, width: int, rounds: dict | None = None) -> Fitted:
     """One benchmark, fitted for all fits together."""
+    table = packed(table, width)
     sums = _classes(table, fits, width)
     count = sums[:, :, 0]
     if kind == "naive_bayes":
@@ -436,15 +458,13 @@ def _calibrations(table: DataFrame, fits: list[dict], score: Fitted, width: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_, own_ = model.value
-        for b in _gathered(batches):
-            pos, label, codes = _read(b, width)
-            x = matrix_of(b.column("x"), width)
-            for p, of in each_pair(b, "pair"):
-                for q in own_.get(p, []):
-                    at = of[(pos[of] >= fits[q]["a"]) & (pos[of] < fits[q]["b"])]
-                    if len(at):
-                        step = np.rint(score_.scores(q, _some(codes, at), x[at]) * GRID).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int32)), pa.array(step), pa.array(label[at].astype(np.int64))], ["fit", "step", "y"])
+        for p, block in _blocks(batches, width):
+            pos, x, label, codes = block["pos"], block["x"], block["label"], block["codes"]
+            for q in own_.get(p, []):
+                at = np.flatnonzero((pos >= fits[q]["a"]) & (pos < fits[q]["b"]))
+                if len(at):
+                    step = np.rint(score_.scores(q, _some(codes, at), x[at]) * GRID).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int32)), pa.array(step), pa.array(label[at].astype(np.int64))], ["fit", "step", "y"])
 
     steps = table.drop("margins").mapInArrow(run, "fit int, step int, y long").groupBy("fit", "step").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
 
@@ -467,6 +487,7 @@ def _calibrations(table: DataFrame, fits: list[dict], score: Fitted, width: int)
 
 def tested(table: DataFrame, pairs: list, fits: list[dict], kind: str, width: int, rounds: dict | None = None) -> DataFrame:
     """(symbol, timeframe, fold, label, proba) of the outer test rows."""
+    table = packed(table, width)
     score = fitted(table, fits, kind, width, rounds)
     knots = _calibrations(table, fits, score, width)
     own: dict[tuple[int, int], list[int]] = {}
@@ -476,18 +497,16 @@ def tested(table: DataFrame, pairs: list, fits: list[dict], kind: str, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_, knots_, own_ = model.value
-        for b in _gathered(batches):
-            _, label, codes = _read(b, width)
-            fold, x = b.column("fold").to_numpy(), matrix_of(b.column("x"), width)
-            for p, of in each_pair(b, "pair"):
-                for k in np.unique(fold[of]):
-                    mine = own_.get((p, int(k)), [])
-                    if not mine:
-                        continue
-                    at = of[fold[of] == k]
-                    proba = sum(np.interp(score_.scores(q, _some(codes, at), x[at]), *knots_[q]) for q in mine) / len(mine)
-                    names = [pa.array([v] * len(at), t) for v, t in ((pairs[p][0], pa.string()), (pairs[p][1], pa.string()), (int(k), pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(label[at].astype(np.int32)), pa.array(proba)], ["symbol", "timeframe", "fold", "label", "proba"])
+        for p, block in _blocks(batches, width):
+            fold, x, label, codes = block["fold"], block["x"], block["label"], block["codes"]
+            for k in np.unique(fold):
+                mine = own_.get((p, int(k)), [])
+                if not mine:
+                    continue
+                at = np.flatnonzero(fold == k)
+                proba = sum(np.interp(score_.scores(q, _some(codes, at), x[at]), *knots_[q]) for q in mine) / len(mine)
+                names = [pa.array([v] * len(at), t) for v, t in ((pairs[p][0], pa.string()), (pairs[p][1], pa.string()), (int(k), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(label[at].astype(np.int32)), pa.array(proba)], ["symbol", "timeframe", "fold", "label", "proba"])
 
     return table.drop("margins").mapInArrow(run, "symbol string, timeframe string, fold int, label int, proba double")
 
@@ -497,7 +516,7 @@ def benchmarks(labeled: DataFrame, columns: list[str] = TECHNICAL, folds: int =
 
     train_s is the time that all pairs' fits took together."""
     rows, pairs = training_rows(labeled, columns, folds)
-    table, fits, out = binned(rows, pairs, len(columns)), inner_fits(pairs, folds, inner), []
+    table, fits, out = packed(binned(rows, pairs, len(columns)), len(columns)), inner_fits(pairs, folds, inner), []
     for name in names:
         began = time.time()
         test = settled(tested(table, pairs, fits, name, len(columns), (rounds or {}).get(name)), "tested")

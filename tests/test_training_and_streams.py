@@ -229,6 +229,21 @@ def test_trees_grow_as_one_by_one(spark, monkeypatch):
             assert np.allclose(done.trees.scores(q, t, every), [alone(c) for c in every], atol=1e-6)
 
 
+def test_levels_read_packed_rows(spark):
+    """Training reads blocks: far fewer values than rows, each row in one; chosen rows lie column by column."""
+    rows = spark.createDataFrame(series(90, lambda i, s: (float(i % 7), float(i % 5), i % 2)), LABELED)
+    table, pairs = T.training_rows(rows, ["x", "y"])
+    table = trees.binned(table, pairs, 2)
+    blocks = trees.packed(table, 2)
+    want = sorted((r.pair, r.pos, r.fold, r.label, *r.codes, *r.x) for r in table.collect())
+    assert blocks.count() <= 2 * table.rdd.getNumPartitions() < len(want) and trees.packed(blocks, 2) is blocks
+    got = []
+    for p, b in trees._blocks(blocks.toArrow().to_batches(), 2):
+        got += [(p, *map(int, (n, f, y)), *map(int, c), *x.tolist()) for n, f, y, c, x in zip(b["pos"], b["fold"], b["label"], b["codes"], b["x"])]
+        assert trees._some(b["codes"], np.arange(3)).flags.f_contiguous
+    assert sorted(got) == want
+
+
 def test_boosting_with_settled_margins_is_the_same(spark, monkeypatch):
     rnd = random.Random(7)
     rows = spark.createDataFrame(series(90, lambda i, s: (x := rnd.gauss(0, 1), y := rnd.gauss(0, 1), int(x + y * y + rnd.gauss(0, 0.3) > 1))), LABELED)  # noqa: F841
