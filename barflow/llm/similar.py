@@ -7,7 +7,8 @@ are in other texts has no partner; of the rest, with shingles taken rarest first
 a common one among their first (1 - t) n + 1, and l common ones among l - 1 more.  No pair is lost.
 There a text is first decided against the hub that most of its shingles lead to, then against the one of each other
 group that it shares most with; at last every candidate pair that is not yet in one group is decided, all by
-the exact similarity.
+the exact similarity.  A pair is a candidate only if its sketches, a parity bit for each class of shingles, differ in no more
+bits than similar texts have shingles apart, so texts of a family that are less alike mostly never become pairs.
 
 Texts that are equal but for white space and A-Z are one node.  Very long texts are read whole.  Nulls: a null text is empty; texts
 without words are one node; a null doc_id loses to any other in its group.  An empty table stays empty.
@@ -33,7 +34,8 @@ BUCKET_BITS, BUCKET_BYTES = 10, 64 << 20  # of a shingle's hash, by which the fi
 HELD = 1 << 21  # hashes held at once there
 PART_BYTES, LEAST_PARTS = 32 << 20, 64  # of the texts whose sums are added together
 CHUNK = 256  # members of a shingle that are listed together
-MEMBER = np.dtype([("label", "<i8"), ("node", "<i8"), ("n", "<i4"), ("l", "<i4"), ("p", "<i4"), ("many", "<i4")])  # many: in a group already
+BITS = 1024  # of a text's sketch
+MEMBER = np.dtype([("label", "<i8"), ("node", "<i8"), ("n", "<i4"), ("l", "<i4"), ("p", "<i4"), ("many", "<i4"), ("sketch", "<u8", BITS // 64)])  # many: in a group already
 PACKED = ((0, "<i8"), (1, "<i4"), (2, "<i8"))  # others, needed, labels as they are sent
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -173,6 +175,19 @@ def rare_lists(named: DataFrame, words: int, least: float) -> DataFrame:
     return ranked.where(F.col("at") <= F.col("m") - _needed(least) + F.col("l")).select("h", "node", "n", "l", (F.col("n") - F.col("m") + F.col("at") - 1).cast("int").alias("p"), "core")
 
 
+def sketches(named: DataFrame, words: int) -> DataFrame:
+    """(node, sketch): of each of BITS classes of hashes whether the text has an odd number of its shingles.
+
+    Two sketches differ in no more bits than shingles are in one text only."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        of = [(_shingles(t, words) & np.uint64(BITS - 1)).astype(np.int64) for t in b.column("text").to_pylist()]
+        odd = [np.packbits((np.bincount(h, minlength=BITS) & 1).astype(np.uint8)).tobytes() for h in of]
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(odd, pa.binary())], ["node", "sketch"])
+
+    return each_batch(named.select("node", "text"), run, "node long, sketch binary")
+
+
 def _sizes_fit(n, other, least: float):
     return F.least(n, other) >= F.greatest(n, other) * least - 1e-6
 
@@ -200,8 +215,9 @@ def hub_pairs(lists: DataFrame, least: float) -> DataFrame:
 def met(rows: pa.RecordBatch, least: float, best: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(a, others, needed, labels) of frame (a, b; members as packed arrays): each member of a with the members of b that it may be similar to.
 
-    A pair of two groups stays if its sizes fit and if what both have up to their common shingle and after it
-    can reach the overlap of similar texts (position filter).  needed: how many lists the pair must share.  best: only
+    A pair of two groups stays if its sizes fit, if what both have up to their common shingle and after it
+    can reach the overlap of similar texts (position filter), and if its sketches differ in no more bits than similar
+    texts have shingles apart.  needed: how many lists the pair must share.  best: only
     pairs with a text that is in a group already; the other one, if it is in none, comes as a."""
     for left, right, same in zip(rows.column("left").to_pylist(), rows.column("right").to_pylist(), rows.column("same").to_pylist()):
         x, y = (np.frombuffer(v, MEMBER) for v in (left, right))
@@ -211,6 +227,8 @@ def met(rows: pa.RecordBatch, least: float, best: bool = False) -> Iterator[tupl
         fit = (x["label"][:, None] != y["label"][None, :]) & (np.minimum(n, m) >= np.maximum(n, m) * least - 1e-6) & (overlap >= least / (1 + least) * (n + m) - 1e-6)
         if same:
             fit &= x["node"][:, None] < y["node"][None, :]
+        i, j = np.nonzero(fit)
+        fit[i, j] = np.bitwise_count(x["sketch"][i] ^ y["sketch"][j]).sum(1) <= (1 - least) / (1 + least) * (x["n"][i].astype(np.int64) + y["n"][j]) + 1e-6
         ways = [(x, y, fit)]
         if best:
             ways = [(x, y, fit & (y["many"] == 1)[None, :]), (y, x, (fit & (x["many"] == 1)[:, None] & (y["many"] == 0)[None, :]).T)]
@@ -220,8 +238,8 @@ def met(rows: pa.RecordBatch, least: float, best: bool = False) -> Iterator[tupl
                 yield int(own["node"][i]), of["node"], np.minimum(of["l"], own["l"][i]), of["label"]
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, least: float, best: bool = False) -> DataFrame:
-    """(a, b): all candidate pairs of two groups; labels are (node, root) of the texts that are in one.
+def open_pairs(lists: DataFrame, labels: DataFrame, least: float, best: bool = False, sketched: DataFrame | None = None) -> DataFrame:
+    """(a, b): all candidate pairs of two groups; labels are (node, root) of the texts that are in one, sketched their sketches.
 
     best: of a text's candidates in each other group of several texts only the one that it shares most lists with.
 
@@ -232,15 +250,17 @@ def open_pairs(lists: DataFrame, labels: DataFrame, least: float, best: bool = F
     per = rows.groupBy("h", "label").agg(F.count("*").alias("c"))
     of_h = per.groupBy("h").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("c") <= CHUNK, F.col("c")).otherwise(0)).alias("mixed")).where("labels > 1").select("h", "mixed")
     chunks = per.join(of_h, "h").select("h", "label", F.when(F.col("c") > CHUNK, F.col("label")).alias("own"), F.ceil(F.when(F.col("c") > CHUNK, F.col("c")).otherwise(F.col("mixed")) / CHUNK).alias("k"))
-    dealt = rows.join(chunks, ["h", "label"]).withColumn("chunk", F.pmod(F.xxhash64("node", "h"), "k"))
+    kept = rows.join(sketched, "node") if sketched is not None else rows.withColumn("sketch", F.lit(bytes(BITS // 8)))
+    dealt = kept.join(chunks, ["h", "label"]).withColumn("chunk", F.pmod(F.xxhash64("node", "h"), "k"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of = b.column("of")
             flat, cut = of.flatten(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(of).to_numpy(zero_copy_only=False))))
             members = np.empty(len(flat), MEMBER)
-            for i, name in enumerate(MEMBER.names):
+            for i, name in enumerate(MEMBER.names[:-1]):
                 members[name] = flat.field(i).to_numpy(zero_copy_only=False)
+            members["sketch"] = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "own", "chunk")), pa.array([members[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["h", "own", "chunk", "of"])
 
     grouped = dealt.groupBy("h", "own", "chunk").agg(F.collect_list(F.struct(*MEMBER.names)).alias("of"))
@@ -320,11 +340,11 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     nodes = sizes.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
     alive = nodes.withColumn("low", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared_counts(docs, words), "low").where(F.col("c") >= _needed(least)).select("node", F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"))
     named = written(docs.join(alive, docs.doc_id.eqNullSafe(F.col("d")) & (docs.key == F.col("k"))).groupBy("node").agg(F.first("text").alias("text")), "named")
-    lists = written(rare_lists(named, words, least), "lists")
+    lists, sketched = written(rare_lists(named, words, least), "lists"), written(sketches(named, words), "sketches")
     printed = written(decided(print_pairs(named), named, words, least), "links")
     first = written(decided(hub_pairs(lists, least).join(printed, ["a", "b"], "left_anti"), named, words, least).union(printed), "links")
-    second = written(decided(open_pairs(lists, written(components(first), "labels"), least, best=True), named, words, least).union(first), "links")
-    rest = written(decided(open_pairs(lists, written(components(second), "labels"), least), named, words, least), "links")
+    second = written(decided(open_pairs(lists, written(components(first), "labels"), least, best=True, sketched=sketched), named, words, least).union(first), "links")
+    rest = written(decided(open_pairs(lists, written(components(second), "labels"), least, sketched=sketched), named, words, least), "links")
     found = components(second.union(rest)).withColumnRenamed("node", "name")
     rooted = nodes.join(found, nodes.node == found.name, "left").select("row", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("row").alias("row"))

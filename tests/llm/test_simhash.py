@@ -84,3 +84,15 @@ def test_dense_groups_keep_no_pairs():
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert blocks(3) == [(0, 31), (32, 31)]
+
+
+def test_rounds_of_few_edges_run_in_few_tasks(spark, monkeypatch):
+    from barflow.llm.components import LEAST_TASKS, components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10)], "a long, b long").repartition(64)
+    parts, frame = [], type(edges)
+    monkeypatch.setattr(frame, "distinct", lambda self, f=frame.distinct: f(self).repartition(64))
+    checkpoint = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self: (out := checkpoint(self), parts.append(out.rdd.getNumPartitions()))[0])
+    assert {r.root for r in components(edges).collect()} == {0}
+    assert len(parts) > 1 and parts[0] == 64 and max(parts[1:]) <= LEAST_TASKS

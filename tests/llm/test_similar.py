@@ -143,3 +143,25 @@ def test_fingerprints_link_near_copies_before_shared_shingles_do(spark, monkeypa
     assert similar.print_pairs(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "node long, text string")).count() == 20
     monkeypatch.setattr(similar, "similarity", lambda *_: 0.0)
     assert kept(spark, docs) == list(range(40))
+
+
+def test_sketches_leave_out_pairs_of_a_family_below_the_threshold(spark):
+    """A family of nearly similar texts: no similar pair is lost, and of the others few become rows."""
+    from barflow.llm import similar
+
+    rnd = random.Random(13)
+    v = [f"w{i}" for i in range(5000)]
+    base = rnd.choices(v, k=200)
+    docs = []
+    for k in range(80):  # 5 to 8 changed words of 200: similarities of about 0.45 to 0.7, some pairs of copies above
+        w = list(docs[k - 1].split() if k % 20 == 1 else base)
+        for at in rnd.sample(range(len(w)), 1 if k % 20 == 1 else rnd.randrange(5, 9)):
+            w[at] = rnd.choice(v)
+        docs.append(" ".join(w))
+    of = {similar._node(d) - (1 << 63): d for d in docs}
+    named = spark.createDataFrame(list(of.items()), "node long, text string")
+    lists, labels = similar.rare_lists(named, 5, 0.8), spark.createDataFrame([], "node long, root long")
+    all_, few = ({(r.a, r.b) for r in similar.open_pairs(lists, labels, 0.8, sketched=s).collect()} for s in (None, similar.sketches(named, 5)))
+    near = {(a, b) for a in of for b in of if a < b and similar.similarity(of[a], of[b], 5) >= 0.8}
+    assert len(near) >= 4 and near <= few <= all_ and len(few) < len(near) + (len(all_) - len(near)) / 10
+    assert kept(spark, docs) == brute_force(docs)
